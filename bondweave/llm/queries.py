@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, mixing, sharding, simhash, urls
 from ._common import table
+from .oracles import ORACLES
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded_digest(table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +21,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(found.fp).alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], rows.schema))
+    return chat.chat_digest(chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash,)}
+    return {f.__name__: f for f in (op2_sharding, op6_simhash, op7_mixing, op8_url_filter, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
