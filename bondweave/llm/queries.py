@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, secrets, sharding, simhash, urls
+from . import chat, decontam, mixing, quality, secrets, sharding, simhash, urls
 from ._common import table
 from .oracles import ORACLES
 
@@ -37,6 +37,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = "</s>[INST] ok [/INST]"
@@ -45,7 +50,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_decontamination, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op10_chat)}
+    return {f.__name__: f for f in (op2_sharding, op3_decontamination, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
