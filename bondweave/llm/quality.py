@@ -20,8 +20,8 @@ MAX_LABELLED = 4_000
 #: Shares well below this look alike.
 LEAST_SHARE = 0.01
 TREES, SUBSAMPLE, DEPTH = 100, 256, 12
-#: Share of the labelled good rows that the threshold may cost.
-MAX_LOST = 0.002
+#: What a labelled good row lost costs beside a bad row missed, and the share of good rows that may be lost.
+LOSS, MAX_LOST = 10, 0.005
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_upper", "n_marks", "n_lines", "n_distinct")
 #: Length and digits are left out: long texts and texts with numbers are rare, but not worse for it.
@@ -157,17 +157,17 @@ def grow(good: np.ndarray, everything: np.ndarray, seed: int = 5) -> Forest:
 
 
 def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray) -> Forest:
-    """Set the threshold that gains most bad rows per good row lost, at MAX_LOST of the good rows at most.
+    """Set the threshold where the share of bad rows caught, less LOSS times that of good rows lost, is highest.
 
-    A gap's middle is taken, so the threshold does not touch the rows it was read from.
+    A good row lost weighs as LOSS bad rows missed (by shares), and MAX_LOST of the good rows at most may
+    go. The middle of the gap is taken, so that the threshold does not touch the rows it was read from.
     """
-    g, b = np.sort(forest.score(good)), forest.score(bad)
-    floor = g[max(0, int(np.ceil(len(g) * (1 - MAX_LOST))) - 1)]
-    above = np.sort(b[b > floor])
-    if not len(above):
-        return forest
-    cut = (floor + above[0]) / 2
-    return Forest(**{**forest.__dict__, "threshold": float(cut)})
+    g, b = np.sort(forest.score(good)), np.sort(forest.score(bad))
+    seen = np.unique(np.concatenate((g, b)))
+    cuts = np.append((seen[:-1] + seen[1:]) / 2, seen[-1] + 1)
+    lost, caught = 1 - np.searchsorted(g, cuts) / len(g), 1 - np.searchsorted(b, cuts) / len(b)
+    gain = np.where(lost <= MAX_LOST, caught - LOSS * lost, -1)
+    return Forest(**{**forest.__dict__, "threshold": float(cuts[gain.argmax()])})
 
 
 def _counts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, secrets, sharding, simhash, urls
+from . import chat, decontam, language, mixing, quality, secrets, sharding, simhash, urls
 from ._common import table
 from .oracles import ORACLES
 
@@ -20,6 +20,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -50,7 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_decontamination, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op2_sharding, op3_decontamination, op4_language, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
