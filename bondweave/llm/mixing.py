@@ -77,6 +77,36 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.join(state.select(F.col("source").alias("_s"), "prefix"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.col("prefix").alias("cut"))
 
 
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def source_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, int]:
+    """How each source meets its target, and the number of sources, from rows (source, h, size).
+
+    (_source, source_size, target, full, partial, cut): ``full`` whole passes, and if ``partial`` one more
+    over the documents whose hash lies below ``cut`` (null: all).
+    """
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, cap)
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(cap))).otherwise(0)
+    targets = materialize(targets.withColumn("full", whole.cast("long")), "mix-targets")
+    rest = targets.where("source_size > 0").select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget")).where("budget > 0.5")
+    cuts = thresholds(rows.select("source", "h", "size"), rest).select(F.col("source").alias("_cut_of"), "cut")
+    plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("_cut_of")) & (F.col("full") * F.col("source_size") + 0.5 < F.col("target")), "left")
+    partial = (F.col("source_size") > 0) & (F.col("target") - F.col("full") * F.col("source_size") > 0.5)
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "full", partial.alias("partial"), "cut")
+    plan = materialize(plan, "mix-plan")
+    return plan, plan.count()
+
+
+def _with_passes(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """Add ``passes``: how often the mix takes each row; needs columns source and h."""
+    joined = rows.join(broadcast_if_small(plan, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    below = F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS) < F.col("cut")
+    return joined.withColumn("passes", F.col("full") + (F.col("partial") & F.coalesce(below, F.lit(True))).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """Mix of all documents: (doc_id, size, source, source_size, target, taken), one row for each document.
 
@@ -87,24 +117,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     hash; repeated rows share a hash and go together; a null source is a source of its own, null ids are
     hashed like any value; an empty table gives no rows.
     """
-    return mixed(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")), weights, cap).drop("h", "passes")
-
-
-def mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``mix`` for rows (doc_id, size, source, h); adds source_size, target, passes and taken."""
-    narrow = materialize(rows, "mix-sizes")
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, cap), "mix-targets")
-    n = targets.count()
-    passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(cap))).otherwise(0)
-    targets = targets.withColumn("full", passes.cast("long"))
-    partial = targets.where("source_size > 0").select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget")).where("budget > 0.5")
-    cuts = materialize(thresholds(narrow.select("source", "h", "size"), partial), "mix-cuts")
-    per_source = targets.join(cuts.withColumnRenamed("source", "_c"), F.col("source").eqNullSafe(F.col("_c")), "left")
-    per_source = per_source.select(F.col("source").alias("_s"), "source_size", "target", "full", F.col("_c").isNotNull().alias("has_cut"), "cut", F.lit(True).alias("_p"))
-    per_source = per_source.join(partial.select(F.col("source").alias("_b"), F.lit(True).alias("has_partial")), F.col("_s").eqNullSafe(F.col("_b")), "left")
-    joined = narrow.join(broadcast_if_small(per_source, n, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_s")))
-    top = F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS)
-    below = F.coalesce(F.col("has_partial"), F.lit(False)) & (F.col("cut").isNull() | (top < F.col("cut")))
-    taken_passes = F.col("full") + F.when(below, 1).otherwise(0)
-    return joined.select("doc_id", "size", "source", "source_size", "target", "h", taken_passes.alias("passes"), (F.col("size") * taken_passes).alias("taken"))
+    narrow = materialize(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source", _hash(seed).alias("h")), "mix-sizes")
+    plan, n = source_plan(narrow, weights, cap)
+    mixed = _with_passes(narrow, plan, n)
+    return mixed.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """The mixed documents themselves: each row of ``docs`` as often as ``mix`` takes it, with all its columns.
+
+    Texts are read once for their sizes and once for the result, and never shuffled: whether a row is
+    taken shows from its hash and its source's row of the plan.
+    """
+    kept = F.struct(*docs.columns).alias("row")  # whatever the columns' names, none clashes with the plan's
+    rows = materialize(docs.select(word_count(F.col("text")).alias("size"), "source", _hash(seed).alias("h")), "mix-sizes")
+    plan, n = source_plan(rows, weights, cap)
+    mixed = _with_passes(docs.select(kept, "source", _hash(seed).alias("h")), plan, n).where("passes > 0")
+    again = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
+    return again.select("row.*")

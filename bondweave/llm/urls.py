@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: URLs that set the cuts between ranges: a sample by hash of at most so many keys. The cuts decide
+#: URLs that set the cuts between ranges: a sample by hash, so many for each range. The cuts decide
 #: which task sweeps a URL, never its result.
-CUT_SAMPLE = 20_000
+CUT_SAMPLE = 50
 
 # The rules of the contract (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     urls = urls.withColumn("place", F.concat("key", F.lit("\x00"), F.col("path"), F.lit("\x00"), spread))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The sample: the places with the least hashes, whatever the table's size.
-    sample = sorted(r[0] for r in urls.select("place").orderBy(F.xxhash64("place")).limit(CUT_SAMPLE).collect())
+    sample = sorted(r[0] for r in urls.select("place").orderBy(F.xxhash64("place")).limit(CUT_SAMPLE * ranges).collect())
     cuts = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
 
     @F.pandas_udf("int")
