@@ -16,7 +16,7 @@ from .labelled_pages import MARK, labelled_pages
 
 TRAIN_PAGES, TRAIN_SEED = 700, 1
 MIN_COUNT = 3
-ROUNDS, RATE, PENALTY = 150, 0.1, 2e-4
+ROUNDS, RATE, PENALTY = 150, 0.1, 5e-5
 
 # Signs of notices and legal lines, in the languages of the pages.
 LEGAL = ("©", "copyright", "all rights reserved", "cookie")

@@ -72,25 +72,25 @@ class Pages:
             out.append(f"<header>{head}</header>" if r.random() < 0.1 else head)
         for _ in range(r.choice((1, 2, 4, 7, 12, 20))):
             kind = r.random()
-            if kind < 0.62:
+            if kind < 0.56:
                 text = self.sentence(*r.choice(((1, 5), (8, 30), (25, 90))))
                 if r.random() < 0.25:
                     text = f"{text} <a href='/'>{self.words(2)}</a> {self.words(4)}"
                 out.append(f"<p>{mark}{text}" + r.choice(("</p>", "</p>", "")))
-            elif kind < 0.72:
+            elif kind < 0.64:
                 out.append(f"<p><b>{mark}{self.sentence(1, 12)}<br><p>{mark}{self.sentence(2, 40)}</p>")
-            elif kind < 0.8:
+            elif kind < 0.7:
                 out.append(f"<h{r.choice((2, 3))}>{mark}{self.words(r.randint(1, 6))}</h2>")
-            elif kind < 0.87:
+            elif kind < 0.76:
                 out.append("<ul>" + "".join(f"<li>{mark}{self.sentence(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
-            elif kind < 0.9:
+            elif kind < 0.79:
                 out.append(f"<blockquote>{mark}{self.sentence(5, 30)}</blockquote>")
-            elif kind < 0.93:
+            elif kind < 0.82:
                 out.append("<table>" + "".join(f"<tr><td>{mark}{self.words(2)}</td><td>{mark}{r.randint(1, 99)}</td></tr>" for _ in range(3)) + "</table>")
-            elif kind < 0.96:
+            elif kind < 0.86:
                 out.append(f"<div>{mark}{self.sentence(5, 60)}</div>")
             else:
-                out.append(self.boiler(r.choice(("ad", "aside", "notice", "form"))))
+                out.append(self.boiler(r.choice(("ad", "ad", "aside", "notice", "form", "comments", "nav"))))
         return "".join(out)
 
     def page(self, mark: str) -> str:
