@@ -49,69 +49,76 @@ def _bucket(h: Column, level: int) -> Column:
     return F.shiftrightunsigned(h, 64 - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
 
 
-def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per source the hash below which documents are taken, so that their sizes sum up to nearly ``budget``.
-
-    ``docs``: (source, h, size); ``budgets``: (source, budget). Returns (source, cut): the documents with
-    h < cut, both unsigned, are taken; null takes all. Each level sums sizes by source and hash bucket,
-    finds the bucket in which the budget is used up, and only the documents of that bucket go on to the
-    next level, which splits it finer. At the last level the boundary bucket is taken or left, whichever
-    comes nearer. A window never holds more than the 4096 buckets of one source.
+def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
+    """Per source the place in hash order up to which rows are taken, so that their sizes use up ``budget``.
+
+    ``rows``: (source, h, size); ``budgets``: (source, budget). Returns (source, cut, rest): rows whose
+    leading 60 bits of h lie below ``cut`` (unsigned) are taken, and leave ``rest`` of the budget. Each
+    level sums sizes by source and hash bucket, finds the bucket in which the budget is used up, and only
+    the rows of that bucket go on to the next level, which splits it finer. What is left in the last
+    bucket (one hash) is left out, or with ``nearest`` taken if that comes nearer. Sources whose rows do
+    not use up the budget are not returned. A window never holds more than the 4096 buckets of one source.
     """
-    state = budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("done"))
+    state = budgets.select(F.col("source").alias("_of"), F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
-        inside = docs.join(state.where("NOT done"), docs.source.eqNullSafe(state.source)).where(
-            F.shiftrightunsigned(F.col("h"), 64 - LEVEL_BITS * level) == F.col("prefix") if level else F.lit(True)
-        )
-        hist = inside.groupBy(docs.source.alias("source"), _bucket(F.col("h"), level).alias("b")).agg(F.sum("size").cast("double").alias("s"), F.first("left").alias("left"), F.first("prefix").alias("prefix"))
-        w = Window.partitionBy("source").orderBy("b")
-        hist = hist.withColumn("upto", F.sum("s").over(w))
-        # The boundary: the first bucket after which at least the budget is used. Without one, all is taken.
+        inside = rows.join(state, F.col("source").eqNullSafe(F.col("_of")))
+        if level:
+            inside = inside.where(F.shiftrightunsigned("h", 64 - LEVEL_BITS * level) == F.col("prefix"))
+        hist = inside.groupBy("source", _bucket(F.col("h"), level).alias("b")).agg(F.sum("size").cast("double").alias("s"), F.first("left").alias("left"), F.first("prefix").alias("prefix"))
+        hist = hist.withColumn("upto", F.sum("s").over(Window.partitionBy("source").orderBy("b")))
         found = hist.where("upto >= left").groupBy("source").agg(F.min_by(F.struct("b", "s", "upto", "left", "prefix"), "b").alias("x"))
-        rest, full = F.col("x.left") - (F.col("x.upto") - F.col("x.s")), F.col("x.s")
-        new_prefix = F.shiftleft("x.prefix", LEVEL_BITS) + F.col("x.b")
-        if level == LEVELS - 1:
-            new_prefix = new_prefix + F.when(rest * 2 >= full, 1).otherwise(0)
-        nxt = found.select("source", rest.alias("left"), new_prefix.alias("prefix"), F.lit(False).alias("done"))
-        state = materialize(nxt, "boundary")
-    return budgets.join(state.select(F.col("source").alias("_s"), "prefix"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.col("prefix").alias("cut"))
+        rest = F.col("x.left") - (F.col("x.upto") - F.col("x.s"))
+        prefix = F.shiftleft("x.prefix", LEVEL_BITS) + F.col("x.b")
+        if level == LEVELS - 1 and nearest:
+            prefix = prefix + F.when(rest * 2 >= F.col("x.s"), 1).otherwise(0)
+        state = materialize(found.select(F.col("source").alias("_of"), rest.alias("left"), prefix.alias("prefix")), "boundary")
+    return state.select(F.col("_of").alias("source"), F.col("prefix").alias("cut"), F.col("left").alias("rest"))
 
 
 def _hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", "text")
 
 
+def _top(h: str = "h") -> Column:
+    return F.shiftrightunsigned(h, 64 - LEVEL_BITS * LEVELS)
+
+
 def source_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, int]:
     """How each source meets its target, and the number of sources, from rows (source, h, size).
 
-    (_source, source_size, target, full, partial, cut): ``full`` whole passes, and if ``partial`` one more
-    over the documents whose hash lies below ``cut`` (null: all).
+    (_source, source_size, target, full, cut, rest, cut2): ``full`` whole passes, and one more over the
+    rows below ``cut`` (null: no partial pass). The row at the cut does not fit, so the ``rest`` of the
+    budget goes to rows after it that are no larger than the rest, up to ``cut2`` (null: all of them).
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, cap)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(cap))).otherwise(0)
     targets = materialize(targets.withColumn("full", whole.cast("long")), "mix-targets")
-    rest = targets.where("source_size > 0").select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget")).where("budget > 0.5")
-    cuts = thresholds(rows.select("source", "h", "size"), rest).select(F.col("source").alias("_cut_of"), "cut")
-    plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("_cut_of")) & (F.col("full") * F.col("source_size") + 0.5 < F.col("target")), "left")
-    partial = (F.col("source_size") > 0) & (F.col("target") - F.col("full") * F.col("source_size") > 0.5)
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "full", partial.alias("partial"), "cut")
-    plan = materialize(plan, "mix-plan")
+    budgets = targets.where("source_size > 0").select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget")).where("budget > 0.5")
+    first = thresholds(rows.select("source", "h", "size"), budgets, nearest=False)
+    known = first.select(F.col("source").alias("_first"), "cut", "rest")
+    after = rows.join(known, F.col("source").eqNullSafe(F.col("_first"))).where((_top() > F.col("cut")) & (F.col("size") <= F.col("rest")))
+    second = thresholds(after.select("source", "h", "size"), first.select("source", F.col("rest").alias("budget")).where("budget > 0.5"), nearest=True)
+    plan = targets.join(known, F.col("source").eqNullSafe(F.col("_first")), "left")
+    plan = plan.join(second.select(F.col("source").alias("_second"), F.col("cut").alias("cut2")), F.col("source").eqNullSafe(F.col("_second")), "left")
+    plan = materialize(plan.select(F.col("source").alias("_source"), "source_size", "target", "full", "cut", "rest", "cut2"), "mix-plan")
     return plan, plan.count()
 
 
-def _with_passes(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+def _with_passes(rows: DataFrame, plan: DataFrame, n_sources: int, size: Column) -> DataFrame:
     """Add ``passes``: how often the mix takes each row; needs columns source and h."""
     joined = rows.join(broadcast_if_small(plan, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    below = F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS) < F.col("cut")
-    return joined.withColumn("passes", F.col("full") + (F.col("partial") & F.coalesce(below, F.lit(True))).cast("long"))
+    after = (_top() > F.col("cut")) & (F.col("cut2").isNull() | (_top() < F.col("cut2"))) & (size <= F.col("rest"))
+    partial = F.coalesce((_top() < F.col("cut")) | after, F.lit(False))
+    return joined.withColumn("passes", F.col("full") + partial.cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """Mix of all documents: (doc_id, size, source, source_size, target, taken), one row for each document.
 
     A source's target is met by whole passes over it, as many as fit (``cap`` at most), and by one
-    partial pass: the documents whose hash of id, text and ``seed`` lies below the source's threshold.
+    partial pass: the documents whose hash of id, text and ``seed`` lies below the source's threshold,
+    and then such as still fit into what is left.
     ``taken`` is the number of words that the mix takes from a document, repeats counted. Reruns and
     other partitionings agree. Null and empty texts have size 0 and are in every pass that takes their
     hash; repeated rows share a hash and go together; a null source is a source of its own, null ids are
@@ -119,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     """
     narrow = materialize(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source", _hash(seed).alias("h")), "mix-sizes")
     plan, n = source_plan(narrow, weights, cap)
-    mixed = _with_passes(narrow, plan, n)
+    mixed = _with_passes(narrow, plan, n, F.col("size"))
     return mixed.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
 
 
@@ -132,6 +139,6 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     kept = F.struct(*docs.columns).alias("row")  # whatever the columns' names, none clashes with the plan's
     rows = materialize(docs.select(word_count(F.col("text")).alias("size"), "source", _hash(seed).alias("h")), "mix-sizes")
     plan, n = source_plan(rows, weights, cap)
-    mixed = _with_passes(docs.select(kept, "source", _hash(seed).alias("h")), plan, n).where("passes > 0")
+    mixed = _with_passes(docs.select(kept, "source", _hash(seed).alias("h"), "text"), plan, n, word_count(F.col("text"))).where("passes > 0")
     again = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     return again.select("row.*")
