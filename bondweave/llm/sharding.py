@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ._common import utf8_size
 
 N_SHARDS = 40
-#: Rows that one logical partition, and one block of a shard, hold on average.
-PART_ROWS = 16_384
+#: Rows that one logical partition, and one block of a shard, hold on average; with more than MAX_PARTS of
+#: them the partitions grow instead, so the matrix on the driver stays within MAX_PARTS times the shards.
+PART_ROWS, MAX_PARTS = 4096, 50_000
 
 
 def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndarray:
@@ -73,7 +74,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows:
     """
     cols = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.select(id_col).count()
-    parts = max(1, -(-total // part_rows))
+    parts = min(MAX_PARTS, max(1, -(-total // part_rows)))
     part_of = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(parts)).cast("int")
     per_part = {r["_part"]: r["count"] for r in docs.select(part_of.alias("_part")).groupBy("_part").count().collect()}
     counts = [per_part.get(i, 0) for i in range(parts)]
@@ -82,7 +83,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows:
     ends = matrix.cumsum(axis=1).tolist()
     shares = spark.createDataFrame([(i, e) for i, e in enumerate(ends)], "_part int, _ends array<bigint>")
 
-    blocks = max(1, -(-total // (n_shards * part_rows)))
+    blocks = min(MAX_PARTS // n_shards + 1, max(1, -(-total // (n_shards * part_rows))))
     block_of = F.pmod(F.xxhash64(F.lit(seed + 1), "_part", "_rn"), F.lit(blocks)).cast("int")
     shard_of = F.size(F.filter("_ends", lambda e: e < F.col("_rn")))
     # Places (part, rn) are known from the counts; count them by block for the offsets of slots.
