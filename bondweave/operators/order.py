@@ -22,9 +22,8 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "rn", range
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*order_by)
     sample = df.select(key.alias("k")).orderBy(F.xxhash64(*order_by)).limit(SAMPLE_PER_RANGE * ranges)
-    sample = sample.select(F.array_sort(F.collect_list("k").over(Window.partitionBy(F.lit(0)))).alias("ks")).limit(1)
-    ks = [r["ks"] for r in sample.collect()]
-    cuts = [ks[0][i * len(ks[0]) // ranges] for i in range(1, ranges)] if ks else []
+    ks = sample.agg(F.array_sort(F.collect_list("k")).alias("ks")).first()["ks"]
+    cuts = [ks[i * len(ks) // ranges] for i in range(1, ranges)] if ks else []
     types = dict(df.dtypes)
     literal = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order_by, cut)]) for cut in cuts]
     of_range = F.size(F.filter(F.array(*literal), lambda c: c <= key)) if literal else F.lit(0)
