@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import utf8_size
@@ -12,6 +14,10 @@ N_SHARDS = 40
 #: Rows that one logical partition, and one block of a shard, hold on average; with more than MAX_PARTS of
 #: them the partitions grow instead, so the matrix on the driver stays within MAX_PARTS times the shards.
 PART_ROWS, MAX_PARTS = 4096, 50_000
+#: A partition of so many times the mean shows an id of very many rows.
+SKEW = 8
+#: Populations from which numpy draws hypergeometric variates.
+NUMPY_LIMIT = 10**9
 
 
 def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndarray:
@@ -25,7 +31,7 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndar
     rng = np.random.default_rng(seed)
     rows = np.zeros((len(counts), n_shards), np.int64)
     for i, n in enumerate(counts):
-        # One shard after the other: numpy's own draw is limited to populations below 10^9.
+        # One shard after the other, each against all that are left.
         rest, need = int(left.sum()), int(n)
         for j in range(n_shards):
             rest -= int(left[j])
@@ -36,38 +42,50 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndar
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric variate; populations too large for numpy are halved, which stays exact."""
+    """A hypergeometric variate, exact for populations of any size.
+
+    Beyond numpy's limit a binomial variate is accepted with the ratio of the two laws to its maximum, so
+    the time does not depend on ``n``. The ratio is nearly constant, as a partition's rows are few beside
+    the population; of a larger draw the complement is drawn.
+    """
     if n == 0 or good == 0:
         return 0
     if bad == 0:
         return n
-    if max(good, bad) < 10**9:
+    if max(good, bad) < NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, n))
-    # Deal the draws over the two halves of the population first.
-    g1, b1 = good // 2, bad // 2
-    n1 = _draw_halves(rng, g1 + b1, good + bad - g1 - b1, n)
-    return _draw(rng, g1, b1, n1) + _draw(rng, good - g1, bad - b1, n - n1)
+    total = good + bad
+    if 2 * n > total:
+        return good - _draw(rng, good, bad, total - n)
+
+    def log_ratio(k: int) -> float:
+        return _log_falling(good, k) + _log_falling(bad, n - k)
+
+    # The ratio is log-concave in k and rises up to this k.
+    top = log_ratio(min(max(good * (n - 1) // total + 1, n - bad, 0), n, good))
+    while True:
+        k = int(rng.binomial(n, good / total))
+        if n - bad <= k <= good and math.log(1 - rng.random()) <= log_ratio(k) - top:
+            return k
 
 
-def _draw_halves(rng: np.random.Generator, first: int, second: int, n: int) -> int:
-    """How many of n draws fall into the first of two large parts: the rows of a partition are few beside
-    them, so they are dealt one by one against what is left."""
-    taken = 0
-    for k in range(n):
-        taken += rng.random() * (first + second - k) < first - taken
-    return taken
+def _log_falling(g: int, k: int) -> float:
+    """Logarithm of g (g - 1) ... (g - k + 1) / g^k; by Stirling's series where terms would cancel."""
+    if g - k < 1_000_000:
+        return math.lgamma(g + 1) - math.lgamma(g - k + 1) - k * math.log(g)
+    return -(g - k + 0.5) * math.log1p(-k / g) - k + (1 / g - 1 / (g - k)) / 12
 
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows: int = PART_ROWS, id_col: str = "doc_id") -> DataFrame:
     """Deal all rows of ``docs`` to shards uniformly at random; adds ``shard`` and ``slot`` to all columns.
 
     Shard sizes are at most one apart, and slots run from 0 without gaps in each shard. Steps: rows fall
-    into logical partitions by a hash of id; the counts of these (all that reaches the driver) give the
-    communication matrix; each partition permutes its rows by hash and cuts them into shares by its row
+    into logical partitions by a hash of id, or of all columns where some id has very many rows; the counts
+    of these (all that reaches the driver) give the communication matrix; each partition permutes its rows by hash and cuts them into shares by its row
     of the matrix; the exchange brings rows to blocks of shards; each block permutes again. Block sizes
     follow from the counts alone, so no second look at the data is needed to number the slots.
 
-    Everything depends on ids, columns and ``seed`` only: lost executors, reruns and other partitionings
+    Everything depends on the rows and ``seed`` only: lost executors, reruns and other partitionings
     give the same rows. Repeated rows are told apart by their place among equals; nulls hash like values;
     with fewer rows than shards some shards stay empty; an empty table gives no rows; columns that are
     named ``shard`` or ``slot`` are replaced. Rows are dealt singly: equal texts are not kept together.
@@ -75,9 +93,15 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows:
     cols = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.select(id_col).count()
     parts = min(MAX_PARTS, max(1, -(-total // part_rows)))
-    part_of = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(parts)).cast("int")
-    per_part = {r["_part"]: r["count"] for r in docs.select(part_of.alias("_part")).groupBy("_part").count().collect()}
-    counts = [per_part.get(i, 0) for i in range(parts)]
+
+    def counted(by: list[str]) -> tuple[Column, list[int]]:
+        part_of = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(parts)).cast("int")
+        per_part = {r["_part"]: r["count"] for r in docs.select(part_of.alias("_part")).groupBy("_part").count().collect()}
+        return part_of, [per_part.get(i, 0) for i in range(parts)]
+
+    part_of, counts = counted([id_col])
+    if max(counts) * parts > SKEW * total:
+        part_of, counts = counted(cols)
     matrix = communication_matrix(counts, n_shards, seed)
     spark = docs.sparkSession
     ends = matrix.cumsum(axis=1).tolist()
@@ -92,18 +116,13 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows:
     in_block = places.select(shard_of.alias("shard"), block_of.alias("_block")).groupBy("shard", "_block").count()
     offsets = in_block.select("shard", "_block", (F.sum("count").over(Window.partitionBy("shard").orderBy("_block")) - F.col("count")).alias("_offset"))
 
-    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 2), F.col(id_col)), *_tie_break(docs, cols, id_col))
+    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 2), *cols), id_col)
     dealt = docs.select(*cols).withColumn("_part", part_of).withColumn("_rn", F.row_number().over(local))
     dealt = dealt.join(shares, "_part").withColumn("shard", shard_of).withColumn("_block", block_of)
     again = Window.partitionBy("shard", "_block").orderBy(F.xxhash64(F.lit(seed + 3), "_part", "_rn"), "_part", "_rn")
     return dealt.withColumn("_at", F.row_number().over(again)).join(offsets, ["shard", "_block"]).select(*cols, "shard", (F.col("_offset") + F.col("_at") - 1).alias("slot"))
 
 
-def _tie_break(docs: DataFrame, cols: list[str], id_col: str) -> list:
-    """Orders rows that share an id, so that reruns agree; equal rows are interchangeable."""
-    return [F.col(id_col), F.xxhash64(*cols)]
-
-
 def sharded_digest(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """The contract's digest of ``shard``: the size is the text's UTF-8 bytes plus 16."""
     text = F.coalesce("text", F.lit(""))

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from bondweave.llm import sharding
@@ -26,6 +28,36 @@ def test_large_populations():
     assert abs(np.mean(got) - 150) < 3
 
 
+def test_draws_beyond_numpy(monkeypatch):
+    """Draws by rejection have the probabilities of the law, also with more draws than rows of a kind."""
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", 1)
+    rng, runs = np.random.default_rng(4), 20_000
+    for good, bad, n in ((6, 9, 5), (3, 30, 20), (12, 4, 10), (5, 5, 1), (2, 7, 9)):
+        got = np.bincount([sharding._draw(rng, good, bad, n) for _ in range(runs)], minlength=good + 1) / runs
+        want = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) if k <= n else 0 for k in range(good + 1)]
+        assert np.abs(got - want).max() < 0.015
+    for g, k in ((2 * 10**9, 1), (10**10, 5000), (3 * 10**6, 40_000)):
+        assert abs(sharding._log_falling(g, k) - np.log1p(-np.arange(k) / g).sum()) < 1e-6
+
+
+def test_matrix_of_a_very_large_table():
+    counts = [5 * 10**5] * 8000  # four billion rows
+    m = sharding.communication_matrix(counts, 10, 3)
+    assert m.sum(axis=1).tolist() == counts and (m.sum(axis=0) == 4 * 10**8).all()
+    spread = (m - 5 * 10**4) / np.sqrt(5 * 10**4 * 0.9)
+    assert abs(spread.mean()) < 0.02 and abs(spread.var() - 1) < 0.03
+
+
+def test_hot_id_is_spread(spark):
+    """A third of the rows without an id do not gather in one logical partition, and the deal stays whole."""
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "concat('t', id) AS text")
+    out = sharding.shard(df, 40, part_rows=100)
+    got = out.collect()
+    assert sorted(r.text for r in got) == sorted(f"t{i}" for i in range(6000))
+    assert sorted(Counter(r.shard for r in got).values()) == [150] * 40
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shard(df.repartition(5), 40, part_rows=100).collect()))
+
+
 def test_every_row_once_without_gaps(spark):
     rows = [(i, f"t{i % 50}") for i in range(2003)] + [(7, "t7"), (7, "t7"), (None, None), (None, ""), (9999, "x" * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS slot", "1 AS _x")
@@ -48,7 +80,7 @@ def test_shuffle_is_uniform(spark):
     got = sharding.shard(df, 8, part_rows=300).toPandas()
     halves = got.assign(low=got.doc_id < 2000).groupby("shard").low.mean()
     assert ((halves - 0.5).abs() < 0.1).all()
-    corr = got.groupby("shard").apply(lambda g: np.corrcoef(g.doc_id, g.slot)[0, 1])
+    corr = got.groupby("shard")[["doc_id", "slot"]].apply(lambda g: np.corrcoef(g.doc_id, g.slot)[0, 1])
     assert (corr.abs() < 0.2).all()
 
 
