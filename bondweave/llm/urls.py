@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,7 +47,7 @@ def rules_frame(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = R
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by range and key, rules before URLs of the same key. The stack holds the rules of
     the hosts that enclose the current key, innermost last; what no longer encloses it is popped."""
-    at, stack = None, []  # stack: (host key, {path: (rule, verdict)})
+    at, stack = None, []  # stack: (host key, {path: (rule, verdict)}, lengths of these paths, longest first)
     for pdf in batches:
         found = []
         for rng, key, path, verdict, rule in zip(pdf["range"], pdf["key"], pdf["path"], pdf["verdict"], pdf["rule"]):
@@ -58,14 +58,18 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
             if rule is not None:
                 if not stack or stack[-1][0] != key:
-                    stack.append((key, {}))
-                stack[-1][1][path] = (rule, verdict)
+                    stack.append((key, {}, []))
+                _, paths, lengths = stack[-1]
+                paths[path] = (rule, verdict)
+                if len(path) not in lengths:
+                    insort(lengths, len(path), key=lambda n: -n)
             else:
-                for _, paths in stack:
-                    for p, (text, v) in paths.items():
-                        # Longest host and path together; the deeper host wins a tie, as it comes later.
-                        if path.startswith(p) and (best is None or len(text) >= len(best[0])):
-                            best = (text, v)
+                for _, paths, lengths in stack:
+                    # A look-up for each length, so a host may have any number of rules.
+                    fits = next((paths[path[:n]] for n in lengths if path[:n] in paths), None)
+                    # Longest host and path together; the deeper host wins a tie, as it comes later.
+                    if fits and (best is None or len(fits[0]) >= len(best[0])):
+                        best = fits
             found.append(best or (None, None))
         is_url = pdf["rule"].isna()
         pdf = pdf.assign(rule=[f[0] for f in found], verdict=[f[1] for f in found])

@@ -46,3 +46,10 @@ def test_hot_host_is_split(spark):
     got = urls.judge(df, urls.rules_frame(spark), ranges=10)
     sizes = [r["count"] for r in got.groupBy("verdict").count().collect()]
     assert sizes == [5000]
+
+
+def test_many_rules_of_one_host(spark):
+    rules = tuple(("block", "big.org", f"/p{i}/") for i in range(3000)) + (("allow", "big.org", "/p7/ok/"), ("allow", "org", "/p8/ok/much/longer/"))
+    pages = [(i, f"http://x.big.org/p{i}/a") for i in range(0, 6000, 50)] + [(10_000, "http://big.org/p7/ok/a"), (10_001, "http://big.org/p8/ok/much/longer/a")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), urls.rules_frame(spark, rules), ranges=3).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str((i, *plain(u, rules))) for i, u in pages)
