@@ -50,6 +50,31 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return rows.select("s.h", "s.before", "item", "at", "len")
 
 
+def _hits_in_scan(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """First hits of runs (id, toks, p, item, at, len): all positions are probed where the text is read."""
+    toks, p = F.col("toks"), F.col("p")
+    rows = rows.select("id", "toks", F.explode(_positions(toks)).alias("p"))
+    rows = rows.select("id", "toks", "p", F.posexplode(F.array(*[_seed(toks, p, k, m) for k, m in enumerate(MASKS)])).alias("k", "h"))
+    earlier = F.when(F.col("k") == 0, _seed(toks, p - 1, 0, MASKS[0])).otherwise(_seed(toks, p - 1, 1, MASKS[1]))
+    return rows.join(seeds, "h").where((p == 0) | F.col("before").isNull() | (F.col("before") != earlier))
+
+
+def _hits_by_shuffle(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same for seeds too many to broadcast: only hashes and places are shuffled to them.
+
+    Hits then return to their texts by id and a hash of the tokens, so repeated rows do not multiply.
+    """
+    toks, p = F.col("toks"), F.col("p")
+    rows = rows.withColumn("doc", F.xxhash64("toks"))
+    both = [F.struct(_seed(toks, p, k, m).alias("h"), F.when(p > 0, _seed(toks, p - 1, k, m)).alias("earlier")) for k, m in enumerate(MASKS)]
+    places = rows.select("id", "doc", "toks", F.explode(_positions(toks)).alias("p")).select("id", "doc", "p", F.explode(F.array(*both)).alias("s"))
+    hits = places.select("id", "doc", "p", "s.*").join(seeds, "h")
+    hits = hits.where((p == 0) | F.col("before").isNull() | (F.col("before") != F.col("earlier")))
+    hits = materialize(hits.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "p", "item", "at", "len").distinct(), "seed-hits")
+    few = broadcast_if_small(hits, hits.count(), BROADCAST_SEEDS)
+    return rows.join(few, F.col("id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc")))
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, matched, overlap): each document that overlaps a benchmark item, with the best overlap.
 
@@ -58,7 +83,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     item is shorter) are equal in SHARE of the places or more, so substituted tokens are tolerated.
 
     Each document's positions are hashed under fixed masks in the scan, probed against the items' seeds,
-    and only the first hit of each run leaves with the few tokens beside it; texts are never shuffled.
+    and only the first hit of each run leaves with the few tokens beside it. Texts are not shuffled unless
+    the seeds and their hits are both too many to broadcast, and then once.
     Verification joins these with the items' tokens. Null and empty texts, short items and empty tables
     give no pairs; repeated rows and items with one id count once; null ids are reported like any.
     """
@@ -69,11 +95,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     toks, p = F.col("toks"), F.col("p")
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    rows = rows.select("id", "toks", F.explode(_positions(toks)).alias("p"))
-    rows = rows.select("id", "toks", "p", F.posexplode(F.array(*[_seed(toks, p, k, m) for k, m in enumerate(MASKS)])).alias("k", "h"))
-    hits = rows.join(broadcast_if_small(seeds, n_seeds, BROADCAST_SEEDS), "h")
-    earlier = F.when(F.col("k") == 0, _seed(toks, p - 1, 0, MASKS[0])).otherwise(_seed(toks, p - 1, 1, MASKS[1]))
-    hits = hits.where((p == 0) | F.col("before").isNull() | (F.col("before") != earlier))
+    hits = _hits_in_scan(rows, F.broadcast(seeds)) if n_seeds <= BROADCAST_SEEDS else _hits_by_shuffle(rows, seeds)
     low = F.greatest(p - F.col("at"), F.lit(0))
     offset = low - (p - F.col("at"))
     length = F.least(F.size("toks") - low, F.col("len") - offset)

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import pytest
 from bondweave.llm import decontam
 
 
@@ -26,7 +27,11 @@ def test_masks_hit_any_three_substitutions():
         assert any(all(o + i not in bad for i in m) for m in decontam.MASKS for o in range(decontam.WINDOW - m[-1]))
 
 
-def test_against_all_diagonals(spark):
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_SEEDS, 0])
+def test_against_all_diagonals(spark, monkeypatch, limit):
+    """With seeds and items broadcast, and with all of them shuffled."""
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", limit)
+    monkeypatch.setattr(decontam, "BROADCAST_ITEMS", limit)
     rnd = random.Random(9)
     vocab = [f"v{i}" for i in range(400)]
     words = lambda n: [rnd.choice(vocab) for _ in range(n)]
