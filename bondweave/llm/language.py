@@ -219,8 +219,19 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, max_calibration: int = MAX_
         if k > 1:
             level = materialize(level.groupBy("lang", F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n")), "grams")
     model = _assemble(langs, orders)
-    rows = train.select("doc_id", "lang", "text").join(small, "doc_id").toPandas() if len(picked) else pd.DataFrame(columns=["doc_id", "lang", "text"])
-    return _calibrate(model, rows)
+    if not len(picked):
+        return model
+    shared = spark.sparkContext.broadcast(model)  # max_grams bounds it
+
+    def entropies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shared.value.entropies(t) for t in pdf["text"]]
+            yield pd.DataFrame({"lang": pdf["lang"], "h": [h for h, _ in found], "n": [n for _, n in found]})
+
+    # Texts are scored where they are; of an id with many rows no more numbers come back than of others.
+    scored = train.select("doc_id", "lang", "text").join(small, "doc_id").select("lang", "text").mapInPandas(entropies, "lang string, h array<double>, n long")
+    rows = scored.orderBy(F.xxhash64(F.lit(seed), "lang", "h", "n"), "lang", "h", "n").limit(max_calibration)
+    return _calibrate(model, rows.toPandas())
 
 
 def _assemble(langs: list[str], orders: dict[int, tuple]) -> Model:
@@ -262,11 +273,7 @@ def _assemble(langs: list[str], orders: dict[int, tuple]) -> Model:
 
 def _calibrate(model: Model, rows: pd.DataFrame) -> Model:
     """The temperature that makes scores most likely on the rows set aside, and the cross-entropy beyond which a text is rejected."""
-    seen = []
-    for lang, text in zip(rows["lang"], rows["text"]):
-        h, n = model.entropies(text)
-        if n and lang in model.langs:
-            seen.append((model.langs.index(lang), h, n))
+    seen = [(model.langs.index(lang), np.asarray(h), n) for lang, h, n in zip(rows["lang"], rows["h"], rows["n"]) if n and lang in model.langs]
     if not seen:
         return model
 
