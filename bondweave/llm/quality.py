@@ -191,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     if picked.empty:
         return None
     small = F.broadcast(spark.createDataFrame(picked))  # max_labelled rows of two numbers at most
-    rows = docs.select("doc_id", "text").join(small, "doc_id").mapInPandas(_counts_of, f"doc_id long, quality int, {_SCHEMA}").toPandas()
-    rows = rows.drop_duplicates().sort_values(["doc_id", *COUNTS]).head(2 * max_labelled)
+    counted = docs.select("doc_id", "text").join(small, "doc_id").mapInPandas(_counts_of, f"doc_id long, quality int, {_SCHEMA}")
+    rows = counted.distinct().orderBy("doc_id", *COUNTS).limit(2 * max_labelled).toPandas()  # an id may have many rows
     if rows.empty:
         return None
     x, good = features(rows), rows["quality"].to_numpy() > 0
