@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -156,7 +156,11 @@ def keep_one_per_class(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     least = found.where("doc_id = component_id").select("doc_id")
     losers = found.where("doc_id <> component_id").select("doc_id").distinct().join(least, "doc_id", "left_anti")
     kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        w = Window.partitionBy(F.coalesce("doc_id", F.xxhash64(*docs.columns))).orderBy(F.xxhash64(*docs.columns))
-        kept = kept.withColumn("_n", F.row_number().over(w)).where("_n = 1 OR doc_id IS NULL").select(*docs.columns)
+    repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if repeated.limit(1).count():
+        # Aggregates rather than a ranking, so that an id of very many rows never meets in one task.
+        of_repeated, h = kept.join(repeated, "doc_id", "left_semi"), F.xxhash64(*docs.columns)
+        first = of_repeated.select(F.col("doc_id").alias("_of"), h.alias("_h")).groupBy("_of").agg(F.min("_h").alias("_h"))
+        one = of_repeated.select(F.struct(*docs.columns).alias("_row"), "doc_id", h.alias("_mine")).join(first, (F.col("doc_id") == F.col("_of")) & (F.col("_mine") == F.col("_h")))
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(one.select("_row.*").distinct())
     return kept

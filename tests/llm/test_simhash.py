@@ -114,3 +114,13 @@ def test_one_row_of_each_class_stays(spark):
     kept = simhash.keep_one_per_class(df)
     assert kept.columns == df.columns
     assert sorted((str(r.doc_id), r.component_id) for r in kept.collect()) == [("1", "b"), ("7", None), ("None", "n")]
+
+
+def test_one_row_of_an_id_with_many(spark):
+    rows = [(4, f"text number {i % 50} of one id", "_h") for i in range(400)] + [(5, "something else altogether", "x"), (None, "no id", "y"), (None, "no id", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h string")
+    kept = simhash.keep_one_per_class(df)
+    assert kept.columns == df.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(got, key=str) == [4, 5, None, None]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, simhash.keep_one_per_class(df.repartition(3)).collect()))
