@@ -173,13 +173,14 @@ def _kept(table: DataFrame, per_lang: int, key: str) -> pd.DataFrame:
 
     The cut comes from the numbers of entries with each count; of those at the cut a share by hash fills
     up what is left. So no task ranks a language's entries, and no more than are kept reach the driver.
+    The cuts, one row for each language, are broadcast, so the entries stay where they are.
     """
     sizes = table.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.withColumn("upto", F.sum("c").over(Window.partitionBy("lang").orderBy(F.col("n").desc())))
     cut = sizes.where(F.col("upto") > per_lang).groupBy("lang").agg(F.max(F.struct("n", "c", "upto")).alias("cut"))
     share = (per_lang - F.col("cut.upto") + F.col("cut.c")) / F.col("cut.c")
     tie = (F.col("n") == F.col("cut.n")) & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share * 1_000_000)
-    kept = table.join(cut, "lang", "left").where(F.col("cut").isNull() | (F.col("n") > F.col("cut.n")) | tie).drop("cut").toPandas()
+    kept = table.join(F.broadcast(cut), "lang", "left").where(F.col("cut").isNull() | (F.col("n") > F.col("cut.n")) | tie).drop("cut").toPandas()
     return kept.sort_values(["lang", "n", key], ascending=[True, False, True]).groupby("lang").head(per_lang)
 
 
