@@ -13,6 +13,10 @@ from ._common import broadcast_if_small, materialize
 #: Token positions that each seed looks at; the others are ignored. Together the two hit every run of
 #: WINDOW aligned tokens in which at most three are substituted, wherever these are.
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 5, 7))
+#: A shorter item must be hit within its own width. With this one, the masks hit every item of MIN_TOKENS or
+#: more under all substitutions that SHARE leaves; it is sought for items shorter than WINDOW only.
+SHORT_MASK = (0, 1, 2, 5, 6)
+ALL_MASKS = (*MASKS, SHORT_MASK)
 #: An overlap counts if, of so many aligned tokens (all of a shorter item), this share is equal.
 WINDOW = 16
 SHARE = 0.8
@@ -34,40 +38,40 @@ def _seed(toks: Column, at: Column, number: int, mask: tuple[int, ...]) -> Colum
 
 def _positions(toks: Column) -> Column:
     """Where the shortest seed has room; a longer one reads nulls beyond the end, on both sides alike."""
-    last = F.size(toks) - (min(m[-1] for m in MASKS) + 1)
+    last = F.size(toks) - (min(m[-1] for m in ALL_MASKS) + 1)
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(h, before, item, at, len) for all positions and masks of the items' tokens.
+    """(h, before, item, at, len) for all positions of the items' tokens and all masks that their length asks for.
 
     ``before`` is the same mask's hash one token earlier, by which a hit that only continues a run is known.
     """
     at, toks = F.col("at"), F.col("toks")
-    both = [F.struct(_seed(toks, at, k, m).alias("h"), F.when(at > 0, _seed(toks, at - 1, k, m)).alias("before")) for k, m in enumerate(MASKS)]
+    each = [F.struct(_seed(toks, at, k, m).alias("h"), F.when(at > 0, _seed(toks, at - 1, k, m)).alias("before")) for k, m in enumerate(ALL_MASKS)]
     rows = items.select("item", "toks", F.explode(_positions(toks)).alias("at"))
-    rows = rows.select("item", "at", F.size("toks").alias("len"), F.explode(F.array(*both)).alias("s"))
+    rows = rows.select("item", "at", F.size("toks").alias("len"), F.explode(F.when(F.size("toks") < WINDOW, F.array(*each)).otherwise(F.array(*each[: len(MASKS)]))).alias("s"))
     return rows.select("s.h", "s.before", "item", "at", "len")
 
 
-def _hits_in_scan(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+def _hits_in_scan(rows: DataFrame, seeds: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     """First hits of runs (id, toks, p, item, at, len): all positions are probed where the text is read."""
     toks, p = F.col("toks"), F.col("p")
     rows = rows.select("id", "toks", F.explode(_positions(toks)).alias("p"))
-    rows = rows.select("id", "toks", "p", F.posexplode(F.array(*[_seed(toks, p, k, m) for k, m in enumerate(MASKS)])).alias("k", "h"))
-    earlier = F.when(F.col("k") == 0, _seed(toks, p - 1, 0, MASKS[0])).otherwise(_seed(toks, p - 1, 1, MASKS[1]))
+    rows = rows.select("id", "toks", "p", F.posexplode(F.array(*[_seed(toks, p, k, m) for k, m in enumerate(masks)])).alias("k", "h"))
+    earlier = F.coalesce(*[F.when(F.col("k") == k, _seed(toks, p - 1, k, m)) for k, m in enumerate(masks)])
     return rows.join(seeds, "h").where((p == 0) | F.col("before").isNull() | (F.col("before") != earlier))
 
 
-def _hits_by_shuffle(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+def _hits_by_shuffle(rows: DataFrame, seeds: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     """The same for seeds too many to broadcast: only hashes and places are shuffled to them.
 
     Hits then return to their texts by id and a hash of the tokens, so repeated rows do not multiply.
     """
     toks, p = F.col("toks"), F.col("p")
     rows = rows.withColumn("doc", F.xxhash64("toks"))
-    both = [F.struct(_seed(toks, p, k, m).alias("h"), F.when(p > 0, _seed(toks, p - 1, k, m)).alias("earlier")) for k, m in enumerate(MASKS)]
-    places = rows.select("id", "doc", "toks", F.explode(_positions(toks)).alias("p")).select("id", "doc", "p", F.explode(F.array(*both)).alias("s"))
+    each = [F.struct(_seed(toks, p, k, m).alias("h"), F.when(p > 0, _seed(toks, p - 1, k, m)).alias("earlier")) for k, m in enumerate(masks)]
+    places = rows.select("id", "doc", "toks", F.explode(_positions(toks)).alias("p")).select("id", "doc", "p", F.explode(F.array(*each)).alias("s"))
     hits = places.select("id", "doc", "p", "s.*").join(seeds, "h")
     hits = hits.where((p == 0) | F.col("before").isNull() | (F.col("before") != F.col("earlier")))
     hits = materialize(hits.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "p", "item", "at", "len").distinct(), "seed-hits")
@@ -92,10 +96,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     items = materialize(items, "items")
     seeds = materialize(item_seeds(items).distinct(), "seeds")
     n_seeds, n_items = seeds.count(), items.count()
+    masks = ALL_MASKS if items.where(F.size("toks") < WINDOW).limit(1).count() else MASKS
 
     toks, p = F.col("toks"), F.col("p")
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    hits = _hits_in_scan(rows, F.broadcast(seeds)) if n_seeds <= BROADCAST_SEEDS else _hits_by_shuffle(rows, seeds)
+    hits = _hits_in_scan(rows, F.broadcast(seeds), masks) if n_seeds <= BROADCAST_SEEDS else _hits_by_shuffle(rows, seeds, masks)
     low = F.greatest(p - F.col("at"), F.lit(0))
     offset = low - (p - F.col("at"))
     length = F.least(F.size("toks") - low, F.col("len") - offset)

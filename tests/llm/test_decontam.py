@@ -81,3 +81,28 @@ def test_empty_and_native(spark):
     assert decontam.drop_contaminated(one, bench).count() == 1
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_masks_hit_all_substitutions_of_short_items():
+    for width in range(decontam.MIN_TOKENS, decontam.WINDOW):
+        for bad in combinations(range(width), width - -int(-width * decontam.SHARE // 1)):
+            assert any(all(o + i not in bad for i in m) for m in decontam.ALL_MASKS for o in range(width - m[-1])), (width, bad)
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_SEEDS, 0])
+def test_short_items_with_substitutions(spark, monkeypatch, limit):
+    """Every tolerated pattern of substitutions at each width under WINDOW, and one too many."""
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", limit)
+    items = {w: [f"i{w}x{k}" for k in range(w)] for w in range(decontam.MIN_TOKENS, decontam.WINDOW)}
+    docs, want = [], set()
+    for w, item in items.items():
+        most = w - -int(-w * decontam.SHARE // 1)
+        for n in (most, most + 1):
+            for bad in combinations(range(w), n):
+                text = ["before", "it", *["other" if k in bad else t for k, t in enumerate(item)], "and", "more", "words", "after", "it"]
+                if n == most:
+                    want.add((len(docs), w))
+                docs.append((len(docs), " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(w, " ".join(t)) for w, t in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_contaminated(d, b).collect()} == want
