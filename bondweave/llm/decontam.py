@@ -124,3 +124,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that overlap no benchmark item; all columns stay. Rows without an id can't be named, so they stay."""
     bad = materialize(find_contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents whose text overlaps no benchmark item; all columns stay.
+
+    Whether a row goes depends on its text alone, so rows are named by a hash of it: an id may be null,
+    and rows that share one are judged each by its own text.
+    """
+    named = docs.withColumn("_text", F.xxhash64("text"))
+    bad = materialize(find_contaminated(named, benchmark, id_col="_text").select("_text").distinct(), "contaminated")
+    return named.join(bad, "_text", "left_anti").select(*docs.columns)

@@ -106,3 +106,12 @@ def test_short_items_with_substitutions(spark, monkeypatch, limit):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(w, " ".join(t)) for w, t in items.items()], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.find_contaminated(d, b).collect()} == want
+
+
+def test_rows_are_dropped_by_text_not_id(spark):
+    leak = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, "a b " + leak), (1, "clean text"), (None, leak), (None, "clean text"), (None, None), (2, leak + " c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontam.drop_contaminated_texts(d, spark.createDataFrame([(7, leak)], "item_id long, text string"))
+    assert kept.columns == d.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "clean text"), (None, "clean text"), (None, None)], key=str)
