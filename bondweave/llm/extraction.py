@@ -37,7 +37,7 @@ def _of_ancestors(ancestors: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[s
 def block_features(b: Block, previous: Block | None) -> list[str]:
     n, words = len(b.text), b.text.count(" ") + 1
     linked = b.linked / n
-    low = b.text[:200].lower()
+    low = b.text.lower()
     found = list(_of_ancestors(b.ancestors))
     found.append("words:%d" % min(6, words.bit_length()))
     found.append("linked:%d" % min(3, int(linked * 3.99)))

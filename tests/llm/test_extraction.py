@@ -93,3 +93,14 @@ def test_query_shape(spark):
     assert sorted((str(r.page_id), r.text) for r in got) == sorted([("1", want), ("2", ""), ("3", ""), ("None", want), ("1", want)])
     assert all(r.n_chars == len(r.text) for r in got)
     assert extraction.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("quote", "\"'")
+@pytest.mark.parametrize("n", [100, 5000, 300_000])
+def test_attribute_values_of_any_length(quote, n):
+    assert texts(f"<p data-s={quote}{'x' * n}a > LEAKED b{quote}>Main text.") == ["Main text."]
+
+
+def test_legal_signs_anywhere_in_a_block():
+    (b,) = leaf_blocks("<p>" + "word " * 100 + "cookie</p>")
+    assert "legal" in extraction.block_features(b, None)
