@@ -4,13 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
+
+    In local mode a temporary one is set where the session names none. On a cluster that would lose data
+    with the machine, so there a missing setting is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='bondweave-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the folder that the session names; a temporary one where it names none."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` from a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bondweave-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
