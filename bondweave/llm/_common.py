@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import checkpoints
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,15 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    Where the session names none (tests in local mode), a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='bondweave-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder that the driver and all executors share, as the session names it; see ``checkpoints.shared_dir``."""
+    return checkpoints.shared_dir(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -48,3 +43,24 @@ def word_count(text: Column) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Mark ``df`` for broadcast only when its counted rows stay within ``limit``; else Spark shuffles the join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, also where ``use`` refers to it for every element of an array.
+
+    A column of its own would not do: Catalyst merges projections and puts its expression inside the lambda.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array's elements up to and with each, by doubling: element i gets what ends 1, 2, 4, ... places before it.
+
+    n log n steps, where an ``aggregate`` that appends to an array would copy it n times.
+    """
+
+    def doubled(wide: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(wide) + F.lit(1))).cast("int"))
+        return F.aggregate(rounds, wide, lambda sums, k: F.transform(sums, lambda s, i: s + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
+
+    return let(F.transform(numbers, lambda n: n.cast("long")), doubled)

@@ -9,6 +9,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import let, running_sums
 
 TURN = "struct<role:string,text:string>"
 
@@ -72,55 +75,86 @@ LAYOUTS: tuple[Layout, ...] = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
 
+#: Every array's elements may hold these; a record is read into all known fields at once.
+_ELEMENT = "struct<" + ",".join(f"`{f}`:string" for f in ("role", "from", "text", "content", "value")) + ">"
+_ARRAYS = ("messages", "conversations", "conversation", "turns")
+_RECORD = "struct<" + ",".join([f"`{a}`:array<{_ELEMENT}>" for a in _ARRAYS] + [f"`{f}`:string" for f in FIELDS if f not in _ARRAYS]) + ">"
+#: The parser's own limit on one text is 20 million characters; a text here may be as long as a column can hold.
+_JSON = {"maxStringLen": str(2**31 - 1)}
+
+
+def skeleton(record: Column) -> Column:
+    """A JSON text with its escapes and every string of 100 characters or more taken out: its fields, and little else.
+
+    What is left parses in small memory however long the texts are. Names of known fields are short and
+    have no escapes, so they stay.
+    """
+    return F.regexp_replace(F.regexp_replace(record, r"\\.", ""), r'"([^"]{0,99}+)"|"[^"]*+"', '"$1"')
+
+
 def nested_paths(record: Column) -> Column:
     """Known nested field paths of a JSON text, names sorted at each level, without the types of scalars; null for no JSON."""
     scalar = r"(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\s*\d+\))"
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(F.try_parse_json(skeleton(record)))
     known = "|".join(FIELDS)
     schema = F.regexp_replace(schema, rf"(?<=[<\s])(?!(?:{known}): )(?:\w+|`[^`]*`): {scalar}(?:, |(?=>))", "")
     schema = F.regexp_replace(schema, rf": {scalar}", "")
     return F.regexp_replace(schema, r",\s*(?=>)", "")
 
 
+def paths_of_type(kind: T.DataType) -> str:
+    """The same for the type of a column of structs, which all its rows share."""
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{paths_of_type(kind.elementType)}>"
+    inner = {f.name: paths_of_type(f.dataType) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else "" for f in kind.fields}
+    shown = sorted((n, p) for n, p in inner.items() if p or n in FIELDS)
+    return f"OBJECT<{', '.join(f'{n}: {p}' if p else n for n, p in shown)}>"
+
+
 def fingerprint(record: Column) -> Column:
     return F.xxhash64(nested_paths(record))
 
 
-def _turns(layout: Layout, record: Column) -> Column:
-    """Canonical turns that a layout's mapping reads from a record."""
-    v = F.try_parse_json(record)
+def _turns(layout: Layout, got: Column, alias: Column) -> Column:
+    """Canonical turns that a layout's mapping reads from the fields of a record."""
     if layout.turns:
         array, role, text = layout.turns
-        got = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
-        named = F.transform(got, lambda t: F.struct(t[role].alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+        named = F.transform(got[array], lambda t: F.struct(t[role].alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
     else:
         one = []
         for role, fields in layout.parts:
-            texts = [F.nullif(F.try_variant_get(v, f"$.{f}", "string"), F.lit("")) for f in fields]
+            texts = [F.nullif(got[f], F.lit("")) for f in fields]
             one.append(F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *texts).alias("text")))
         system = layout.parts[0][0] == "system"
         named = F.array(*one)
         if system:  # an empty system text is no turn
             named = F.when(one[0]["text"] == "", F.array(*one[1:])).otherwise(named)
-    alias = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     return F.transform(named, lambda t: F.struct(F.coalesce(alias[F.lower(t["role"])], t["role"], F.lit("")).alias("role"), t["text"].alias("text")))
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Add ``layout`` and ``turns`` (array of role and text) to records of JSON text, all in one pass.
+    """Add ``layout`` and ``turns`` (array of role and text) to records, all in one pass.
 
-    The nested field paths of each record are hashed, and the hash picks the mapping. Records of unknown
-    layout, broken JSON and nulls get layout ``unknown`` and null turns, and stay; null texts become
-    empty; fields that no mapping knows are ignored if they are scalars. Existing columns ``layout`` and
-    ``turns`` are replaced.
+    ``record_col`` holds JSON texts or structs. The nested field paths of each record are hashed, and the
+    hash picks the mapping. Records of unknown layout, broken JSON and nulls get layout ``unknown`` and null
+    turns, and stay; null texts become empty; fields that no mapping knows are ignored if they are scalars.
+    Texts may be as long as a column can hold: paths come from a skeleton without long texts, and the texts
+    from a parser without a limit. Existing columns ``layout`` and ``turns`` are replaced.
     """
+    kind = records.schema[record_col].dataType
+    typed = isinstance(kind, T.StructType)
     record = F.col(record_col)
-    df = records.withColumn("_fp", fingerprint(record))
+    got = record if typed else F.from_json(record, _RECORD, _JSON)
+    mark = F.when(record.isNotNull(), F.xxhash64(F.lit(paths_of_type(kind)))) if typed else fingerprint(record)
+    df = records.withColumns({"_got": got, "_fp": mark})
+    alias = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     name, turns = F.lit("unknown"), F.lit(None).cast(f"array<{TURN}>")
     for lay in reversed(layouts):
+        if typed and lay.paths != paths_of_type(kind):
+            continue  # its fields are not there to be read
         hit = F.col("_fp") == F.xxhash64(F.lit(lay.paths))
-        name, turns = F.when(hit, F.lit(lay.name)).otherwise(name), F.when(hit, _turns(lay, record)).otherwise(turns)
-    return df.withColumn("layout", name).withColumn("turns", turns).drop("_fp")
+        name, turns = F.when(hit, F.lit(lay.name)).otherwise(name), F.when(hit, _turns(lay, F.col("_got"), alias)).otherwise(turns)
+    return df.withColumn("layout", name).withColumn("turns", turns).drop("_fp", "_got")
 
 
 def escape(text: Column) -> Column:
@@ -139,43 +173,51 @@ def format_turns(df: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     of one turn of a loss role, without any mark. No turns give an empty string and no spans.
     """
     marked = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("r"), escape(t["text"]).alias("t"), t["role"].isin(*loss_roles).alias("l")))
-    df = df.withColumn("_m", marked)
     formatted = F.array_join(F.transform("_m", lambda m: F.concat(F.lit(OPEN), m["r"], F.lit(SEP), m["t"], F.lit(CLOSE + "\n"))), "")
     head, tail = len(OPEN) + len(SEP), len(CLOSE) + 1
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    sums = running_sums(F.transform("_m", lambda m: head + F.length(m["r"]) + F.length(m["t"]) + tail))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + head + F.length(m["r"])
-        end = start + F.length(m["t"])
-        span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct((end + tail).cast("long").alias("at"), F.when(m["l"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def span(m: Column, end: Column) -> Column:
+        return F.when(m["l"], F.struct((end - tail - F.length(m["t"])).alias("start"), (end - tail).alias("end")))
 
-    return df.withColumn("formatted", formatted).withColumn("loss_spans", F.aggregate("_m", zero, step)["spans"]).drop("_m")
+    spans = F.filter(F.zip_with("_m", sums, span), lambda s: s.isNotNull())
+    return df.withColumn("_m", marked).withColumn("formatted", formatted).withColumn("loss_spans", spans).drop("_m")
 
 
 def read_back(df: DataFrame) -> DataFrame:
-    """Add ``turns_back`` (role and text) and ``loss_back`` (loss texts), read from ``formatted`` and ``loss_spans`` alone."""
+    """Add ``turns_back`` (role and text) and ``loss_back`` (loss texts), read from ``formatted`` and ``loss_spans`` alone.
+
+    Spans are looked up among the pieces by sorting both by place, so nothing is walked more than once.
+    """
     pieces = F.filter(F.split("formatted", "\\Q" + CLOSE + "\n\\E", -1), lambda p: p != "")
 
     def turn(p: Column) -> Column:
-        parts = F.split(p, "\\Q" + SEP + "\\E", 2)
-        return F.struct(unescape(F.substring(parts[0], len(OPEN) + 1, 2**31 - 1)).alias("role"), unescape(parts[1]).alias("text"))
+        both = lambda parts: F.struct(unescape(F.substring(parts[0], len(OPEN) + 1, 2**31 - 1)).alias("role"), unescape(parts[1]).alias("text"))
+        return let(F.split(p, "\\Q" + SEP + "\\E", 2), both)
+
+    def losses(ps: Column) -> Column:
+        ends = running_sums(F.transform(ps, lambda p: F.length(p) + len(CLOSE) + 1))
+        starts = F.zip_with(ps, ends, lambda p, end: F.struct((end - F.length(p) - len(CLOSE) - 1).alias("at"), F.lit(0).alias("span"), F.lit(None).cast("long").alias("n"), p.alias("piece")))
+        spans = F.transform("loss_spans", lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("span"), (s["end"] - s["start"]).alias("n"), F.lit(None).cast("string").alias("piece")))
+        return let(F.array_sort(F.concat(starts, spans)), lambda all_: F.filter(F.transform(all_, lambda e, i: loss(e, F.get(all_, i - 1))), lambda t: t.isNotNull()))
+
+    def loss(e: Column, before: Column) -> Column:
+        return F.when(e["span"] == 1, unescape(F.substring(before["piece"], (e["at"] - before["at"] + 1).cast("int"), e["n"].cast("int"))))
 
-    spans = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return df.withColumn("turns_back", F.transform(pieces, turn)).withColumn("loss_back", spans)
+    return df.withColumn("turns_back", let(pieces, lambda ps: F.transform(ps, turn))).withColumn("loss_back", let(pieces, losses))
 
 
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One JSON record {"messages": [{"role", "text"}]} for each conversation of a table of turns.
+    """One record struct(messages: array of (role, text)) for each conversation of a table of turns.
 
-    Turns come by number, ties by role and text; repeated rows stay; null roles and texts are empty.
-    Rows without a conversation id form one conversation. One conversation is the unit of formatting, so
-    its turns meet in one row; no more than that ever does.
+    Turns come by number, ties by role and text; repeated rows stay; null roles and texts are empty; texts
+    may be of any length. Rows without a conversation id form one conversation. One conversation is the
+    unit of formatting, so its turns meet in one row; no more than that ever does.
     """
     message = F.struct(F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     turns = rows.select(F.col(id_col).alias(id_col), F.struct(F.col(turn_col).alias("n"), message.alias("m")).alias("t"))
     grouped = turns.groupBy(id_col).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return grouped.select(id_col, F.to_json(F.struct(F.transform("ts", lambda t: t["m"]).alias("messages"))).alias("record"))
+    return grouped.select(id_col, F.struct(F.transform("ts", lambda t: t["m"]).alias("messages")).alias("record"))
 
 
 def chat_digest(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _REST = "coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '')"
 
 _OP8 = f"""
@@ -18,8 +20,9 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verd
 
 ORACLES: dict[str, str] = {"op8_url_filter": _OP8}
 
-# The escape of control strings, as in ``chat``: one backslash more after the first character.
-_ESCAPE = r"""regexp_replace({0}, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g')"""
+# How many control strings a text holds, each counted by itself; each is one character longer when formatted.
+_CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+_MARKS = "(" + " + ".join(r"len(regexp_extract_all({0}, '" + re.escape(c[0]) + r"\\*" + re.escape(c[1:]) + "'))" for c in _CONTROL if c[0] + c[2:] not in _CONTROL) + ")"
 
 _OP10 = f"""
 WITH t AS (
@@ -29,7 +32,7 @@ g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-         sum(length({_ESCAPE.format('role')}) + length({_ESCAPE.format('text')}) + length('<|im_start|><|im_sep|><|im_end|>') + 1) AS formatted_chars
+         sum(length(role) + {_MARKS.format('role')} + length(text) + {_MARKS.format('text')} + length('<|im_start|><|im_sep|><|im_end|>') + 1) AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, 'messages.role.text' AS layout

@@ -72,3 +72,38 @@ def test_fingerprint_ignores_order_and_types(spark):
     assert a == b
     with pytest.raises(AssertionError):
         assert a == spark.createDataFrame([('{"prompt": "a"}',)], "record string").select(chat.fingerprint(F.col("record"))).first()[0]
+
+
+def digest(spark, df):
+    return chat.chat_digest(chat.format_turns(chat.canonical_turns(df)), df.columns[0]).collect()
+
+
+def test_texts_beyond_the_parsers_own_limit(spark):
+    """One turn of 25 million characters, as rows and as a JSON record."""
+    n = 123 * 200_000
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit('a"\n<s>' + "words " * 19 + "end"), (F.col("id") + 200_000).cast("int")).alias("text"))
+    (a,) = digest(spark, chat.records_of_rows(rows))
+    json_record = rows.select("conv_id", F.to_json(F.struct(F.array(F.struct("role", "text")).alias("messages"))).alias("record"))
+    (b,) = digest(spark, json_record)
+    assert a == b and (a.n_turns, a.loss_chars, a.layout) == (1, n, "messages.role.text")
+    (c,) = digest(spark, rows.select("conv_id", F.to_json(F.struct(F.lit("p").alias("prompt"), F.col("text").alias("completion"))).alias("record")))
+    assert (c.n_turns, c.loss_chars, c.loss_sha256) == (2, n, a.loss_sha256)
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    import time
+
+    rows = spark.range(60_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <s> "), F.col("id").cast("string")).alias("text"))
+    began = time.perf_counter()
+    (r,) = digest(spark, chat.records_of_rows(rows))
+    assert r.n_turns == 60_000 and r.loss_chars == sum(len(f"text <s> {i}") for i in range(1, 60_000, 2))
+    assert time.perf_counter() - began < 30
+
+
+def test_structs_of_other_layouts(spark):
+    df = spark.createDataFrame([(1, ("be", "q", "a", 3)), (2, None)], "conv_id long, record struct<system:string,question:string,answer:string,score:int>")
+    got = {r.conv_id: r for r in chat.canonical_turns(df).collect()}
+    assert [tuple(t) for t in got[1].turns] == [("system", "be"), ("user", "q"), ("assistant", "a")]
+    assert got[2].layout == "unknown" and got[2].turns is None
+    other = spark.createDataFrame([(1, ("x",))], "conv_id long, record struct<foo:string>")
+    assert chat.canonical_turns(other).first().layout == "unknown"
