@@ -16,6 +16,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import let, running_sums
+
 #: Expanding classes and alternatives into literal strings stops at so many.
 MAX_STRINGS = 64
 #: Bits of a long that stand for trigrams.
@@ -108,31 +110,26 @@ def trigram_query(pattern: str) -> Query:
     return query
 
 
-def postings(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The inverted index (trigram, id) for the trigrams that the rules ask for."""
-    held = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("_low"), t))
-    return docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("_low")).select("id", F.explode(held).alias("trigram"))
+def postings(text: Column, trigrams: list[str]) -> list[Column]:
+    """The index entries of a text: one bit for each trigram that the rules ask for, MASK_BITS to a long.
 
+    Bits stay in their document's row, so the index is as large as the table has rows, and nothing has to
+    be brought together again to intersect postings or to verify.
+    """
+    low = F.lower(text)
+    held = [F.when(F.contains(low, F.lit(t)), F.lit(1 << (i % MASK_BITS))).otherwise(F.lit(0)).cast("long") for i, t in enumerate(trigrams)]
+    return [reduce(lambda a, b: a + b, held[i : i + MASK_BITS]) for i in range(0, len(held), MASK_BITS)]
 
-def candidates(index: DataFrame, queries: dict[str, Query], trigrams: list[str]) -> DataFrame:
-    """(id, rules): the rules whose Boolean query a document's postings satisfy.
 
-    All postings of a document are intersected at once: each sets its trigram's bit, the bits are
-    combined (before the shuffle where they can), and each alternative is a test of bits.
-    """
-    words = -(-len(trigrams) // MASK_BITS)
+def candidate(masks: list[str], query: Query, trigrams: list[str]) -> Column:
+    """Whether a document's postings satisfy a rule's Boolean query: each alternative is a test of bits."""
     place = {t: divmod(i, MASK_BITS) for i, t in enumerate(trigrams)}
-    number = F.create_map(*[F.lit(x) for i, t in enumerate(trigrams) for x in (t, i)])[F.col("trigram")]
-    powers = F.array(*[F.lit(1 << i) for i in range(MASK_BITS)])
-    bit = [F.when(F.floor(number / MASK_BITS) == w, F.get(powers, number % MASK_BITS)).otherwise(0).cast("long") for w in range(words)]
-    held = index.groupBy("id").agg(*[F.bit_or(b).alias(f"m{w}") for w, b in enumerate(bit)])
 
     def has(alternative: frozenset[str]) -> Column:
-        masks = [sum(1 << place[t][1] for t in alternative if place[t][0] == w) for w in range(words)]
-        return reduce(lambda a, b: a & b, [F.col(f"m{w}").bitwiseAND(F.lit(m)) == m for w, m in enumerate(masks) if m])
+        wanted = [sum(1 << place[t][1] for t in alternative if place[t][0] == w) for w in range(len(masks))]
+        return reduce(lambda a, b: a & b, [F.col(masks[w]).bitwiseAND(F.lit(m)) == m for w, m in enumerate(wanted) if m])
 
-    met = [F.when(reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(has, group)) for group in q]), F.lit(kind)) for kind, q in queries.items()]
-    return held.select("id", F.filter(F.array(*met), lambda k: k.isNotNull()).alias("rules")).where(F.size("rules") > 0)
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(has, group)) for group in query])
 
 
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
@@ -144,16 +141,13 @@ def _spans(rule: Rule, rank: int, text: Column) -> Column:
     matches, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     kept = matches if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     steps = F.arrays_zip(F.transform(pieces, F.length).alias("p"), F.transform(matches, F.length).alias("m"), F.transform(kept, F.length).alias("k"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["p"]
-        end = start + F.coalesce(s["m"], F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        good = s["k"] >= rule.min_chars
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(found: Column) -> Column:
+        ends = running_sums(F.transform(found, lambda s: s["p"] + F.coalesce(s["m"], F.lit(0))))
+        span = lambda s, end: F.struct((end - s["m"]).cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("int").alias("end"))
+        return F.filter(F.zip_with(found, ends, lambda s, end: F.when(s["k"] >= rule.min_chars, span(s, end))), lambda s: s.isNotNull())
 
-    return F.aggregate(steps, zero, step)["spans"]
+    return let(steps, placed)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,22 +155,22 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     Rules with mandatory trigrams are verified by their regex in the candidates that the index gives;
     rules without any (such as ``hex``) scan every text. The index only ever leaves out texts that
-    cannot match, so the result is that of scanning all texts with all rules. Null texts are empty;
-    rows with one id, or none, share candidates but are verified each on its own text; an empty table
-    gives no rows; no columns but the two named are read.
+    cannot match, so the result is that of scanning all texts with all rules. Null texts are empty; a
+    text's spans take n log n steps of its matches, whatever its length; rows are judged one by one, so
+    repeated and null ids need nothing special; an empty table gives no rows; no columns but the two
+    named are read. Nothing is shuffled.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for g in q for alt in g for t in alt})
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = candidates(postings(docs, trigrams, id_col, text_col), queries, trigrams) if trigrams else docs.sparkSession.createDataFrame([], "id long, rules array<string>")
-    both = texts.join(found.select(F.col("id").alias("_id"), "rules"), F.col("id").eqNullSafe(F.col("_id")), "left")
+    bits = {f"m{w}": b for w, b in enumerate(postings(F.col("text"), trigrams))}
     none = F.array().cast(f"array<{SPAN}>")
     per_rule = []
     for rank, rule in enumerate(rules):
         # A look for one match first: most texts have none. A long enough match is sought where the rule has no group.
-        may = F.array_contains("rules", rule.kind) if rule.kind in queries else F.lit(True)
+        may = candidate(list(bits), queries[rule.kind], trigrams) if rule.kind in queries else F.lit(True)
         per_rule.append(F.when(may & F.col("text").rlike(_quick(rule)), _spans(rule, rank, F.col("text"))).otherwise(none))
-    return both.select(F.col("id").alias(id_col), F.array_sort(F.concat(*per_rule)).alias("spans"))
+    return texts.withColumns(bits).select(F.col("id").alias(id_col), F.array_sort(F.concat(*per_rule)).alias("spans"))
 
 
 def _quick(rule: Rule) -> str:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from bondweave.llm import secrets
 
@@ -78,3 +79,22 @@ def test_empty_and_native(spark):
     assert found.collect() == []
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("piece", ["secret=", "secret=abcdef ", "deadbeef" * 4 + "\n", "AKIA" + "B" * 20 + " ", "token:"])
+def test_dense_texts_take_time_in_proportion(spark, piece):
+    """5 MB of matches, beside a plain scan."""
+    import time
+
+    n = 5_000_000 // len(piece)
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(piece), (F.col("id") + n).cast("int")).alias("text"))
+    began = time.perf_counter()
+    (got,) = secrets.secrets_digest(secrets.find_secrets(df)).collect()
+    assert time.perf_counter() - began < 40
+    want = plain(piece * n)
+    assert got.spans == ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in want)
+
+
+def test_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
+    assert "Exchange" not in secrets.find_secrets(df)._jdf.queryExecution().executedPlan().toString()
