@@ -115,3 +115,23 @@ def test_rows_are_dropped_by_text_not_id(spark):
     kept = decontam.drop_contaminated_texts(d, spark.createDataFrame([(7, leak)], "item_id long, text string"))
     assert kept.columns == d.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "clean text"), (None, "clean text"), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_SEEDS, 0])
+def test_shortest_items_are_found_unchanged(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", limit)
+    monkeypatch.setattr(decontam, "BROADCAST_ITEMS", limit)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 12)}
+    docs, want = [], set()
+    for n, item in items.items():
+        for before, after in (("", ""), ("a b", ""), ("", "c d"), ("a b c d e f g h i", "j k")):
+            want.add((len(docs), n))
+            docs.append((len(docs), f"{before} {' '.join(item)} {after}".strip()))
+        if n < decontam.MIN_TOKENS:
+            docs.append((len(docs), "a b " + " ".join([*item[:-1], "other"]) + " c d"))
+    d = spark.createDataFrame(docs + [(900, None), (901, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    found = lambda **k: {(r.doc_id, r.item_id) for r in decontam.find_contaminated(d, b, **k).collect()}
+    assert found(min_tokens=1) == want
+    assert found(min_tokens=3) == {(i, n) for i, n in want if n >= 3}
+    assert found() == {(i, n) for i, n in want if n >= decontam.MIN_TOKENS}
