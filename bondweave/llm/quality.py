@@ -72,7 +72,7 @@ def features(c: pd.DataFrame) -> np.ndarray:
         return np.log(c[name].to_numpy(float) / of + LEAST_SHARE)
 
     cols = (
-        np.log(np.minimum(chars / words, 40)),
+        np.log(chars / words),
         share("n_symbols", words),
         share("n_dup_lines", np.maximum(c["n_lines"].to_numpy(float), 1)),
         share("n_repeat_words", words),
@@ -191,8 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     if picked.empty:
         return None
     small = F.broadcast(spark.createDataFrame(picked))  # max_labelled rows of two numbers at most
-    counted = docs.select("doc_id", "text").join(small, "doc_id").mapInPandas(_counts_of, f"doc_id long, quality int, {_SCHEMA}")
-    rows = counted.distinct().orderBy("doc_id", *COUNTS).limit(2 * max_labelled).toPandas()  # an id may have many rows
+    counted = docs.select("doc_id", "text").join(small, "doc_id").mapInPandas(_counts_of, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, quality int, {_SCHEMA}")
+    # An id may have many rows: of these too a sample by hash, over all ids alike.
+    rows = counted.distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id", *COUNTS), "doc_id", *COUNTS).limit(2 * max_labelled).toPandas()
     if rows.empty:
         return None
     x, good = features(rows), rows["quality"].to_numpy() > 0
@@ -224,7 +225,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             cut = forest.threshold if forest else np.inf
             yield c.assign(base_failed=failed, score=score, kept=~failed & (score <= cut))
 
-    return docs.select("doc_id", "text").mapInPandas(verdicts, f"doc_id long, {_SCHEMA}, base_failed boolean, score double, kept boolean")
+    return docs.select("doc_id", "text").mapInPandas(verdicts, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}, base_failed boolean, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
