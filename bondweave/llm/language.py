@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import materialize
+from ._common import materialize, shared_dir
 
 ORDER = 4
 BITS = 12
-#: N-grams and contexts of one order that the model keeps, over all languages; the most frequent ones.
-#: All counts behind them cover all training texts.
-MAX_GRAMS = 120_000
 #: Training documents set aside for calibration, at most; they are not counted.
 MAX_CALIBRATION = 2_000
-#: Entries that a task holds before it combines them.
-HELD = 4_000_000
+#: Share of the texts of its own language, as measured on the rows set aside, that a model rejects.
+REJECTED = 0.01
+#: Entries that a task holds before it combines them, and symbols that are scored at once.
+HELD, CHUNK = 4_000_000, 1 << 20
+#: The arrays are stored and read in pieces of about so many bytes; a worker keeps so many of them in memory.
+PIECE_BYTES, HELD_PIECES = 2 << 20, 64
 
 _SPACE = 1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
-    """Symbol of each code point: letters fold to 12 bits, all else is a space."""
+    """Symbol of each code point: letters fold to 12 bits, all else is a space.
+
+    Alphabets below U+0C00 keep their letters apart; of what comes later, kana, hangul, ideographs and all
+    others fold within ranges of their own, so that scripts are never mixed.
+    """
     if not _letters:
         cp = np.arange(0x110000)
         isalpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        _letters.append(np.where(isalpha, np.where(cp < 3072, cp, 3072 + cp % 1024), _SPACE).astype(np.uint16))
+        kana = (cp >= 0x3040) & (cp <= 0x30FF)
+        hangul = (cp >= 0xAC00) & (cp <= 0xD7A3)
+        ideograph = (cp >= 0x3400) & (cp <= 0x9FFF) | (cp >= 0xF900) & (cp <= 0xFAFF) | (cp >= 0x20000) & (cp <= 0x3FFFF)
+        folded = np.select([cp < 3072, kana, hangul, ideograph], [cp, 3072 + cp % 192, 3264 + cp % 192, 3456 + cp % 448], 3904 + cp % 192)
+        _letters.append(np.where(isalpha, folded, _SPACE).astype(np.uint16))
     return _letters[0]
 
 
@@ -59,71 +73,150 @@ def _mask(order: int) -> np.uint64:
     return np.uint64((1 << (BITS * order)) - 1)
 
 
-@dataclass
-class Table:
-    """Keys as sorted hashes, and a row of values (one for each language) for each."""
+_HALF, _ODD = (1 << 24) - 1, 0x9E3779
+
+
+def spread(g: np.ndarray | Column) -> np.ndarray | Column:
+    """A hash of 48 bits, one to one: two rounds in which each half changes the other. The same in numpy and in Spark."""
+    column = isinstance(g, Column)
+    low = (lambda v: v.bitwiseAND(F.lit(_HALF))) if column else (lambda v: v & _HALF)
+    right = F.shiftright if column else (lambda v, n: v >> n)
+    left = F.shiftleft if column else (lambda v, n: v << n)
+    xor = (lambda a, b: a.bitwiseXOR(b)) if column else (lambda a, b: a ^ b)
+    hi, lo = right(g, 24), low(g)
+    hi = xor(hi, low(right(lo * _ODD, 12)))
+    lo = xor(lo, low(right(hi * _ODD, 12)))
+    return left(hi, 24) + lo
 
-    hashes: np.ndarray
-    values: np.ndarray
 
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> "Table":
-        hashes = keys * _MIX
-        order = np.argsort(hashes)
-        return cls(hashes[order], values[order].astype(np.float32))
+class Arrays:
+    """The model's sorted hash arrays: row groups of Parquet files that Spark has brought to this machine.
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = keys * _MIX
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return at, self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+    Each is known by the range of its keys and read when one of its keys is asked for; HELD_PIECES of them
+    stay in memory, so a worker's memory does not grow with the model.
+    """
+
+    def __init__(self, files: tuple[str, ...]):
+        self.pieces: list[tuple[int, int, pq.ParquetFile, int]] = []
+        for name in files:
+            file = pq.ParquetFile(SparkFiles.get(name))
+            for i in range(file.num_row_groups):
+                keys = file.metadata.row_group(i).column(0).statistics
+                self.pieces.append((keys.min, keys.max, file, i))
+        self.pieces.sort(key=lambda p: p[:2])
+        self.starts = np.array([p[0] for p in self.pieces], np.int64)
+        self.held: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+    def _piece(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        if at not in self.held:
+            _, _, file, group = self.pieces[at]
+            table = file.read_row_group(group, use_threads=False)
+            keys = table.column("key").to_numpy()
+            self.held[at] = keys, np.asarray(table.column("values").combine_chunks().flatten()).reshape(len(keys), -1)
+            if len(self.held) > HELD_PIECES:
+                self.held.popitem(last=False)
+        self.held.move_to_end(at)
+        return self.held[at]
+
+    def find(self, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values of ``keys`` (any order), and which of them are there."""
+        order = np.argsort(keys)
+        wanted = keys[order]
+        values, hit = np.zeros((len(keys), width), np.float32), np.zeros(len(keys), bool)
+        piece = np.searchsorted(self.starts, wanted, "right") - 1
+        edges = np.flatnonzero(np.diff(piece, prepend=-2)).tolist() + [len(wanted)]
+        for low, high in zip(edges, edges[1:]):
+            if piece[low] < 0:
+                continue
+            have, rows = self._piece(int(piece[low]))
+            at = np.minimum(np.searchsorted(have, wanted[low:high]), len(have) - 1)
+            found = have[at] == wanted[low:high]
+            hit[order[low:high]] = found
+            values[order[low:high][found]] = rows[at[found]]
+        return values, hit
+
+
+#: The arrays that this process has open, by the names of their files.
+_open: dict[tuple[str, ...], Arrays] = {}
+
+
+def _key(kind: int, h: np.ndarray | Column) -> np.ndarray | Column:
+    """One order for all arrays: probabilities of order k are kind k, weights of contexts of k symbols kind ORDER + k."""
+    return h + (kind << (BITS * ORDER))
 
 
 @dataclass
 class Model:
-    """``probs[k]`` has log2 of the interpolated probability of kept (k+1)-grams, ``backoff[k]`` that of the
-    weight which a context of k symbols leaves to the shorter one."""
+    """What a worker needs to read the arrays. They hold, for every n-gram that occurs in any language, log2 of
+    its interpolated probability in each, and for every context log2 of the weight that it leaves to the shorter one."""
 
     langs: list[str]
-    probs: list[Table] = field(default_factory=list)
-    backoff: list[Table] = field(default_factory=list)
+    files: tuple[str, ...] = ()
     unknown: np.ndarray | None = None
     temperature: float = 1.0
     worst: dict[str, float] = field(default_factory=dict)
 
+    def _find(self, kind: int, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.files not in _open:
+            _open[self.files] = Arrays(self.files)
+        return _open[self.files].find(_key(kind, spread(grams_.astype(np.int64))), len(self.langs))
+
     def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """One row of log2 probabilities by language for each packed n-gram: what is stored, or else back-off."""
         if order == 0:
             return np.broadcast_to(self.unknown, (len(keys), len(self.langs)))
-        table = self.probs[order - 1]
-        at, hit = table.find(keys)
-        out = table.values[at] if len(table.hashes) else np.zeros((len(keys), len(self.langs)), np.float32)
-        if not hit.all():
-            miss = ~hit
+        out, hit = self._find(order, keys)
+        miss = ~hit
+        if miss.any():
             rest = keys[miss]
             low = self.log_probs(rest & _mask(order - 1), order - 1)
             if order > 1:
-                left = self.backoff[order - 1]
-                ctx_at, ctx_hit = left.find(rest >> np.uint64(BITS))
-                low = low + np.where(ctx_hit[:, None], left.values[ctx_at], 0) if len(left.hashes) else low
+                weight, known = self._find(ORDER + order - 1, rest >> np.uint64(BITS))
+                low = low + np.where(known[:, None], weight, 0)
             out[miss] = low
         return out
 
-    def entropies(self, text: str, chunk: int = 1 << 18) -> tuple[np.ndarray, int]:
-        """Cross-entropy in bits per symbol under each language, and the number of symbols (0: no letter)."""
-        keys = grams(text)
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(keys), chunk):
-            total += self.log_probs(keys[i : i + chunk]).sum(axis=0, dtype=np.float64)
-        return -total / max(1, len(keys)), len(keys)
-
-    def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """(language, score, cross-entropy, rejected). Null texts and those without a letter are ``und``."""
-        h, n = self.entropies(text) if text and self.langs else (np.zeros(0), 0)
-        if not n:
-            return "und", 0.0, None, True
-        best = int(h.argmin())
-        score = float(_posterior(h, n, self.temperature)[best])
-        return self.langs[best], score, float(h[best]), bool(h[best] > self.worst.get(self.langs[best], np.inf))
+    def entropies(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy in bits per symbol of each text under each language, and its number of symbols (0: no letter).
+
+        N-grams of many texts are looked up together, each once; those of a long text in parts of CHUNK.
+        """
+        texts = list(texts)
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        waiting: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def settle() -> None:
+            keys, where = np.unique(np.concatenate([g for _, g in waiting]), return_inverse=True)
+            starts = np.cumsum([0] + [len(g) for _, g in waiting[:-1]])
+            sums = np.add.reduceat(self.log_probs(keys)[where], starts, axis=0, dtype=np.float64)
+            np.add.at(total, [i for i, _ in waiting], sums)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            g = grams(text) if text else np.zeros(0, np.uint64)
+            n[i] = len(g)
+            for k in range(0, len(g), CHUNK):
+                waiting.append((i, g[k : k + CHUNK]))
+                size += len(waiting[-1][1])
+                if size >= CHUNK:
+                    settle()
+                    size = 0
+        if waiting:
+            settle()
+        return -total / np.maximum(1, n)[:, None], n
+
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """(language, score, cross-entropy, rejected) of each. Null texts and those without a letter are ``und``."""
+        texts = list(texts)
+        if not self.langs:
+            return [("und", 0.0, None, True)] * len(texts)
+        out = []
+        for h, n in zip(*self.entropies(texts)):
+            best = int(h.argmin())
+            limit = self.worst.get(self.langs[best], np.inf)
+            out.append((self.langs[best], float(_posterior(h, n, self.temperature)[best]), float(h[best]), bool(h[best] > limit)) if n else ("und", 0.0, None, True))
+        return out
 
 
 def _posterior(h: np.ndarray, n: int, temperature: float) -> np.ndarray:
@@ -168,66 +261,90 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from combined()
 
 
-def _kept(table: DataFrame, per_lang: int, key: str) -> pd.DataFrame:
-    """The most frequent entries of each language, ``per_lang`` of them.
+def _by_lang(df: DataFrame, key: str, values: tuple[str, ...], langs: list[str]) -> DataFrame:
+    """One row for each key, with an array by language for each of ``values`` (0 where a language has none)."""
+    numbers = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    rows = df.select(key, F.struct(numbers[F.col("lang")].alias("i"), F.struct(*[F.col(v).cast("double").alias(v) for v in values]).alias("v")).alias("e"))
+    wide = rows.groupBy(key).agg(F.map_from_entries(F.collect_list("e")).alias("m"))  # as many entries as languages, at most
+    every = F.sequence(F.lit(0), F.lit(len(langs) - 1))
 
-    The cut comes from the numbers of entries with each count; of those at the cut a share by hash fills
-    up what is left. So no task ranks a language's entries, and no more than are kept reach the driver.
-    The cuts, one row for each language, are broadcast, so the entries stay where they are.
+    def of(value: str) -> Column:
+        return F.transform(every, lambda i: F.coalesce(F.element_at("m", i)[value], F.lit(0.0))).alias(value)
+
+    return wide.select(key, *map(of, values))
+
+
+def _log2_sum(seen: Column, power: Column) -> Column:
+    """log2(seen + 2^power), element by element."""
+    return F.zip_with(seen, power, lambda a, b: F.log2(a + F.pow(F.lit(2.0), b)))
+
+
+def _store(tables: list[DataFrame], spark) -> tuple[str, ...]:
+    """Write all entries as one sorted table of (key, values), and have Spark bring its files to the executors.
+
+    Files in a shared store are fetched from there by each executor, also by those that start later.
     """
-    sizes = table.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.withColumn("upto", F.sum("c").over(Window.partitionBy("lang").orderBy(F.col("n").desc())))
-    cut = sizes.where(F.col("upto") > per_lang).groupBy("lang").agg(F.max(F.struct("n", "c", "upto")).alias("cut"))
-    share = (per_lang - F.col("cut.upto") + F.col("cut.c")) / F.col("cut.c")
-    tie = (F.col("n") == F.col("cut.n")) & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share * 1_000_000)
-    kept = table.join(F.broadcast(cut), "lang", "left").where(F.col("cut").isNull() | (F.col("n") > F.col("cut.n")) | tie).drop("cut").toPandas()
-    return kept.sort_values(["lang", "n", key], ascending=[True, False, True]).groupby("lang").head(per_lang)
+    both = reduce(DataFrame.unionByName, tables)
+    sorted_ = both.select("key", F.col("values").cast("array<float>").alias("values")).repartitionByRange("key").sortWithinPartitions("key")
+    path = f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
+    sorted_.write.option("parquet.block.size", PIECE_BYTES).option("parquet.enable.dictionary", "false").parquet(path)
+    files = spark.read.parquet(path).inputFiles()
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return tuple(sorted(f.rsplit("/", 1)[-1] for f in files))
 
 
-def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, max_calibration: int = MAX_CALIBRATION, seed: int = 3) -> Model:
+def fit(docs: DataFrame, max_calibration: int = MAX_CALIBRATION, seed: int = 3) -> Model:
     """Models of all languages in ``lang`` of the documents that are not held out, from text and lang alone.
 
     The counts cover all training texts: tasks count, Spark sums. Raw counts are needed for the highest
     order only; those of a lower order are the numbers of distinct predecessors (continuation counts),
-    taken from the next order by grouping. Discounts come from the counts of ones and twos.
+    taken from the next order by grouping. Discounts come from the counts of ones and twos. Every n-gram
+    and every context that occurs is kept, so the model grows with the corpus; it is put together by joins
+    on n-grams and stays in the shared folder as sorted arrays. A suffix or context of one n-gram is that of
+    4 096 at most, so no join key is hot.
     """
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    picked = train.where(aside).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_calibration).toPandas()
-    small = F.broadcast(spark.createDataFrame(picked, "doc_id long"))  # max_calibration ids at most
+    picked = train.where(aside).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_calibration).collect()
+    small = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], T.StructType([T.StructField("doc_id", id_type)])))  # max_calibration ids at most
     counted = train.join(small, "doc_id", "left_anti").select("lang", "text").mapInPandas(_count, "lang string, g long, n long")
-    level = materialize(counted.groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
-    langs = sorted(r[0] for r in level.select("lang").distinct().collect())
+    levels = {ORDER: materialize(counted.groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.col("g").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("g")
+        levels[k] = materialize(levels[k + 1].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n")), "grams")
+    langs, discount, total, types = _sums(levels)
     if not langs:
         return Model([])
-    per_lang = max(1, max_grams // len(langs))
-    number = {lang: i for i, lang in enumerate(langs)}
-    orders: dict[int, tuple] = {}
-    for k in range(ORDER, 0, -1):
-        ones = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")).toPandas()
-        discount = np.full(len(langs), 0.5)
-        total, types = np.ones(len(langs)), np.zeros(len(langs))
-        for r in ones.itertuples():
-            i = number[r.lang]
-            discount[i] = min(0.95, max(0.05, r.a / (r.a + 2 * r.b))) if r.a + r.b else 0.5
-            total[i], types[i] = r.total, r.types
-        contexts = None
-        if k > 1:
-            by_context = level.groupBy("lang", F.shiftright("g", BITS).alias("ctx")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-            contexts = _kept(by_context, per_lang, "ctx")
-        orders[k] = (_kept(level, per_lang, "g"), contexts, discount, total, types)
-        if k > 1:
-            level = materialize(level.groupBy("lang", F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n")), "grams")
-    model = _assemble(langs, orders)
-    if not len(picked):
+    uniform = np.maximum(discount[1] * types / total, 1e-6) / (1 << BITS)
+    model = Model(langs, unknown=np.log2(uniform).astype(np.float32))
+    array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    wide = _by_lang(levels[1], "g", ("n",), langs)
+    share = F.zip_with(F.zip_with("n", array(discount[1]), lambda n, d: F.greatest(n - d, F.lit(0.0))), array(total), lambda a, t: a / t)
+    probs = {1: materialize(wide.select("g", _log2_sum(share, array(np.log2(uniform))).alias("p")), "probabilities")}
+    entries = []
+    for k in range(2, ORDER + 1):
+        ctx = F.shiftright("g", BITS)
+        by_context = levels[k].groupBy("lang", ctx.alias("ctx")).agg(F.sum("n").alias("sums"), F.count(F.lit(1)).alias("kinds"))
+        contexts = _by_lang(by_context, "ctx", ("sums", "kinds"), langs)
+        left = F.zip_with(F.zip_with("kinds", array(discount[k]), lambda x, d: x * d), "sums", lambda x, s: F.when(s > 0, F.log2(x / s)).otherwise(0.0))
+        contexts = materialize(contexts.select("ctx", "sums", left.alias("weight")), "contexts")
+        entries.append(contexts.select(_key(ORDER + k - 1, spread(F.col("ctx"))).alias("key"), F.col("weight").alias("values")))
+        rows = _by_lang(levels[k], "g", ("n",), langs).select("g", "n", ctx.alias("ctx"), F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("low"))
+        rows = rows.join(contexts, "ctx").join(probs[k - 1].select(F.col("g").alias("low"), F.col("p").alias("lower")), "low")
+        above = F.zip_with("n", array(discount[k]), lambda n, d: F.greatest(n - d, F.lit(0.0)))
+        seen = F.zip_with(above, "sums", lambda a, s: F.when(s > 0, a / s).otherwise(0.0))
+        probs[k] = materialize(rows.select("g", _log2_sum(seen, F.zip_with("weight", "lower", lambda w, p: w + p)).alias("p")), "probabilities")
+    entries += [p.select(_key(k, spread(F.col("g"))).alias("key"), F.col("p").alias("values")) for k, p in probs.items()]
+    model.files = _store(entries, spark)
+    if not picked:
         return model
-    shared = spark.sparkContext.broadcast(model)  # max_grams bounds it
 
     def entropies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shared.value.entropies(t) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "h": [h for h, _ in found], "n": [n for _, n in found]})
+            h, n = model.entropies(pdf["text"])
+            yield pd.DataFrame({"lang": pdf["lang"].to_numpy(), "h": list(h), "n": n})
 
     # Texts are scored where they are; of an id with many rows no more numbers come back than of others.
     scored = train.select("doc_id", "lang", "text").join(small, "doc_id").select("lang", "text").mapInPandas(entropies, "lang string, h array<double>, n long")
@@ -235,45 +352,26 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, max_calibration: int = MAX_
     return _calibrate(model, rows.toPandas())
 
 
-def _assemble(langs: list[str], orders: dict[int, tuple]) -> Model:
-    number, n_langs = {lang: i for i, lang in enumerate(langs)}, len(langs)
-    model = Model(langs)
-    _, _, discount, total, types = orders[1]
-    uniform = np.maximum(discount * types / total, 1e-6) / (1 << BITS)
-    model.unknown = np.log2(uniform).astype(np.float32)
-    for k in range(1, ORDER + 1):
-        kept, contexts, discount, total, types = orders[k]
-        keys, row = np.unique(kept["g"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        col = kept["lang"].map(number).to_numpy(int)
-        count = np.zeros((len(keys), n_langs))
-        count[row, col] = kept["n"]
-        if k == 1:
-            of_ctx = np.broadcast_to(total, count.shape)
-            left = np.zeros_like(count)  # the uniform share is added below
-            model.backoff.append(Table.of(np.zeros(0, np.uint64), np.zeros((0, n_langs))))
-            lower = np.broadcast_to(model.unknown, count.shape)
-        else:
-            ctx, crow = np.unique(contexts["ctx"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-            ccol = contexts["lang"].map(number).to_numpy(int)
-            sums, kinds = np.zeros((len(ctx), n_langs)), np.zeros((len(ctx), n_langs))
-            sums[crow, ccol], kinds[crow, ccol] = contexts["n"], contexts["types"]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                weight = np.where(sums > 0, np.log2(discount * kinds / sums), 0.0)
-            model.backoff.append(Table.of(ctx, weight))
-            at = np.searchsorted(ctx, keys >> np.uint64(BITS))
-            at[at == len(ctx)] = 0
-            known = ctx[at] == keys >> np.uint64(BITS)
-            of_ctx = np.where(known[:, None], sums[at], 0)
-            left = np.where(known[:, None], weight[at], 0.0)
-            lower = model.log_probs(keys & _mask(k - 1), k - 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.where(of_ctx > 0, np.maximum(count - discount, 0) / of_ctx, 0.0)
-        model.probs.append(Table.of(keys, np.log2(seen + np.exp2(left + lower))))
-    return model
+def _sums(levels: dict[int, DataFrame]) -> tuple[list[str], dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """Languages, their discounts by order, and the sum and number of their counts of single symbols."""
+    ones = reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("k"), "lang", "n") for k, d in levels.items()])
+    rows = ones.groupBy("k", "lang").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")).collect()
+    langs = sorted({r["lang"] for r in rows})
+    number = {lang: i for i, lang in enumerate(langs)}
+    discount = {k: np.full(len(langs), 0.5) for k in levels}
+    total, types = np.ones(len(langs)), np.zeros(len(langs))
+    for r in rows:
+        i = number[r["lang"]]
+        if r["a"] + r["b"]:
+            discount[r["k"]][i] = min(0.95, max(0.05, r["a"] / (r["a"] + 2 * r["b"])))
+        if r["k"] == 1:
+            total[i], types[i] = r["total"], r["types"]
+    return langs, discount, total, types
 
 
 def _calibrate(model: Model, rows: pd.DataFrame) -> Model:
-    """The temperature that makes scores most likely on the rows set aside, and the cross-entropy beyond which a text is rejected."""
+    """The temperature that makes scores most likely on the rows set aside, and each language's limit on the
+    cross-entropy, which REJECTED of its rows exceed."""
     seen = [(model.langs.index(lang), np.asarray(h), n) for lang, h, n in zip(rows["lang"], rows["h"], rows["n"]) if n and lang in model.langs]
     if not seen:
         return model
@@ -285,7 +383,7 @@ def _calibrate(model: Model, rows: pd.DataFrame) -> Model:
     for i, lang in enumerate(model.langs):
         own = [h[i] for j, h, n in seen if j == i]
         if own:
-            model.worst[lang] = float(np.max(own) + 0.5)
+            model.worst[lang] = float(np.quantile(own, 1 - REJECTED, method="higher"))
     return model
 
 
@@ -293,17 +391,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, rejected) of every whole text.
 
     The language with the lowest cross-entropy per symbol; the score is its calibrated share among the
-    languages. ``rejected`` marks texts that no model explains as well as it does its own language.
-    Null texts and those without a letter are ``und`` with score 0, as is everything if no language was
-    learned. Rows are judged one by one, so repeated rows and null ids need nothing special.
+    languages. ``rejected`` marks texts whose cross-entropy exceeds that of all but REJECTED of the
+    calibration texts of the language found. Null texts and those without a letter are ``und`` with score 0,
+    as is everything if no language was learned. Texts may be of any length. Rows are judged one by one, so
+    repeated rows and null ids need nothing special; other columns are not read, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_GRAMS bounds it
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for pdf in batches:
-            found = pd.DataFrame([m.predict(t) for t in pdf["text"]], columns=["lang_pred", "score", "cross_entropy", "rejected"])
+            found = pd.DataFrame(model.predict(pdf["text"]), columns=["lang_pred", "score", "cross_entropy", "rejected"])
             yield pd.concat([pdf.drop(columns="text").reset_index(drop=True), found], axis=1)
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(judge, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInPandas(judge, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from bondweave.llm import language
 
@@ -86,13 +87,45 @@ def test_model_is_interpolated_kneser_ney(spark):
     assert abs(np.exp2(everything.astype(float)).sum() - 1) < 1e-3
 
 
-
-def test_bounded_model_still_tells_languages(spark):
-    df = spark.createDataFrame(corpus(300), "doc_id long, text string, lang string")
-    model = language.fit(df, max_grams=60)
-    assert all(len(t.hashes) <= 60 for t in model.probs)
+def test_all_entries_are_kept_in_pieces(spark, monkeypatch):
+    """Every n-gram of the training texts is in the arrays, in few pieces or many, with few of them in memory."""
+    rows = corpus(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, max_calibration=0)
+    train = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    wanted = np.unique(np.concatenate([language.grams(t) for t in train]))
+    for k in range(1, 5):
+        keys = np.unique(wanted & language._mask(k))
+        assert model._find(k, keys)[1].all() and not model._find(k, keys + np.uint64(3071 << 12 * (k - 1))).__getitem__(1).all()
+    whole = model.log_probs(wanted)
+    monkeypatch.setattr(language, "PIECE_BYTES", 1 << 12)
+    monkeypatch.setattr(language, "HELD_PIECES", 2)
+    monkeypatch.setattr(language, "CHUNK", 1000)
+    cut = language.fit(df, max_calibration=0)
+    assert np.allclose(cut.log_probs(wanted), whole)
+    assert np.allclose(cut.entropies(train)[0], model.entropies(train)[0]) and len(language._open[cut.files].held) <= 2
     got = language.identify(df, model).toPandas().merge(df.toPandas(), on="doc_id")
-    assert (got.lang_pred == got.lang).mean() > 0.9
+    assert (got.lang_pred == got.lang).mean() > 0.99
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([(f"d{i}", t, lang) for i, t, lang in corpus(60)], "doc_id string, text string, lang string")
+    got = language.identify(df, language.fit(df)).collect()
+    assert {r.doc_id for r in got} == {f"d{i}" for i in range(60)}
+
+
+def test_spread_is_one_to_one_and_the_same_in_spark(spark):
+    g = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 20_000))
+    h = language.spread(g)
+    assert len(np.unique(h)) == len(g) and h.min() >= 0 and h.max() < 1 << 48
+    df = spark.createDataFrame([(int(x),) for x in g[:200]], "g long")
+    assert [r[0] for r in df.select(language.spread(F.col("g"))).collect()] == h[:200].tolist()
+
+
+def test_scripts_are_not_mixed():
+    table = language._letter_table()
+    kinds = {name: {int(table[ord(c)]) for c in text} for name, text in {"kana": "あいうアイウ", "hangul": "가나다한국", "ideographs": "日本語中文", "others": "กขคაბგ"}.items()}
+    assert all(not (a & b) for x, a in kinds.items() for y, b in kinds.items() if x < y)
 
 
 def test_nothing_to_learn(spark):
