@@ -45,6 +45,25 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key is hot if it holds more than one row in so many; whatever the table's size, there are no more hot keys than that.
+HOT = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """The hot keys of a table of ``total`` rows (or less), from (key, rows): HOT at most, as their shares sum to one."""
+    return counts.where(F.col(rows) * HOT > total).select(key)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose ``key`` is unique, without bringing the rows of a hot key together.
+
+    The hot keys' rows of ``right``, HOT at most, are broadcast; only the other rows of ``left`` are shuffled.
+    """
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once a row, also where ``use`` refers to it for every element of an array.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import hot_keys, join_spread, materialize
 from .components import connected_components
 
 SEED = 42
@@ -20,8 +20,6 @@ MAX_BITS = 3
 #: Steiner system of quadruples on eight points: the affine planes of the 3-cube), so two fingerprints that
 #: agree in five bytes or more meet in at least one posting.
 QUADS = tuple(q for q in ((a, b, c, a ^ b ^ c) for a in range(8) for b in range(a + 1, 8) for c in range(b + 1, 8)) if q[3] > q[2])
-#: Differing bits touch at most as many bytes, so this many bytes must agree.
-MIN_BYTES = 8 - MAX_BITS
 #: A posting with more entries is linked through hubs, which takes rows in proportion to its length.
 DENSE = 1024
 
@@ -82,7 +80,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataF
     """Distinct links (a, b), a < b, between distinct fingerprints at ``max_bits`` (3 at most) or fewer differing bits.
 
     Postings up to ``dense`` entries are joined with themselves: each pair's shared positional bytes are
-    tallied, pairs below the guaranteed minimum are dropped, the rest verified by their differing bits.
+    tallied, and pairs below the guaranteed minimum are dropped (``max_bits`` differing bits touch as many
+    bytes at most, so 8 - ``max_bits`` agree). What is left is brought together and verified by its bits.
     Longer postings are linked through hubs instead of pairs, which loses no connection (see ``_hub_links``).
     """
     if not 0 <= max_bits <= MAX_BITS:
@@ -93,7 +92,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataF
     left, right = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
     diff = F.col("a").bitwiseXOR(F.col("b"))
     shared = sum((F.when(F.shiftrightunsigned(diff, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-    pairs = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & (shared >= MIN_BYTES) & (F.bit_count(diff) <= max_bits)).select("a", "b")
+    met = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b"))).select("a", "b", shared.alias("shared"))
+    tallied = met.where(F.col("shared") >= 8 - max_bits).select("a", "b").distinct()
+    pairs = tallied.where(F.bit_count(diff) <= max_bits)
     if long.limit(1).count():
         pairs = pairs.unionByName(_hub_links(entries.join(long, "key", "left_semi"), max_bits))
     return pairs.distinct()
@@ -143,7 +144,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only fingerprints of several rows or with links need a class from elsewhere.
     shared = fps.where("rows > 1").join(of_linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     classes = materialize(of_linked.unionByName(shared), "classes")
-    return doc_fp.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", F.coalesce("component_id", "id").alias("component_id"))
+    hot = materialize(hot_keys(fps, "fp", "rows", doc_fp.count()), "hot-fingerprints")
+    return join_spread(doc_fp, classes, "fp", hot, "left").select(F.col("id").alias(id_col), "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one_per_class(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

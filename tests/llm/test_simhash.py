@@ -124,3 +124,19 @@ def test_one_row_of_an_id_with_many(spark):
     got = [r.doc_id for r in kept.collect()]
     assert sorted(got, key=str) == [4, 5, None, None]
     assert sorted(map(str, kept.collect())) == sorted(map(str, simhash.keep_one_per_class(df.repartition(3)).collect()))
+
+
+def test_a_star_is_never_one_task(spark):
+    """The links of a hub of 100 000 nodes, and the rows of one fingerprint, are spread over the tasks that read them."""
+    from bondweave.llm import _common
+    from bondweave.llm.components import connected_components
+
+    star = spark.range(1, 100_001).select(F.lit(0).alias("a"), F.col("id").alias("b")).repartition(16)
+    got = connected_components(star.unionByName(spark.createDataFrame([(200_001, 200_002)], "a long, b long")))
+    assert got.where("root = 0").count() == 100_001 and got.where("root = 200001").count() == 2
+    both = star.select(F.col("a").alias("u"), "b")
+    least = both.groupBy("u").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = _common.hot_keys(least, "u", "n", 100_000)
+    spread = _common.join_spread(both, least.select("u", "m"), "u", hubs)
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 20_000
