@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .html_blocks import Block, leaf_blocks
+from .html_blocks import Block, Place, leaf_blocks
 from .labelled_pages import MARK, labelled_pages
 
 TRAIN_PAGES, TRAIN_SEED = 700, 1
@@ -22,29 +22,35 @@ ROUNDS, RATE, PENALTY = 150, 0.1, 5e-5
 LEGAL = ("©", "copyright", "all rights reserved", "cookie")
 
 
-@lru_cache(maxsize=65536)
-def _of_ancestors(ancestors: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, ...]:
-    found = {f"in:{tag}" for tag, _ in ancestors} | {f"name:{n}" for _, names in ancestors for n in names}
-    inner = [tag for tag, _ in ancestors if tag != "a"][-2:]
-    # The nearest element that divides pages tells an article's own header from the site's.
-    major = [tag for tag, _ in ancestors if tag in ("article", "main", "section", "aside", "nav", "header", "footer", "form")]
-    found.add(f"parent:{inner[-1] if inner else 'none'}")
-    found.add(f"parents:{'>'.join(inner)}")
-    found.add(f"major:{'>'.join(major[-2:])}")
-    return tuple(sorted(found))
+def _of_place(place: Place | None, known: Container[str] | None) -> frozenset[str]:
+    """Features of a chain of ancestors: those of its parent and its own. Only ``known`` ones are kept, if given, so
+    that deep pages take no more than the model has."""
+    chain = []
+    while place and not (place.known and place.known[0] is known):
+        chain.append(place)
+        place = place.parent
+    found = place.known[1] if place else frozenset()
+    for p in reversed(chain):
+        own = [f for f in (f"in:{p.tag}", *(f"name:{n}" for n in p.names)) if known is None or f in known]
+        if not found.issuperset(own):
+            found = found.union(own)
+        p.known = known, found
+    return found
 
 
-def block_features(b: Block, previous: Block | None) -> list[str]:
+def block_features(b: Block, previous: Block | None, known: Container[str] | None = None) -> list[str]:
     n, words = len(b.text), b.text.count(" ") + 1
     linked = b.linked / n
     low = b.text.lower()
-    found = list(_of_ancestors(b.ancestors))
+    inner, major = (b.place.inner, b.place.major) if b.place else ((), ())
+    found = sorted(_of_place(b.place, known))
+    found += [f"parent:{inner[-1] if inner else 'none'}", f"parents:{'>'.join(inner)}", f"major:{'>'.join(major)}"]
     found.append("words:%d" % min(6, words.bit_length()))
     found.append("linked:%d" % min(3, int(linked * 3.99)))
     found.append("ends:" + ("stop" if b.text[-1] in ".!?…:" else "comma" if b.text[-1] in ",;" else "open"))
     if any(s in low for s in LEGAL):
         found.append("legal")
-    found.append("same-place" if previous and previous.ancestors == b.ancestors else "new-place")
+    found.append("same-place" if previous and previous.place is b.place else "new-place")
     return found
 
 
@@ -65,7 +71,7 @@ class Crf:
         a = b = 0.0
         previous = None
         for block in blocks:
-            e = sum(get(f, 0.0) for f in block_features(block, previous))
+            e = sum(get(f, 0.0) for f in block_features(block, previous, self.weights))
             if previous is None:
                 a, b = self.start[0], self.start[1] + e
             else:
@@ -143,7 +149,7 @@ def labelled_blocks(pages: list[str]) -> list[list[tuple[Block, bool]]]:
         page = []
         for b in leaf_blocks(html):
             main = b.text.startswith(MARK)
-            page.append((Block(b.text.replace(MARK, ""), b.ancestors, b.linked) if main else b, main))
+            page.append((Block(b.text.replace(MARK, ""), b.place, b.linked) if main else b, main))
         out.append([x for x in page if x[0].text])
     return [p for p in out if p]
 
@@ -163,8 +169,9 @@ def extract(pages: DataFrame, crf: Crf | None = None) -> DataFrame:
 
     The field labels a page's blocks together: features of the ancestors (tags, words of class, id and
     role) and of the text, and weights of steps between labels. Null and empty pages give an empty text.
+    Time and memory of a page are in proportion to its length, however broken, long or deeply nested it is.
     Pages are judged one by one, so repeated rows and nulls elsewhere need nothing special; other columns
-    are not read.
+    are not read, whatever their names.
     """
     crf = crf or trained()
 
@@ -173,4 +180,4 @@ def extract(pages: DataFrame, crf: Crf | None = None) -> DataFrame:
             found = [main_text(h, crf) for h in pdf["html"]]
             yield pdf.drop(columns="html").assign(text=found, n_chars=[len(t) for t in found])
 
-    return pages.select("page_id", "url", "html").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInPandas(texts, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

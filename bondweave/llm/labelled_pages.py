@@ -93,8 +93,24 @@ class Pages:
                 out.append(self.boiler(r.choice(("ad", "ad", "aside", "notice", "form", "comments", "nav"))))
         return "".join(out)
 
+    def plain_page(self, mark: str) -> str:
+        """A page without names and boxes: text in paragraphs, one box, or nothing at all, perhaps below a line of links."""
+        r = self.r
+        blocks = [f"{mark}{self.sentence(*r.choice(((1, 3), (4, 12), (10, 60))))}" for _ in range(r.choice((1, 1, 2, 3, 6)))]
+        kind = r.choice(("p", "p", "p", "div", "none", "section", "center", "td"))
+        body = "<br><br>".join(blocks) if kind == "none" else "".join(f"<{kind}>{b}</{kind}>" for b in blocks)
+        if kind == "none":  # each line break ends a block only where a block element stands; here all is one
+            body = mark + body.replace(mark, "").replace("<br><br>", " ")
+        head = f"<h1>{mark}{self.words(r.randint(1, 6))}</h1>" if r.random() < 0.4 else ""
+        links = self.links(r.randint(3, 7)) if r.random() < 0.3 else ""
+        foot = "<hr>" + r.choice((f"<a href='/'>{self.words(1)}</a>", f"&copy; {self.sentence(2, 6)}")) if r.random() < 0.2 else ""
+        inner = f"{links}{head}{body}{foot}"
+        return r.choice((inner, f"<body>{inner}</body>", f"<html><head><title>{self.words(2)}</title></head><body>{inner}</body></html>"))
+
     def page(self, mark: str) -> str:
         r = self.r
+        if r.random() < 0.15:
+            return self.plain_page(mark)
         before = [self.boiler(k) for k in ("notice", "header", "nav", "ad", "form", "aside") if r.random() < 0.5]
         after = [self.boiler(k) for k in ("aside", "ad", "comments", "nav", "form", "notice", "footer") if r.random() < 0.5]
         main = self.box(r.choice(MAIN_BOX[:2] if r.random() < 0.5 else MAIN_BOX), self.article(mark), r)

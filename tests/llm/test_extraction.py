@@ -104,3 +104,49 @@ def test_attribute_values_of_any_length(quote, n):
 def test_legal_signs_anywhere_in_a_block():
     (b,) = leaf_blocks("<p>" + "word " * 100 + "cookie</p>")
     assert "legal" in extraction.block_features(b, None)
+
+
+HOSTILE = ["<a ", "<b x='", "<div>x", "<a \">\"", "<p><div><span></p>", "<i><b></i>", "<![CDATA[x", "<!x", "<script>", "</section>x", "<td><tr>", "< ", "<div class='c{}'>x", "&lt", "<a \"'>", "<a href='<'>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_a_megabyte_of_broken_markup(piece):
+    import time
+
+    n = 1_000_000 // len(piece)
+    page = "".join(piece.format(i) for i in range(n)) if "{}" in piece else piece * n
+    began = time.perf_counter()
+    extraction.main_text(page, extraction.trained())
+    assert time.perf_counter() - began < 20
+
+
+def test_deep_stacks_with_stray_ends():
+    assert len(leaf_blocks("<p><div>" + "<span>" * 50_000 + "x" + "</p>" * 50_000 + "y" + "</section>" * 50_000)) == 2
+
+
+# Pages written by hand, none by the generator: (html, main text).
+BY_HAND = [
+    ("<div>Just a plain paragraph of some words that ends with a stop.</div>", "Just a plain paragraph of some words that ends with a stop."),
+    ("<body><p>One.</p><p>Two sentences here.</p></body>", "One. Two sentences here."),
+    ("Only text, without any tag at all.", "Only text, without any tag at all."),
+    ("<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "The formula x=2 holds."),
+    (
+        "<!doctype html><html lang=en><head><meta charset=utf-8><title>Bread - My Blog</title><style>b{}</style></head><body class='home single'><header id='masthead' class='site-header'><p class='site-title'><a href='/'>My Blog</a></p><nav id='site-navigation'><ul id='menu-main'><li><a href='/'>Home</a></li><li><a href='/about'>About</a></li></ul></nav></header>"
+        "<main id='main'><article class='post hentry'><h1 class='entry-title'>How I bake bread</h1><div class='entry-content'><p>Mix flour, water, salt and yeast. Let it rest for an hour.</p><h2>Baking</h2><p>Bake it at 230 degrees until the crust is brown &amp; hard.</p><ul><li>Let it cool.</li><li>Cut it with a long knife.</li></ul></div></article></main>"
+        "<aside id='secondary' class='widget-area'><h2>Recent posts</h2><ul><li><a href='/x'>Soup for winter</a></li></ul></aside><footer id='colophon' class='site-footer'><p>Proudly powered by a blog engine</p></footer></body></html>",
+        "How I bake bread Mix flour, water, salt and yeast. Let it rest for an hour. Baking Bake it at 230 degrees until the crust is brown & hard. Let it cool. Cut it with a long knife.",
+    ),
+    (
+        "<html><body bgcolor=white><h1>Notes on sorting</h1><p>Sorting is the act of bringing things into order.<p>There are many ways to do it, and most of them are slow on long lists.<p>This page compares three of them in some detail.</body></html>",
+        "Notes on sorting Sorting is the act of bringing things into order. There are many ways to do it, and most of them are slow on long lists. This page compares three of them in some detail.",
+    ),
+    (
+        "<body><div class='cookie-notice'>This site uses cookies. <button>Accept</button></div><div id='nav'><a href='1'>News</a> <a href='2'>Sport</a> <a href='3'>Weather</a></div><div class='story-body'><h1>Rain is coming</h1><p>Heavy rain will reach the coast on Monday, the weather office said.</p><div class='ad-slot'>Advertisement</div><p>Rivers may rise quickly in the hills.</p></div><div class='related'><h3>More stories</h3><a href='4'>Snow last year</a></div><div id='comments'><div class='comment'><p>It always rains here!</p></div></div><div id='footer'>&copy; 2024 The Daily Paper</div></body>",
+        "Rain is coming Heavy rain will reach the coast on Monday, the weather office said. Rivers may rise quickly in the hills.",
+    ),
+]
+
+
+@pytest.mark.parametrize("html, want", BY_HAND)
+def test_pages_written_by_hand(html, want):
+    assert extraction.main_text(html, extraction.trained()) == want
