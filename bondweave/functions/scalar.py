@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Outer electrons of the main-group elements by group, and the periods' first and last elements.
-PERIODS = ((1, 2), (3, 10), (11, 18), (19, 36), (37, 54), (55, 86))
+PERIODS = ((1, 2), (3, 10), (11, 18), (19, 36), (37, 54), (55, 86), (87, 118))
+
+# The ranges of atomic numbers that count as transition metals, which are never stable.
+TRANSITION = ((21, 30), (39, 48), (57, 80), (89, 112))
 
 
 def label(i: int, notion: str, term: str) -> str:
@@ -42,6 +46,23 @@ def ring_class(in_ring: str, in_ring6: str, aromatic: str, conjugated: str) -> C
     )
 
 
+def bond_state(in_ring: str, aromatic: str, atom_in_ring: str, atom_aromatic: str) -> Column:
+    """What rings a bond has to do with: it lies in one, or one of its atoms does (``atom_`` columns: either atom)."""
+    return (
+        F.when(F.col(in_ring) & F.col(aromatic), "aro-ring")
+        .when(F.col(in_ring), "non-aro-ring")
+        .when(~F.col(atom_in_ring), "non-ring")
+        .when(F.col(atom_aromatic), "aro-ring-att")
+        .otherwise("non-aro-ring-att")
+    )
+
+
+def detailed_bond_type(btype: Column | None, state: Column, conjugated: str) -> Column:
+    """Bond type and state as one text, with a mark for conjugated bonds; the state alone without a type."""
+    text = state if btype is None else F.concat_ws(", ", btype, state)
+    return F.concat(text, F.when(F.col(conjugated), " (c)").otherwise(""))
+
+
 def outer_electrons(z: str) -> Column:
     """Outer electrons of an atomic number by its place in its period; null for transition metals and beyond."""
     c = F.col(z)
@@ -55,9 +76,11 @@ def outer_electrons(z: str) -> Column:
 
 
 def stable_atom(z: str, valence: str, charge: str) -> Column:
-    """Outer electrons, valence and charge fill a shell of 2 or 8; atoms without outer electrons here count as stable."""
+    """Outer electrons, valence and charge fill the shell: exactly 2 for hydrogen and helium, exactly 8 for all others;
+    transition metals, and whatever is not known, are not stable."""
     n = outer_electrons(z) + F.col(valence) - F.col(charge)
-    return F.coalesce(n.isin(2, 8), F.lit(True))
+    metal = reduce(lambda a, b: a | b, [F.col(z).between(low, high) for low, high in TRANSITION])
+    return F.coalesce(~metal & (n == F.when(F.col(z) <= 2, 2).otherwise(8)), F.lit(False))
 
 
 def fixed(column: str, digits: int = 2) -> Column:
@@ -123,3 +146,27 @@ def learning_rates(n: Column, start: float = 0.0015) -> Column:
 def layer_size(n: int, m: int) -> int:
     """Width of a layer between n inputs and m outputs."""
     return int(math.sqrt(n * math.log2(m)))
+
+
+def target_scale(column: str, low: float, high: float) -> Column:
+    """A target scaled so that [low, high] becomes [0, 1]; ``unscale`` undoes it."""
+    return (F.col(column) - low) / (high - low)
+
+
+def unscale(column: str, low: float, high: float) -> Column:
+    return F.col(column) * (high - low) + low
+
+
+def arrays_equal(a: str, b: str) -> Column:
+    """Same length, same elements in the same order; nulls equal each other, inside and as a whole."""
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def narrowest_integer(bound: int) -> str:
+    """The smallest Spark type that holds all numbers from -bound to ``bound``. Spark's integers are signed."""
+    if bound < 0:
+        raise ValueError("a bound is not negative")
+    for name, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)):
+        if bound < 1 << bits:
+            return name
+    raise ValueError(f"no integer type holds {bound}")

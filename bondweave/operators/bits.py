@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +59,24 @@ def _shifted(column: str, by: int) -> Column:
 
 
 def columns_of_rows(df: DataFrame, row: str, bits: str = "bits") -> DataFrame:
-    """(bit, rows): the sorted rows that have each bit."""
+    """(bit, rows): the sorted rows that have each bit, as one array; ``blocks_of_rows`` gives those of common bits in parts."""
     return df.select(F.col(row), F.explode(bits).alias("bit")).groupBy("bit").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
+def blocks_of_rows(df: DataFrame, row: str, bits: str = "bits", size: int = 65_536) -> DataFrame:
+    """(bit, block, rows): the same for integer rows in blocks of ``size`` numbers, so that no array holds more than so many."""
+    each = df.select(F.col(row), F.floor(F.col(row) / size).alias("block"), F.explode(bits).alias("bit"))
+    return each.groupBy("bit", "block").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+
+def activate(df: DataFrame, blocks: Sequence[tuple[int, int]], active: Sequence[bool], bits: str = "bits") -> DataFrame:
+    """Rows without the bits of the feature blocks [start, stop) that are switched off; places of the others stay as they are."""
+    if len(blocks) != len(active):
+        raise ValueError("one switch for each block")
+    dead = [b for b, on in zip(blocks, active) if not on]
+    return df.withColumn(bits, F.filter(bits, lambda b: ~reduce(lambda x, y: x | y, [(b >= lo) & (b < hi) for lo, hi in dead]))) if dead else df
+
+
 def to_vector(bits: Column, n_bits: int) -> Column:
     """A sparse ML vector of 0 and 1."""
     from pyspark.ml.functions import array_to_vector

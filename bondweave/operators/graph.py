@@ -1,7 +1,7 @@
 """Operators on many small graphs: bonds(mol, bond, a, b), each a link between atoms a and b of molecule mol.
 
-All joins are within a molecule, so rows of one molecule stay together after the first shuffle where Spark
-can use it. Loops are as long as the radius, or as the longest path, never as the data.
+A molecule is small, so searches bring its bonds into one row and walk there: one shuffle by molecule,
+whatever the radius. Loops are as long as the radius, or as the longest path, never as the data.
 """
 
 from __future__ import annotations
@@ -12,11 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
-
-#: Hops between checkpoints of a search without a given radius.
-HOPS = 4
-
 
 def incidence(bonds: DataFrame) -> DataFrame:
     """(mol, bond, atom, other): each bond from both ends."""
@@ -35,39 +30,64 @@ def line_graph(bonds: DataFrame) -> DataFrame:
     return left.join(right, ["mol", "atom"]).where("bond <> next").select("mol", "bond", "next").distinct()
 
 
-def atom_distances(bonds: DataFrame, cores: DataFrame, max_dist: int) -> DataFrame:
-    """(mol, core, atom, d): atoms up to ``max_dist`` steps from the nearer end of the core bond.
+_STATE = "struct<front:array<int>,seen:array<int>,found:array<struct<i:int,d:int>>>"
 
-    Only atoms first reached in the last hop are expanded, by one join on molecule and atom.
-    """
-    ends = cores.join(bonds, (cores["mol"] == bonds["mol"]) & (cores["core"] == bonds["bond"])).select(cores["mol"], "core", F.explode(F.array("a", "b")).alias("atom"), F.lit(0).alias("d"))
-    seen = ends.distinct()
-    edges = incidence(bonds).select("mol", "atom", "other").distinct()
-    for hop in range(max_dist):
-        reached = seen.where(F.col("d") == hop).join(edges, ["mol", "atom"]).select("mol", "core", F.col("other").alias("atom"), F.lit(hop + 1).alias("d"))
-        seen = seen.unionByName(reached).groupBy("mol", "core", "atom").agg(F.min("d").alias("d"))
-        if hop % 3 == 2:
-            seen = cut(seen)
-    return seen
+
+def _molecules(bonds: DataFrame, *more: Column) -> DataFrame:
+    """(mol, links, next): a molecule's bonds as records (bond, a, b, and ``more``), and for each the places of those that share an atom."""
+    records = F.collect_list(F.struct("bond", "a", "b", *more)).alias("links")
+    rows = bonds.groupBy("mol").agg(records)
+    places = F.sequence(F.lit(1), F.size("links"))
+    touch = lambda e, o: e["a"].isin(o["a"], o["b"]) | e["b"].isin(o["a"], o["b"])
+    return rows.withColumn("next", F.transform("links", lambda e, i: F.filter(places, lambda j: (j != i + 1) & touch(e, F.element_at("links", j)))))
+
+
+def _of_cores(bonds: DataFrame, cores: DataFrame, *more: Column) -> DataFrame:
+    """One row for each core that is a bond of its molecule, with the molecule's links and the core's place among them."""
+    rows = cores.select("mol", "core").distinct().join(_molecules(bonds, *more), "mol")
+    at = F.array_position(F.transform("links", lambda e: e["bond"]), F.col("core")).cast("int")
+    return rows.withColumn("at", at).where("at > 0")
+
+
+def _search(start: Column, seen: Column, hops: Column, first: int) -> Column:
+    """Places (i, d) of the links that steps between neighbours reach from ``start``, which has distance ``first``; each
+    step expands only what the last one found, and never enters ``seen``."""
+    found = F.transform(start, lambda x: F.struct(x.alias("i"), F.lit(first).alias("d")))
+    zero = F.struct(start.alias("front"), seen.alias("seen"), found.alias("found")).cast(_STATE)
+
+    def step(acc: Column, hop: Column) -> Column:
+        new = F.array_except(F.array_distinct(F.flatten(F.transform(acc["front"], lambda f: F.element_at("next", f)))), acc["seen"])
+        grown = lambda n: F.struct(n.alias("front"), F.concat(acc["seen"], n).alias("seen"), F.concat(acc["found"], F.transform(n, lambda x: F.struct(x.alias("i"), (hop + first).cast("int").alias("d")))).alias("found"))
+        return F.when(F.size(acc["front"]) > 0, F.get(F.transform(F.array(new), grown), F.lit(0))).otherwise(acc).cast(_STATE)
+
+    return F.aggregate(F.when(hops > 0, F.sequence(F.lit(1), hops)).otherwise(F.array().cast("array<int>")), zero, step)["found"]
+
+
+def _around(bonds: DataFrame, cores: DataFrame, radius: int, *more: Column) -> DataFrame:
+    """(mol, core, e, d): the records of all bonds at ``radius`` or fewer steps from a core bond."""
+    rows = _of_cores(bonds, cores, *more)
+    at = F.array("at")
+    found = rows.select("mol", "core", "links", F.explode(_search(at, at, F.lit(radius), 0)).alias("f"))
+    return found.select("mol", "core", F.element_at("links", F.col("f.i")).alias("e"), F.col("f.d").alias("d"))
+
+
+def atom_distances(bonds: DataFrame, cores: DataFrame, max_dist: int) -> DataFrame:
+    """(mol, core, atom, d): atoms up to ``max_dist`` steps from the nearer end of the core bond."""
+    ends = _around(bonds, cores, max_dist).select("mol", "core", F.explode(F.array("e.a", "e.b")).alias("atom"), "d")
+    return ends.groupBy("mol", "core", "atom").agg(F.min("d").alias("d"))
 
 
 def bond_environment(bonds: DataFrame, cores: DataFrame, radius: int, keep: Column | None = None) -> DataFrame:
     """(mol, core, bond, dist): bonds at ``radius`` or fewer steps of the line graph from a core bond.
 
-    A bond is one step further than the nearer of its atoms. Bonds that fail ``keep`` (such as those to
-    hydrogens) are left out, except the core itself, which always stays at distance 0. The bonds left out
-    still carry the search.
+    Bonds that fail ``keep`` (such as those to hydrogens) are left out, except the core itself, which always
+    stays at distance 0. The bonds left out still carry the search.
     """
     if radius < 0:
         raise ValueError("a radius is not negative")
-    core = cores.select("mol", "core", F.col("core").alias("bond"), F.lit(0).alias("dist"))
-    core = core.join(bonds.select("mol", "bond"), ["mol", "bond"], "left_semi").select("mol", "core", "bond", "dist")
-    if not radius:
-        return core
-    near = atom_distances(bonds, cores, radius - 1)
-    chosen = bonds if keep is None else bonds.where(keep)
-    touched = incidence(chosen).join(near, ["mol", "atom"]).groupBy("mol", "core", "bond").agg((F.min("d") + 1).alias("dist"))
-    return core.unionByName(touched.where(F.col("bond") != F.col("core")).select("mol", "core", "bond", "dist"))
+    keep = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    found = _around(bonds, cores, radius, keep.alias("keep")).where(F.col("e.keep") | (F.col("d") == 0))
+    return found.select("mol", "core", F.col("e.bond").alias("bond"), F.col("d").alias("dist"))
 
 
 def environments(bonds: DataFrame, cores: DataFrame, radii: Sequence[int], keep: Column | None = None) -> DataFrame:
@@ -86,29 +106,53 @@ def reindex(env: DataFrame, by: Sequence[str] = ("mol", "core", "radius")) -> Da
     return numbered.withColumn("new_core", core)
 
 
-def break_bonds(bonds: DataFrame, cores: DataFrame, max_rounds: int = 64) -> DataFrame:
+def break_bonds(bonds: DataFrame, cores: DataFrame) -> DataFrame:
     """(mol, core, atom, side): the fragments that remain without the core bond; side is 'x' for what a reaches, 'y' for b.
 
     A ring bond leaves one fragment, all of it 'x'. Atoms that neither end reaches belong to other
-    fragments and are not listed. Each round carries newly reached atoms one bond further; it ends when no
-    molecule has any, at most after the longest path.
+    fragments and are not listed. A path is no longer than its molecule has bonds, so as many steps always do.
+    """
+    rows = _of_cores(bonds, cores)
+
+    def side(end: str) -> Column:
+        atom = F.element_at("links", F.col("at"))[end]
+        touching = F.filter(F.sequence(F.lit(1), F.size("links")), lambda j: (j != F.col("at")) & ((F.element_at("links", j)["a"] == atom) | (F.element_at("links", j)["b"] == atom)))
+        found = _search(touching, F.concat(F.array("at"), touching), F.size("links"), 1)
+        ends = F.flatten(F.transform(found, lambda f: F.array(F.element_at("links", f["i"])["a"], F.element_at("links", f["i"])["b"])))
+        return F.transform(F.array_union(F.array(atom), ends), lambda x: F.struct(x.alias("atom"), F.lit("x" if end == "a" else "y").alias("side")))
+
+    found = rows.select("mol", "core", F.inline(F.concat(side("a"), side("b"))))
+    return found.groupBy("mol", "core", "atom").agg(F.min("side").alias("side"))
+
+
+def fragment_names(bonds: DataFrame, atoms: DataFrame, cores: DataFrame) -> DataFrame:
+    """(mol, core, frag_x, frag_y): what each bond leaves when it breaks, named by the sorted symbols of its atoms.
+
+    The two names are in sorted order; a ring bond, which leaves one fragment, has none.
     """
-    start = F.array(F.struct(F.col("a").alias("atom"), F.lit("x").alias("side")), F.struct(F.col("b").alias("atom"), F.lit("y").alias("side")))
-    seen = cores.join(bonds, (cores["mol"] == bonds["mol"]) & (cores["core"] == bonds["bond"])).select(cores["mol"], "core", F.inline(start))
-    seen = cut(seen.withColumn("hop", F.lit(0)))
-    edges = incidence(bonds)
-    key = ["mol", "core", "atom", "side"]
-    for first in range(0, max_rounds, HOPS):
-        for hop in range(first, first + HOPS):
-            front = seen.where(F.col("hop") == hop).join(edges, ["mol", "atom"]).where(F.col("bond") != F.col("core"))
-            reached = front.select("mol", "core", F.col("other").alias("atom"), "side", F.lit(hop + 1).alias("hop"))
-            seen = seen.unionByName(reached).groupBy(*key).agg(F.min("hop").alias("hop"))
-        seen = cut(seen)
-        if not seen.where(F.col("hop") == first + HOPS).limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"paths longer than {max_rounds} bonds")
-    return seen.groupBy("mol", "core", "atom").agg(F.min("side").alias("side"))
+    sides = break_bonds(bonds, cores).join(atoms.select("mol", "atom", "symbol"), ["mol", "atom"])
+    named = sides.groupBy("mol", "core", "side").agg(F.array_join(F.array_sort(F.collect_list("symbol")), "").alias("name"))
+    both = named.groupBy("mol", "core").agg(F.array_sort(F.collect_list("name")).alias("names")).where(F.size("names") == 2)
+    return both.select("mol", "core", F.col("names")[0].alias("frag_x"), F.col("names")[1].alias("frag_y"))
+
+
+def find_bond(wanted: DataFrame, fragments: DataFrame) -> DataFrame:
+    """The least bond of a molecule that leaves the wanted two fragments, in either order; -1 for none. Rows of
+    ``wanted`` (mol, frag_x, frag_y, and others) come back with ``found``."""
+    pair = F.array_sort(F.array("frag_x", "frag_y"))
+    least = fragments.groupBy("mol", pair.alias("_pair")).agg(F.min("core").alias("found"))
+    with_pair = wanted.withColumn("_pair", pair)
+    return with_pair.join(least, ["mol", "_pair"], "left").withColumn("found", F.coalesce("found", F.lit(-1))).drop("_pair")
+
+
+def validate_reactions(reactions: DataFrame, fragments: DataFrame) -> DataFrame:
+    """``reactions`` (mol, bidx, frag_x, frag_y) with ``is_correct_bond``: 1 if the bond leaves these fragments in either
+    order, -99 if it leaves others, -999 if it leaves no two fragments, or one is not given."""
+    left = fragments.select("mol", F.col("core").alias("bidx"), F.array_sort(F.array("frag_x", "frag_y")).alias("_pair"))
+    joined = reactions.join(left, ["mol", "bidx"], "left")
+    given = F.array_sort(F.array("frag_x", "frag_y"))
+    unknown = F.col("_pair").isNull() | F.col("frag_x").isNull() | F.col("frag_y").isNull()
+    return joined.withColumn("is_correct_bond", F.when(unknown, -999).when(F.col("_pair") == given, 1).otherwise(-99)).drop("_pair")
 
 
 def morgan_bits(bonds: DataFrame, atoms: DataFrame, radius: int, n_bits: int) -> DataFrame:

@@ -20,21 +20,28 @@ def _count(condition: Column, label: str) -> Column:
 
 
 def _atom_counters(level: int, symbols: tuple[str, ...]) -> list[Column]:
-    c = [_count(F.col("symbol").isin(s.split("-")), f"L{level} - {s}") for s in symbols]
+    here = (F.col("level") == level) & F.col("atom").isNotNull()
+    a = lambda field: F.col("atom")[field]
+    c = [_count(here & a("symbol").isin(s.split("-")), f"L{level} - {s}") for s in symbols]
     # Sulphur and the hybridisation S have one letter: where both are counted, the second name says which it is.
-    c += [_count(F.col("hybrid").isin(s.split("-")), f"L{level} - {s}" + " (hybrid)" * (s in symbols)) for s in HYBRIDS]
-    c += [_count(F.col("aromatic"), f"L{level} - Aromatic"), _count(F.col("in_ring"), f"L{level} - Ring"), _count(F.col("in_ring6"), f"L{level} - Stable-Ring")]
-    c += [_count(F.col("charge") > 0, f"L{level} - PCharge"), _count(F.col("charge") < 0, f"L{level} - NCharge")]
-    positive, negative = F.when(F.col("charge") > 0, F.col("charge")), F.when(F.col("charge") < 0, -F.col("charge"))
-    c += [F.coalesce(F.sum(positive), F.lit(0)).cast("int").alias(f"L{level} - NumPCharge"), F.coalesce(F.sum(negative), F.lit(0)).cast("int").alias(f"L{level} - NumNCharge")]
+    c += [_count(here & a("hybrid").isin(s.split("-")), f"L{level} - {s}" + " (hybrid)" * (s in symbols)) for s in HYBRIDS]
+    c += [_count(here & a("aromatic"), f"L{level} - Aromatic"), _count(here & a("in_ring"), f"L{level} - Ring"), _count(here & a("in_ring6"), f"L{level} - Stable-Ring")]
+    c += [_count(here & (a("charge") > 0), f"L{level} - PCharge"), _count(here & (a("charge") < 0), f"L{level} - NCharge")]
+    for sign, name in ((1, "NumPCharge"), (-1, "NumNCharge")):
+        c.append(F.coalesce(F.sum(F.when(here & (a("charge") * sign > 0), a("charge") * sign)), F.lit(0)).cast("int").alias(f"L{level} - {name}"))
     return c
 
 
 def _bond_counters(level: int, kinds: tuple[str, ...]) -> list[Column]:
     """Named apart from the atoms' counters: Spark takes names that differ in case for the same."""
-    name = f"L{level} bond - "
-    c = [_count(F.col("kind").isin(k.split("-")), name + k) for k in kinds]
-    return c + [_count(F.col("b_ring"), name + "RING"), _count(F.col("b_ring6"), name + "STABLE-RING"), _count(F.col("conjugated"), name + "Conjugated")]
+    here, name = (F.col("level") == level) & F.col("link").isNotNull(), f"L{level} bond - "
+    k = lambda field: F.col("link")[field]
+    c = [_count(here & k("kind").isin(s.split("-")), name + s) for s in kinds]
+    return c + [_count(here & k("b_ring"), name + "RING"), _count(here & k("b_ring6"), name + "STABLE-RING"), _count(here & k("conjugated"), name + "Conjugated")]
+
+
+_ATOM_FIELDS = ("atom", "symbol", "hybrid", "aromatic", "in_ring", "in_ring6", "charge")
+_LINK_FIELDS = ("bond", "a", "b", "kind", "b_ring", "b_ring6", "conjugated")
 
 
 def local_counters(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -42,20 +49,29 @@ def local_counters(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     bonds(mol, bond, a, b, kind, b_ring, b_ring6, conjugated).
 
     Level 0 counts the bond's two atoms and itself, level 1 the atoms and bonds next to them, the bond's own
-    excluded. Everything is sums over joins on molecule and atom.
+    excluded. Molecules are small: their atoms and bonds meet in one row, which lists what is around each
+    bond; all counters are one aggregate of these lists that needs no further shuffle.
     """
-    inc = incidence(bonds).distinct()
-    by_atom = inc.select("mol", "bond", "atom").join(atoms, ["mol", "atom"])
-    core_atoms = by_atom.groupBy("mol", "bond").agg(*_atom_counters(0, CORE_SYMBOLS))
-    core_bond = bonds.groupBy("mol", "bond").agg(*_bond_counters(0, CORE_KINDS))
-    beside = inc.select("mol", "bond", "atom").join(inc.select("mol", "atom", F.col("bond").alias("near"), "other"), ["mol", "atom"]).where("near <> bond")
-    near_atoms = beside.select("mol", "bond", F.col("other").alias("atom")).distinct().join(atoms, ["mol", "atom"]).groupBy("mol", "bond").agg(*_atom_counters(1, NEAR_SYMBOLS))
-    kinds = bonds.select("mol", F.col("bond").alias("near"), "kind", "b_ring", "b_ring6", "conjugated")
-    near_bonds = beside.select("mol", "bond", "near").distinct().join(kinds, ["mol", "near"]).groupBy("mol", "bond").agg(*_bond_counters(1, NEAR_KINDS))
-    out = bonds.select("mol", "bond").distinct()
-    for part in (core_atoms, near_atoms, core_bond, near_bonds):
-        out = out.join(part, ["mol", "bond"], "left")
-    return out.na.fill(0)
+    links = bonds.groupBy("mol").agg(F.collect_set(F.struct(*_LINK_FIELDS)).alias("links"))
+    by_mol = links.join(atoms.groupBy("mol").agg(F.collect_set(F.struct(*_ATOM_FIELDS)).alias("atoms")), "mol", "left")
+    each = by_mol.select("mol", "links", "atoms", F.explode("links").alias("own"))
+    own = F.col("own")
+    near = F.filter("links", lambda e: (e["bond"] != own["bond"]) & (e["a"].isin(own["a"], own["b"]) | e["b"].isin(own["a"], own["b"])))
+    each = each.withColumn("near", near)
+    # The far ends of the bonds beside it; of a bond between the same two atoms both.
+    others = F.flatten(F.transform("near", lambda e: F.array(F.when(e["a"].isin(own["a"], own["b"]), e["b"]), F.when(e["b"].isin(own["a"], own["b"]), e["a"]))))
+    each = each.withColumn("others", others)
+    no_atom, no_link = F.lit(None).cast(by_mol.schema["atoms"].dataType.elementType), F.lit(None).cast(links.schema["links"].dataType.elementType)
+
+    def items(level: int, list_: Column, atom: bool) -> Column:
+        return F.transform(list_, lambda x: F.struct(F.lit(level).alias("level"), (x if atom else no_atom).alias("atom"), (no_link if atom else x).alias("link")))
+
+    own_atoms, near_atoms = F.filter("atoms", lambda x: x["atom"].isin(own["a"], own["b"])), F.filter("atoms", lambda x: F.array_contains("others", x["atom"]))
+    none = F.array().cast(by_mol.schema["atoms"].dataType)
+    lists = F.concat(items(0, F.coalesce(own_atoms, none), True), items(1, F.coalesce(near_atoms, none), True), items(0, F.array("own"), False), items(1, F.col("near"), False))
+    rows = each.select("mol", own["bond"].alias("bond"), F.inline(lists))
+    counters = [*_atom_counters(0, CORE_SYMBOLS), *_atom_counters(1, NEAR_SYMBOLS), *_bond_counters(0, CORE_KINDS), *_bond_counters(1, NEAR_KINDS)]
+    return rows.groupBy("mol", "bond").agg(*counters)
 
 
 STEREO = ("Stereo Chemistry", "Count Z-Bonds", "Count E-Bonds", "Cis Bond", "Cis Atom (C)", "Cis Atom (N)", "Trans Bond", "Trans Atom (C)", "Trans Atom (N)")

@@ -39,12 +39,13 @@ def membership(df: DataFrame, reference: DataFrame, keys: Sequence[str], name: s
 
 
 def in_scope(df: DataFrame, scope: DataFrame, key: str, retry: str | None = None) -> DataFrame:
-    """Rows whose ``key`` is in ``scope``, or else whose ``retry`` (such as a canonical form) is."""
-    scope = scope.select(F.col(key).alias("_k")).distinct()
-    tried = [F.col(key)] + ([F.col(retry)] if retry else [])
-    hit = df.withColumn("_try", F.explode(F.array_distinct(F.array(*tried)))) if retry else df.withColumn("_try", F.col(key))
-    out = hit.join(scope, F.col("_try") == F.col("_k"), "left_semi").drop("_try")
-    return out.distinct() if retry else out
+    """Rows whose ``key`` is in ``scope``, or else whose ``retry`` (such as a canonical form) is; repeated rows stay."""
+    known = scope.select(F.col(key).alias("_k")).distinct()
+    if not retry:
+        return df.join(known, F.col(key) == F.col("_k"), "left_semi")
+    first, second = known.select(F.col("_k").alias("_k1")), known.select(F.col("_k").alias("_k2"))
+    tried = df.join(first, F.col(key) == F.col("_k1"), "left").join(second, F.col(retry) == F.col("_k2"), "left")
+    return tried.where(F.col("_k1").isNotNull() | F.col("_k2").isNotNull()).drop("_k1", "_k2")
 
 
 def scope_counts(atoms: DataFrame, scope: Sequence[str], by: str = "mol", symbol: str = "symbol") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,17 +17,20 @@ def pair_key(x: str, y: str) -> list[Column]:
 def dedup_pairs(df: DataFrame, group: Sequence[str], pair: tuple[str, str], order_by: Sequence[str], mean_of: Sequence[str] = (), ordered: bool = False, keep_if: Column | None = None) -> DataFrame:
     """The first row (by ``order_by``) of each pair within a group; ``mean_of`` columns become the pair's means.
 
-    ``ordered`` tells (x, y) from (y, x). Rows that hold ``keep_if`` always stay. One shuffle by group
-    and pair; a hot group is spread over its pairs.
+    ``ordered`` tells (x, y) from (y, x). Rows that hold ``keep_if`` always stay, which takes a window by
+    group and pair; else one aggregate that Spark combines before the shuffle, so no pair is ever hot.
     """
     key = [F.struct(*pair).alias("_pair")] if ordered else pair_key(*pair)
     with_key = df.select("*", *key)
+    if keep_if is None:
+        first = F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_first")
+        once = with_key.groupBy(*group, "_pair").agg(first, *[F.avg(c).alias(f"_mean_{c}") for c in mean_of])
+        return once.select(*[F.col(f"_mean_{c}").alias(c) if c in mean_of else F.col("_first")[c].alias(c) for c in df.columns])
     w = Window.partitionBy(*group, "_pair")
     out = with_key.withColumn("_rn", F.row_number().over(w.orderBy(*order_by)))
     for c in mean_of:
         out = out.withColumn(c, F.avg(c).over(w))
-    first = F.col("_rn") == 1
-    return out.where(first if keep_if is None else first | F.coalesce(keep_if, F.lit(False))).drop("_pair", "_rn")
+    return out.where((F.col("_rn") == 1) | F.coalesce(keep_if, F.lit(False))).drop("_pair", "_rn")
 
 
 def dedup_column(df: DataFrame, group: Sequence[str], column: str, order_by: Sequence[str], mean_of: Sequence[str] = ()) -> DataFrame:
@@ -47,8 +51,11 @@ def reverse_augment(df: DataFrame, pair: tuple[str, str], skip_identical: bool =
 
 
 def compute_once(df: DataFrame, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a costly ``compute`` to distinct keys only and bring its columns back to every row."""
-    return df.join(compute(df.select(*keys).distinct()), list(keys))
+    """Apply a costly ``compute`` to distinct keys only and bring its columns back to every row; null keys are keys."""
+    computed = compute(df.select(*keys).distinct())
+    named = computed.select(*[F.col(c).alias(f"_key_{c}" if c in keys else c) for c in computed.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return df.join(named, same).drop(*[f"_key_{k}" for k in keys])
 
 
 def isomer_report(df: DataFrame, group: Sequence[str], pair: tuple[str, str], plain: Callable[[Column], Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -548,7 +549,7 @@ def q_bond_type(spark, d):
 _OUTER = "CASE WHEN z <= 2 THEN z WHEN z <= 10 THEN z - 2 WHEN z <= 18 THEN z - 10 WHEN z <= 20 THEN z - 18 WHEN z BETWEEN 31 AND 36 THEN z - 28 WHEN z BETWEEN 37 AND 38 THEN z - 36 WHEN z BETWEEN 49 AND 54 THEN z - 46 END"
 
 
-@query(f"SELECT p_partkey, z, CAST({_OUTER} AS BIGINT) AS outer_electrons, coalesce(({_OUTER}) + v - q IN (2, 8), true) AS stable FROM (SELECT p_partkey, p_partkey % 54 + 1 AS z, p_size % 5 AS v, p_size % 3 - 1 AS q FROM part)")
+@query(f"SELECT p_partkey, z, CAST({_OUTER} AS BIGINT) AS outer_electrons, coalesce(CASE WHEN z <= 2 THEN ({_OUTER}) + v - q = 2 WHEN z BETWEEN 21 AND 30 OR z BETWEEN 39 AND 48 THEN false ELSE ({_OUTER}) + v - q = 8 END, false) AS stable FROM (SELECT p_partkey, p_partkey % 54 + 1 AS z, p_size % 5 AS v, p_size % 3 - 1 AS q FROM part)")
 def q_octet(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") % 54 + 1).alias("z"), (F.col("p_size") % 5).alias("v"), (F.col("p_size") % 3 - 1).alias("q"))
     return p.select("p_partkey", "z", scalar.outer_electrons("z").cast("long").alias("outer_electrons"), scalar.stable_atom("z", "v", "q").alias("stable"))
@@ -600,52 +601,85 @@ def q_placeholders(spark, d):
 
 
 def _hops(radius: int) -> str:
-    """SQL of the environment of bond 0: bonds by their distance in the line graph, hop by hop."""
-    sql = f"{fx.MG}, i AS (SELECT mol, bond, a AS atom FROM mg UNION ALL SELECT mol, bond, b FROM mg), lg AS (SELECT DISTINCT i.mol, i.bond, j.bond AS nxt FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond), e0 AS (SELECT mol, bond, 0 AS dist FROM mg WHERE bond = 0)"
+    """SQL of the environments of all bonds: bonds by their distance in the line graph, hop by hop."""
+    sql = f"{fx.MG}, i AS (SELECT mol, bond, a AS atom FROM mg UNION ALL SELECT mol, bond, b FROM mg), lg AS (SELECT DISTINCT i.mol, i.bond, j.bond AS nxt FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond), e0 AS (SELECT mol, bond AS core, bond, 0 AS dist FROM mg)"
     for k in range(1, radius + 1):
-        sql += f", e{k} AS (SELECT * FROM e{k - 1} UNION ALL SELECT DISTINCT e.mol, nxt AS bond, {k} AS dist FROM e{k - 1} e JOIN lg ON e.mol = lg.mol AND e.bond = lg.bond WHERE e.dist = {k - 1} AND NOT EXISTS (SELECT 1 FROM e{k - 1} s WHERE s.mol = e.mol AND s.bond = lg.nxt))"
+        sql += f", e{k} AS (SELECT * FROM e{k - 1} UNION ALL SELECT DISTINCT e.mol, e.core, nxt AS bond, {k} AS dist FROM e{k - 1} e JOIN lg ON e.mol = lg.mol AND e.bond = lg.bond WHERE e.dist = {k - 1} AND NOT EXISTS (SELECT 1 FROM e{k - 1} s WHERE s.mol = e.mol AND s.core = e.core AND s.bond = lg.nxt))"
     return sql
 
 
-@query(f"WITH {_hops(2)} SELECT mol, CAST(0 AS BIGINT) AS core, bond, CAST(dist AS INT) AS dist FROM e2")
+@query(f"WITH {_hops(2)} SELECT mol, core, bond, CAST(dist AS INT) AS dist FROM e2")
 def q_bfs_r2(spark, d):
     b = fx.mg(spark, d)
-    return graph.bond_environment(b, fx.first_bonds(b), 2)
+    return graph.bond_environment(b, fx.all_bonds(b), 2)
 
 
-@query(f"WITH {_hops(4)} SELECT mol, CAST(0 AS BIGINT) AS core, bond, CAST(dist AS INT) AS dist FROM e4")
+@query(f"WITH {_hops(4)} SELECT mol, core, bond, CAST(dist AS INT) AS dist FROM e4")
 def q_bfs_r4(spark, d):
     b = fx.mg(spark, d)
-    return graph.bond_environment(b, fx.first_bonds(b), 4)
+    return graph.bond_environment(b, fx.all_bonds(b), 4)
 
 
-@query(f"WITH {_hops(4)} SELECT e.mol, CAST(0 AS BIGINT) AS core, e.bond, CAST(dist AS INT) AS dist FROM e4 e JOIN mg ON e.mol = mg.mol AND e.bond = mg.bond WHERE mg.b < 28 OR e.bond = 0")
+@query(f"WITH {_hops(4)} SELECT e.mol, e.core, e.bond, CAST(dist AS INT) AS dist FROM e4 e JOIN mg ON e.mol = mg.mol AND e.bond = mg.bond WHERE mg.b < 28 OR e.bond = e.core")
 def q_bfs_no_hydrogen(spark, d):
     b = fx.mg(spark, d)
-    return graph.bond_environment(b, fx.first_bonds(b), 4, F.col("b") < 28)
+    return graph.bond_environment(b, fx.all_bonds(b), 4, F.col("b") < 28)
 
 
-@query(f"WITH {_hops(6)} SELECT mol, CAST(0 AS BIGINT) AS core, CAST(r AS INT) AS radius, bond, CAST(dist AS INT) AS dist FROM e6, (VALUES (6), (4), (2)) v(r) WHERE dist <= r")
+@query(f"WITH {_hops(6)} SELECT mol, core, CAST(r AS INT) AS radius, bond, CAST(dist AS INT) AS dist FROM e6, (VALUES (6), (4), (2)) v(r) WHERE dist <= r")
 def q_bfs_multi_radius(spark, d):
     b = fx.mg(spark, d)
-    return graph.environments(b, fx.first_bonds(b), [2, 4, 6])
+    return graph.environments(b, fx.all_bonds(b), [2, 4, 6])
 
 
-@query(f"WITH {_hops(2)} SELECT mol, CAST(0 AS BIGINT) AS core, CAST(2 AS INT) AS radius, bond, CAST(row_number() OVER (PARTITION BY mol ORDER BY bond) - 1 AS BIGINT) AS new_bond, CAST(0 AS BIGINT) AS new_core FROM e2")
+@query(f"WITH {_hops(2)}, n AS (SELECT *, row_number() OVER (PARTITION BY mol, core ORDER BY bond) - 1 AS new_bond FROM e2) SELECT mol, core, CAST(2 AS INT) AS radius, bond, CAST(new_bond AS BIGINT) AS new_bond, CAST(max(CASE WHEN bond = core THEN new_bond END) OVER (PARTITION BY mol, core) AS BIGINT) AS new_core FROM n")
 def q_subgraph_reindex(spark, d):
     b = fx.mg(spark, d)
-    env = graph.reindex(graph.environments(b, fx.first_bonds(b), [2]))
+    env = graph.reindex(graph.environments(b, fx.all_bonds(b), [2]))
     return env.select("mol", "core", "radius", "bond", *_long("new_bond", "new_core"))
 
 
-@query(
-    f"""WITH RECURSIVE {fx.MG}, ed AS (SELECT mol, a AS x, b AS y FROM mg WHERE bond <> 0 UNION ALL SELECT mol, b, a FROM mg WHERE bond <> 0),
-r(mol, atom, side) AS (SELECT mol, a, 'x' FROM mg WHERE bond = 0 UNION SELECT mol, b, 'y' FROM mg WHERE bond = 0 UNION SELECT r.mol, ed.y, r.side FROM r JOIN ed ON r.mol = ed.mol AND r.atom = ed.x)
-SELECT mol, CAST(0 AS BIGINT) AS core, atom, min(side) AS side FROM r GROUP BY mol, atom"""
-)
+_BREAK = f"""{fx.MG}, r(mol, core, atom, side) AS (SELECT mol, bond, a, 'x' FROM mg UNION SELECT mol, bond, b, 'y' FROM mg
+  UNION SELECT r.mol, r.core, CASE WHEN mg.a = r.atom THEN mg.b ELSE mg.a END, r.side FROM r JOIN mg ON r.mol = mg.mol AND mg.bond <> r.core AND (mg.a = r.atom OR mg.b = r.atom)),
+sides AS (SELECT mol, core, atom, min(side) AS side FROM r GROUP BY mol, core, atom)"""
+_FRAGS = f"""{_BREAK}, names AS (SELECT mol, core, side, string_agg(s, '' ORDER BY s) AS name FROM (SELECT *, {_EL}[CAST(atom % 8 + 1 AS INT)] AS s FROM sides) GROUP BY ALL),
+frags AS (SELECT mol, core, min(name) AS frag_x, max(name) AS frag_y FROM names GROUP BY mol, core HAVING count(*) = 2)"""
+
+
+@query(f"WITH RECURSIVE {_BREAK} SELECT mol, core, atom, side FROM sides")
 def q_break_bond_components(spark, d):
     b = fx.mg(spark, d)
-    return graph.break_bonds(b, fx.first_bonds(b))
+    return graph.break_bonds(b, fx.all_bonds(b))
+
+
+def _fragments(spark, d):
+    b = fx.mg(spark, d)
+    return graph.fragment_names(b, fx.atoms(b), fx.all_bonds(b))
+
+
+@query(f"WITH RECURSIVE {_FRAGS} SELECT mol, core, frag_x, frag_y FROM frags")
+def q_fragment_names(spark, d):
+    return _fragments(spark, d)
+
+
+@query(f"WITH RECURSIVE {_FRAGS} SELECT f.mol, f.core, f.frag_y AS frag_x, f.frag_x AS frag_y, (SELECT min(g.core) FROM frags g WHERE g.mol = f.mol AND g.frag_x = f.frag_x AND g.frag_y = f.frag_y) AS found FROM frags f UNION ALL SELECT mol, core, frag_x || 'C', frag_y, -1 FROM frags f WHERE NOT EXISTS (SELECT 1 FROM frags g WHERE g.mol = f.mol AND g.frag_x = least(f.frag_x || 'C', f.frag_y) AND g.frag_y = greatest(f.frag_x || 'C', f.frag_y))")
+def q_find_bond(spark, d):
+    f = _fragments(spark, d)
+    swapped = f.select("mol", "core", F.col("frag_y").alias("frag_x"), F.col("frag_x").alias("frag_y"))
+    other = graph.find_bond(f.withColumn("frag_x", F.concat("frag_x", F.lit("C"))), f).where("found = -1")
+    return graph.find_bond(swapped, f).unionByName(other)
+
+
+@query(
+    f"""WITH RECURSIVE {_FRAGS}, rx2 AS (SELECT mg.mol, mg.bond AS bidx, CASE mg.bond % 4 WHEN 3 THEN NULL WHEN 2 THEN 'X' ELSE coalesce(frag_y, 'C') END AS frag_x, coalesce(frag_x, 'C') AS frag_y, frag_x AS tx, frag_y AS ty FROM mg LEFT JOIN frags ON mg.mol = frags.mol AND mg.bond = frags.core)
+SELECT mol, bidx, frag_x, frag_y, CAST(CASE WHEN tx IS NULL OR frag_x IS NULL THEN -999 WHEN least(frag_x, frag_y) = tx AND greatest(frag_x, frag_y) = ty THEN 1 ELSE -99 END AS INT) AS is_correct_bond FROM rx2"""
+)
+def q_validate_reactions(spark, d):
+    f, b = _fragments(spark, d), fx.mg(spark, d).select("mol", F.col("bond").alias("bidx"))
+    m = F.col("bidx") % 4
+    known = b.join(f.withColumnRenamed("core", "bidx"), ["mol", "bidx"], "left")
+    rx = known.select("mol", "bidx", F.when(m == 3, None).when(m == 2, "X").otherwise(F.coalesce("frag_y", F.lit("C"))).alias("frag_x"), F.coalesce("frag_x", F.lit("C")).alias("frag_y"))
+    return graph.validate_reactions(rx, f)
 
 
 def _typed_bonds(b):
@@ -653,37 +687,61 @@ def _typed_bonds(b):
     return b.select("*", kind.alias("kind"), (F.col("b") % 2 == 0).alias("b_ring"), (F.col("b") % 4 == 0).alias("b_ring6"), (F.col("a") % 3 == 0).alias("conjugated"), F.when(F.col("a") % 7 == 0, "Z").when(F.col("a") % 7 == 1, "E").alias("stereo"))
 
 
+# All 54 counters and 9 stereo counters, as SQL over lists of what is at a bond (level 0) and beside it (level 1).
 _ATOM_SQL = f"{_EL}[CAST(atom % 8 + 1 AS INT)] AS symbol, ['S','SP','SP2','SP3','SP3D'][CAST(atom % 5 + 1 AS INT)] AS hybrid, atom % 3 - 1 AS charge"
-_COUNTERS = f"""{fx.MG}, i AS (SELECT mol, bond, a AS atom, b AS other FROM mg UNION ALL SELECT mol, bond, b, a FROM mg),
-ca AS (SELECT mol, bond, count(*) FILTER (symbol = 'C') AS c0, count(*) FILTER (hybrid IN ('SP3D','SP3D2')) AS h0, coalesce(sum(charge) FILTER (charge > 0), 0) AS q0 FROM (SELECT *, {_ATOM_SQL} FROM i) GROUP BY mol, bond),
-ba AS (SELECT DISTINCT i.mol, i.bond, j.other AS atom FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond),
-na AS (SELECT mol, bond, count(*) FILTER (symbol IN ('F','Cl')) AS f1, count(*) FILTER (hybrid = 'S') AS s1, count(*) FILTER (charge < 0) AS n1 FROM (SELECT *, {_ATOM_SQL} FROM ba) GROUP BY mol, bond),
-bb AS (SELECT DISTINCT i.mol, i.bond, j.bond AS near FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond),
-nb AS (SELECT bb.mol, bb.bond, count(*) FILTER (mg.b % 5 IN (1, 2, 4)) AS d1, count(*) FILTER (mg.b % 2 = 0) AS r1 FROM bb JOIN mg ON mg.mol = bb.mol AND mg.bond = bb.near GROUP BY 1, 2)"""
+_SYMBOLS = (["F", "Cl", "Br", "I", "P", "S", "C", "H", "O", "N"], ["F,Cl", "Br,I", "P,S", "C", "H", "O", "N"])
+_KINDS = (["SINGLE", "DOUBLE,DATIVE", "TRIPLE", "AROMATIC"], ["SINGLE", "AROMATIC", "DOUBLE,DATIVE,TRIPLE"])
 
 
-@query(
-    f"""WITH {_COUNTERS} SELECT mg.mol, mg.bond, CAST(c0 AS INT) AS l0_c, CAST(h0 AS INT) AS l0_sp3d, CAST(q0 AS INT) AS l0_positive, CAST(coalesce(f1, 0) AS INT) AS l1_f_cl, CAST(coalesce(s1, 0) AS INT) AS l1_s,
-  CAST(coalesce(n1, 0) AS INT) AS l1_negative, CAST(mg.b % 5 = 0 AS INT) AS l0_single, CAST(coalesce(d1, 0) AS INT) AS l1_multiple, CAST(coalesce(r1, 0) AS INT) AS l1_ring
-  FROM mg JOIN ca USING (mol, bond) LEFT JOIN na USING (mol, bond) LEFT JOIN nb USING (mol, bond)"""
-)
+def _plain(name: str) -> str:
+    """A column name for both engines."""
+    return re.sub(r"\W+", "_", name).strip("_").lower()
+
+
+def _counter_sql(level: int) -> tuple[list[str], list[str]]:
+    count = lambda name, test: f"CAST(count(*) FILTER ({test}) AS INT) AS {_plain(f'L{level} {name}')}"
+    any_of = lambda column, names: f"{column} IN ({', '.join(repr(n) for n in names.split(','))})"
+    atoms = [count(s, any_of("symbol", s)) for s in _SYMBOLS[level]]
+    atoms += [count(h + " (hybrid)" * (h in _SYMBOLS[level]), any_of("hybrid", h)) for h in ("S", "SP", "SP2", "SP3", "SP3D,SP3D2")]
+    atoms += [count("Aromatic", "atom % 3 = 0"), count("Ring", "atom % 2 = 0"), count("Stable-Ring", "atom % 4 = 0"), count("PCharge", "charge > 0"), count("NCharge", "charge < 0")]
+    atoms += [f"CAST(coalesce(sum(charge) FILTER (charge > 0), 0) AS INT) AS l{level}_numpcharge", f"CAST(coalesce(-sum(charge) FILTER (charge < 0), 0) AS INT) AS l{level}_numncharge"]
+    bonds = [count(f"bond - {k}", any_of("kind", k)) for k in _KINDS[level]]
+    bonds += [count("bond - RING", "b % 2 = 0"), count("bond - STABLE-RING", "b % 4 = 0"), count("bond - Conjugated", "a % 3 = 0")]
+    return atoms, bonds
+
+
+_TYPED = "ty AS (SELECT *, ['SINGLE','DOUBLE','TRIPLE','AROMATIC','DATIVE'][CAST(b % 5 + 1 AS INT)] AS kind FROM mg)"
+_COUNTERS = f"""{fx.MG}, {_TYPED}, i AS (SELECT mol, bond, a AS atom, b AS other FROM mg UNION ALL SELECT mol, bond, b, a FROM mg),
+a0 AS (SELECT mol, bond, {", ".join(_counter_sql(0)[0])} FROM (SELECT *, {_ATOM_SQL} FROM i) GROUP BY mol, bond),
+near AS (SELECT i.mol, i.bond, j.bond AS nb, j.other AS atom FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond),
+a1 AS (SELECT mol, bond, {", ".join(_counter_sql(1)[0])} FROM (SELECT *, {_ATOM_SQL} FROM (SELECT DISTINCT mol, bond, atom FROM near)) GROUP BY mol, bond),
+b0 AS (SELECT mol, bond, {", ".join(_counter_sql(0)[1])} FROM ty GROUP BY mol, bond),
+b1 AS (SELECT n.mol, n.bond, {", ".join(_counter_sql(1)[1])} FROM (SELECT DISTINCT mol, bond, nb FROM near) n JOIN ty ON ty.mol = n.mol AND ty.bond = n.nb GROUP BY n.mol, n.bond)"""
+_NEAR_NAMES = [c.rsplit(" AS ", 1)[1] for part in _counter_sql(1) for c in part]
+
+
+@query(f"WITH {_COUNTERS} SELECT * REPLACE ({', '.join(f'coalesce({n}, 0) AS {n}' for n in _NEAR_NAMES)}) FROM a0 JOIN b0 USING (mol, bond) LEFT JOIN a1 USING (mol, bond) LEFT JOIN b1 USING (mol, bond)")
 def q_local_counters(spark, d):
     b = fx.mg(spark, d)
     out = local_counters.local_counters(fx.atoms(b), _typed_bonds(b))
-    names = {"L0 - C": "l0_c", "L0 - SP3D-SP3D2": "l0_sp3d", "L0 - NumPCharge": "l0_positive", "L1 - F-Cl": "l1_f_cl", "L1 - S": "l1_s", "L1 - NCharge": "l1_negative", "L0 bond - SINGLE": "l0_single", "L1 bond - DOUBLE-DATIVE-TRIPLE": "l1_multiple", "L1 bond - RING": "l1_ring"}
-    return out.select("mol", "bond", *[F.col(k).alias(v) for k, v in names.items()])
+    return out.select(*[F.col(f"`{c}`").alias(_plain(c)) for c in out.columns])
+
+
+_CIS = [f"count(*) FILTER (stereo = '{s}'{test}) AS {n}_{x}" for s, n in (("Z", "cis"), ("E", "trans")) for x, test in (("bond", ""), ("atom_c", " AND symbol = 'C'"), ("atom_n", " AND symbol = 'N'"))]
+_CIS_NAMES = [c.rsplit(" AS ", 1)[1] for c in _CIS]
 
 
 @query(
     f"""WITH {fx.MG}, i AS (SELECT mol, bond, a AS atom FROM mg UNION ALL SELECT mol, bond, b FROM mg), s AS (SELECT *, CASE a % 7 WHEN 0 THEN 'Z' WHEN 1 THEN 'E' END AS stereo FROM mg),
 t AS (SELECT mol, count(*) FILTER (stereo = 'Z') AS z, count(*) FILTER (stereo = 'E') AS e FROM s GROUP BY mol),
-n AS (SELECT i.mol, i.bond, count(*) FILTER (stereo = 'Z') AS cis, count(*) FILTER (stereo = 'E' AND {_EL}[CAST(j.atom % 8 + 1 AS INT)] = 'C') AS trans_c FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond JOIN s ON s.mol = j.mol AND s.bond = j.bond WHERE stereo IS NOT NULL GROUP BY 1, 2)
-SELECT mg.mol, mg.bond, CAST(z + e > 0 AS INT) AS stereo, CAST(z AS INT) AS n_z, CAST(e AS INT) AS n_e, CAST(coalesce(cis, 0) AS INT) AS cis, CAST(coalesce(trans_c, 0) AS INT) AS trans_c FROM mg JOIN t USING (mol) LEFT JOIN n USING (mol, bond)"""
+m AS (SELECT i.mol, i.bond, s.stereo, {_EL}[CAST(j.atom % 8 + 1 AS INT)] AS symbol FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond JOIN s ON s.mol = j.mol AND s.bond = j.bond WHERE s.stereo IS NOT NULL),
+n AS (SELECT mol, bond, {", ".join(_CIS)} FROM m GROUP BY 1, 2)
+SELECT mg.mol, mg.bond, CAST(z + e > 0 AS INT) AS stereo_chemistry, CAST(z AS INT) AS count_z_bonds, CAST(e AS INT) AS count_e_bonds, {", ".join(f"CAST(coalesce({c}, 0) AS INT) AS {c}" for c in _CIS_NAMES)} FROM mg JOIN t USING (mol) LEFT JOIN n USING (mol, bond)"""
 )
 def q_stereo_counters(spark, d):
     b = fx.mg(spark, d)
     out = local_counters.stereo_counters(_typed_bonds(b), fx.atoms(b))
-    return out.select("mol", "bond", *[F.col(k).alias(v) for k, v in {"Stereo Chemistry": "stereo", "Count Z-Bonds": "n_z", "Count E-Bonds": "n_e", "Cis Bond": "cis", "Trans Atom (C)": "trans_c"}.items()])
+    return out.select(*[F.col(f"`{c}`").alias(_plain(c)) for c in out.columns])
 
 
 @query(

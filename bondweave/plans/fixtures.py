@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 ORDER = ["mol", "bidx", "pk", "sk", "target", "qty", "ship"]
 
 ELEMENTS = ("C", "H", "O", "N", "F", "Cl", "Br", "S")
-MOLECULES, ATOMS = 3000, 16
+#: Orders that make up a molecule, and atoms on each side; molecules grow in number with the tables, never in size.
+ORDERS, ATOMS = 5, 16
 
 # The same tables as common table expressions, for the SQL of the catalogue.
 RX = """rx AS (SELECT CAST(l_orderkey AS BIGINT) AS mol, CAST(l_partkey % 5 AS BIGINT) AS rad_x, CAST(l_suppkey % 5 AS BIGINT) AS rad_y,
@@ -17,7 +18,7 @@ RX = """rx AS (SELECT CAST(l_orderkey AS BIGINT) AS mol, CAST(l_partkey % 5 AS B
   CAST(l_extendedprice AS DOUBLE) AS target, CAST(l_partkey AS BIGINT) AS pk, CAST(l_suppkey AS BIGINT) AS sk, CAST(l_quantity AS DOUBLE) AS qty,
   l_shipdate AS ship, CAST(l_discount AS DOUBLE) AS disc, CAST(l_tax AS DOUBLE) AS tax, l_returnflag AS flag, l_linestatus AS state FROM lineitem)"""
 MG = f"""mg AS (SELECT mol, CAST(row_number() OVER (PARTITION BY mol ORDER BY a, b) - 1 AS BIGINT) AS bond, a, b FROM (
-  SELECT DISTINCT CAST(l_orderkey % {MOLECULES} AS BIGINT) AS mol, CAST(l_partkey % {ATOMS} AS BIGINT) AS a, CAST({ATOMS} + l_suppkey % {ATOMS} AS BIGINT) AS b FROM lineitem))"""
+  SELECT DISTINCT CAST(l_orderkey // {ORDERS} AS BIGINT) AS mol, CAST(l_partkey % {ATOMS} AS BIGINT) AS a, CAST({ATOMS} + l_suppkey % {ATOMS} AS BIGINT) AS b FROM lineitem))"""
 PREDS = """preds AS (SELECT *, target * (1 - disc) AS p1, target * (1 - tax) AS p2, target * 0.95 AS p3 FROM rx)"""
 
 
@@ -48,16 +49,16 @@ def mg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     e = t.select(
-        (F.col("l_orderkey") % MOLECULES).cast("long").alias("mol"),
+        F.expr(f"l_orderkey div {ORDERS}").cast("long").alias("mol"),
         (F.col("l_partkey") % ATOMS).cast("long").alias("a"),
         (ATOMS + F.col("l_suppkey") % ATOMS).cast("long").alias("b"),
     ).distinct()
     return e.select("mol", (F.row_number().over(Window.partitionBy("mol").orderBy("a", "b")) - 1).cast("long").alias("bond"), "a", "b")
 
 
-def first_bonds(bonds: DataFrame) -> DataFrame:
-    """Bond 0 of every molecule, as core."""
-    return bonds.where("bond = 0").select("mol", F.col("bond").alias("core"))
+def all_bonds(bonds: DataFrame) -> DataFrame:
+    """Every bond of every molecule, as core."""
+    return bonds.select("mol", F.col("bond").alias("core"))
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
