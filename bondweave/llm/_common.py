@@ -40,6 +40,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of one or two hashes that are broadcast at most, to tell documents that go from those that stay.
+BROADCAST_KEYS = 500_000
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Mark ``df`` for broadcast only when its counted rows stay within ``limit``; else Spark shuffles the join."""
     return F.broadcast(df) if rows <= limit else df

@@ -5,9 +5,12 @@ Everything here is DataFrame and SQL functions; no Python runs on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import with_ordinal
 from ._common import broadcast_if_small, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -24,25 +27,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
 
     Sources in code-point order, null last, get ``weights`` in turn and share the sum of all sizes by
     weight. A target stops at ``cap`` times its source's size, and the excess is shared among the others
-    by weight until none is above. A source is capped exactly if its cap per weight lies below the final
-    level (target per weight), so sorting by cap per weight gives the level in one pass of running sums.
+    by weight until none is above. The level (target per weight of those below their caps) rises with each
+    round of sums, one row each, until no more sources are capped, so no task ever holds all sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("w", w).withColumn("cap", F.col("source_size").cast("double") * cap)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = (
-        t.withColumn("capped_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("w_from_here", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("total", F.sum(F.col("source_size").cast("double")).over(everything))
-    )
-    level = (F.col("total") - F.col("capped_before")) / F.col("w_from_here")
-    t = t.withColumn("level", F.when(F.col("cap") / F.col("w") > level, level))
-    # The first source below its cap has the highest of these, and fixes the level for all after it.
-    t = t.withColumn("level", F.max("level").over(everything))
-    return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    ranked = with_ordinal(sizes.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "_rn")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("_rn") - 1) % len(weights) + 1).cast("int"))
+    t = ranked.select("source", "source_size", w.alias("w"), (F.col("source_size").cast("double") * cap).alias("cap"))
+    t = materialize(t, "source-weights")
+    level, capped = 0.0, F.lit(False)
+    while True:
+        free = ~capped
+        r = t.agg(F.sum(F.col("source_size").cast("double")).alias("total"), F.sum(F.when(capped, F.col("cap"))).alias("caps"), F.sum(F.when(free, F.col("w"))).alias("w")).first()
+        if not r["w"]:
+            level = float("inf")
+            break
+        new = ((r["total"] or 0.0) - (r["caps"] or 0.0)) / r["w"]
+        if new <= level:
+            break
+        level = new
+        capped = F.col("cap") / F.col("w") < level
+    return t.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
 def _bucket(h: Column, level: int) -> Column:
@@ -55,24 +59,30 @@ def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
     ``rows``: (source, h, size); ``budgets``: (source, budget). Returns (source, cut, rest): rows whose
     leading 60 bits of h lie below ``cut`` (unsigned) are taken, and leave ``rest`` of the budget. Each
     level sums sizes by source and hash bucket, finds the bucket in which the budget is used up, and only
-    the rows of that bucket go on to the next level, which splits it finer. What is left in the last
+    the rows of that bucket go on to the next level, which splits it finer, until it holds one hash. What is left in the last
     bucket (one hash) is left out, or with ``nearest`` taken if that comes nearer. Sources whose rows do
     not use up the budget are not returned. A window never holds more than the 4096 buckets of one source.
     """
     state = budgets.select(F.col("source").alias("_of"), F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
+    settled = []
     for level in range(LEVELS):
         inside = rows.join(state, F.col("source").eqNullSafe(F.col("_of")))
         if level:
             inside = inside.where(F.shiftrightunsigned("h", 64 - LEVEL_BITS * level) == F.col("prefix"))
-        hist = inside.groupBy("source", _bucket(F.col("h"), level).alias("b")).agg(F.sum("size").cast("double").alias("s"), F.first("left").alias("left"), F.first("prefix").alias("prefix"))
+        sums = [F.sum("size").cast("double").alias("s"), F.first("left").alias("left"), F.first("prefix").alias("prefix"), F.min("h").alias("low"), F.max("h").alias("high")]
+        hist = inside.groupBy("source", _bucket(F.col("h"), level).alias("b")).agg(*sums)
         hist = hist.withColumn("upto", F.sum("s").over(Window.partitionBy("source").orderBy("b")))
-        found = hist.where("upto >= left").groupBy("source").agg(F.min_by(F.struct("b", "s", "upto", "left", "prefix"), "b").alias("x"))
+        found = hist.where("upto >= left").groupBy("source").agg(F.min_by(F.struct("b", "s", "upto", "left", "prefix", "low", "high"), "b").alias("x"))
         rest = F.col("x.left") - (F.col("x.upto") - F.col("x.s"))
         prefix = F.shiftleft("x.prefix", LEVEL_BITS) + F.col("x.b")
-        if level == LEVELS - 1 and nearest:
-            prefix = prefix + F.when(rest * 2 >= F.col("x.s"), 1).otherwise(0)
-        state = materialize(found.select(F.col("source").alias("_of"), rest.alias("left"), prefix.alias("prefix")), "boundary")
-    return state.select(F.col("_of").alias("source"), F.col("prefix").alias("cut"), F.col("left").alias("rest"))
+        one = (F.col("x.low") == F.col("x.high")) | F.lit(level == LEVELS - 1)  # of one hash: finer buckets settle nothing more
+        cut = _top("x.low") + F.when((rest * 2 >= F.col("x.s")) & F.lit(nearest), 1).otherwise(0)
+        found = materialize(found.select(F.col("source").alias("_of"), rest.alias("left"), prefix.alias("prefix"), F.when(one, cut).alias("cut")), "boundary")
+        settled.append(found.where("cut IS NOT NULL"))
+        state = found.where("cut IS NULL").drop("cut")
+        if not state.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, settled).select(F.col("_of").alias("source"), "cut", F.col("left").alias("rest"))
 
 
 def _hash(seed: int) -> Column:
