@@ -14,8 +14,6 @@ N_SHARDS = 40
 #: Rows that one logical partition, and one block of a shard, hold on average; with more than MAX_PARTS of
 #: them the partitions grow instead, so the matrix on the driver stays within MAX_PARTS times the shards.
 PART_ROWS, MAX_PARTS = 4096, 50_000
-#: A partition of so many times the mean shows an id of very many rows.
-SKEW = 8
 #: Populations from which numpy draws hypergeometric variates.
 NUMPY_LIMIT = 10**9
 
@@ -80,28 +78,24 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows:
     """Deal all rows of ``docs`` to shards uniformly at random; adds ``shard`` and ``slot`` to all columns.
 
     Shard sizes are at most one apart, and slots run from 0 without gaps in each shard. Steps: rows fall
-    into logical partitions by a hash of id, or of all columns where some id has very many rows; the counts
-    of these (all that reaches the driver) give the communication matrix; each partition permutes its rows by hash and cuts them into shares by its row
-    of the matrix; the exchange brings rows to blocks of shards; each block permutes again. Block sizes
+    into logical partitions by a hash of all their columns, so neither an id nor a text of very many rows
+    gathers in one; the counts of these (all that reaches the driver) give the communication matrix; each
+    partition permutes its rows by hash and cuts them into shares by its row of the matrix; the exchange brings rows to blocks of shards; each block permutes again. Block sizes
     follow from the counts alone, so no second look at the data is needed to number the slots.
 
     Everything depends on the rows and ``seed`` only: lost executors, reruns and other partitionings
     give the same rows. Repeated rows are told apart by their place among equals; nulls hash like values;
     with fewer rows than shards some shards stay empty; an empty table gives no rows; columns that are
-    named ``shard`` or ``slot`` are replaced. Rows are dealt singly: equal texts are not kept together.
+    named ``shard`` or ``slot`` are replaced; texts may be of any length. Rows are dealt singly: a group of
+    equal texts can be larger than a shard, so whole groups and counts at most one apart exclude each other.
     """
     cols = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.select(id_col).count()
     parts = min(MAX_PARTS, max(1, -(-total // part_rows)))
 
-    def counted(by: list[str]) -> tuple[Column, list[int]]:
-        part_of = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(parts)).cast("int")
-        per_part = {r["_part"]: r["count"] for r in docs.select(part_of.alias("_part")).groupBy("_part").count().collect()}
-        return part_of, [per_part.get(i, 0) for i in range(parts)]
-
-    part_of, counts = counted([id_col])
-    if max(counts) * parts > SKEW * total:
-        part_of, counts = counted(cols)
+    part_of = F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(parts)).cast("int")
+    per_part = {r["_part"]: r["count"] for r in docs.select(part_of.alias("_part")).groupBy("_part").count().collect()}
+    counts = [per_part.get(i, 0) for i in range(parts)]
     matrix = communication_matrix(counts, n_shards, seed)
     spark = docs.sparkSession
     ends = matrix.cumsum(axis=1).tolist()
