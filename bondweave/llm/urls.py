@@ -114,6 +114,6 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     r = r.withColumn("key", host_key(_lower(F.col("host")))).withColumn("range", F.explode(ranges_met("key")))
     r = r.select("range", "key", "path", "verdict", F.concat("host", "path").alias("rule"), F.lit("").alias("place"), F.lit(None).cast(id_type).alias("id"), none.alias("host"))
     u = urls.select(range_of("place").alias("range"), "key", "path", none.alias("verdict"), none.alias("rule"), "place", "id", "host")
-    events = r.unionByName(u).repartition(ranges, "range").sortWithinPartitions("range", "key", F.col("rule").isNull(), "place").drop("place")
+    events = r.unionByName(u).repartitionById(ranges, "range").sortWithinPartitions("range", "key", F.col("rule").isNull(), "place").drop("place")
     found = events.mapInPandas(_sweep, T.StructType([T.StructField("id", id_type)] + [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]))
     return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
