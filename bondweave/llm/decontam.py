@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, materialize
+from ._common import BROADCAST_KEYS, broadcast_if_small, materialize
 
 #: Token positions that each seed looks at; the others are ignored. Together the two hit every run of
 #: WINDOW aligned tokens in which at most three are substituted, wherever these are.
@@ -153,7 +153,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that overlap no benchmark item; all columns stay. Rows without an id can't be named, so they stay."""
     bad = materialize(find_contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(bad, bad.count(), BROADCAST_KEYS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -164,4 +164,4 @@ def drop_contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     named = docs.withColumn("_text", F.xxhash64("text"))
     bad = materialize(find_contaminated(named, benchmark, id_col="_text").select("_text").distinct(), "contaminated")
-    return named.join(bad, "_text", "left_anti").select(*docs.columns)
+    return named.join(broadcast_if_small(bad, bad.count(), BROADCAST_KEYS), "_text", "left_anti").select(*docs.columns)
