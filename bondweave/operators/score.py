@@ -42,3 +42,35 @@ def render(df: DataFrame, keys: Sequence[str], models: Sequence[str], target: st
     """One row for each key with its predictions as records (model, value), in the order given, and its reference."""
     records = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("value")) for m in models])
     return df.select(*keys, records.alias("predictions"), F.col(target).alias("reference"))
+
+
+def reference_column(df: DataFrame, mode: int, performance: Sequence[str], analysis: Sequence[str] = (), features: Sequence[str] = (), btype: str = "btype", feature: int | str | None = None) -> Column:
+    """The column that a mode number stands for: -1 the bond type, then the performance columns, then the analysis
+    columns, and beyond these a feature by place or name."""
+    if mode == -1:
+        return F.col(btype)
+    known = [*performance, *analysis]
+    if 0 <= mode < len(known):
+        return F.col(f"`{known[mode]}`")
+    if isinstance(feature, int) and 0 <= feature < len(features):
+        return F.col(f"`{features[feature]}`")
+    if isinstance(feature, str) and feature in features:
+        return F.col(f"`{feature}`")
+    raise ValueError(f"mode {mode} and feature {feature!r} stand for no column")
+
+
+def result_table(df: DataFrame, info: Sequence[str], environment: Sequence[str], predictions: Sequence[str], targets: Sequence[str], analysis: Sequence[str] = (), notion: Sequence[str] = ("BDE",), digits: int = 4) -> DataFrame:
+    """One table of results: what a reaction is, its environment, what was predicted and how far off, and what else was computed, rounded."""
+    rounded = df.select("*", *[F.bround(a, digits).alias(f"_{a}") for a in analysis])
+    keep = [*info, *environment, *[f"_{a}" for a in analysis]]
+    out = performance_columns(rounded, predictions, targets, notion, digits, keep)
+    performance = [c for c in out.columns if c not in keep]
+    return out.select(*info, *environment, *[F.col(f"`{c}`") for c in performance], *[F.col(f"_{a}").alias(a) for a in analysis])
+
+
+def split_tables(df: DataFrame, keys: Sequence[str], models: Sequence[str], target: str, split: str = "split", digits: int = 4) -> DataFrame:
+    """Predictions of every model for every split as one long table: (split, model, keys, target, predict, error, abs_error)."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in models])).alias("m")
+    error = F.col(target) - F.col("m.p")
+    out = df.select(split, *keys, F.col(target), each)
+    return out.select(split, F.col("m.model").alias("model"), *keys, F.bround(target, digits).alias("target"), F.bround("m.p", digits).alias("predict"), F.bround(error, digits).alias("error"), F.bround(F.abs(error), digits).alias("abs_error"))

@@ -110,3 +110,27 @@ def slice_split(df: DataFrame, order_by: Sequence[str], dev: tuple[int, int], te
 
 def split_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("split").count()
+
+
+def sort_splits(df: DataFrame, order_by: Sequence[str], split: str = "split", name: str = "place") -> DataFrame:
+    """Rows of each split numbered from 0 in order. The whole is cut into ranges of (split, order), so a split of most rows is no single task."""
+    ranked = with_ordinal(df, [split, *order_by], "_rn")
+    first = F.broadcast(ranked.groupBy(F.col(split).alias("_of")).agg(F.min("_rn").alias("_first")))  # one row a split
+    return ranked.join(first, F.col(split).eqNullSafe(F.col("_of"))).withColumn(name, F.col("_rn") - F.col("_first")).drop("_rn", "_of", "_first")
+
+
+#: What moves together in each mode of a split.
+MODES = {"sample": ("row",), "molecule": ("mol",), "bond": ("mol", "bidx")}
+
+
+def split_mode(df: DataFrame, mode: str, plan: SplitPlan, order_by: Sequence[str]) -> DataFrame:
+    """Split by one of MODES; adds ``split``. Keys of several columns, and rows, are numbered first, so that any types will do."""
+    if mode not in MODES:
+        raise ValueError(f"{mode!r} is none of {sorted(MODES)}")
+    if mode == "molecule":
+        return split_by(df, "mol", plan)
+    if mode == "sample":
+        return split_by(with_ordinal(df, order_by, "_key"), "_key", plan).drop("_key")
+    keys = with_ordinal(df.select(*MODES[mode]).distinct(), MODES[mode], "_key")
+    split = keys.join(split_keys(keys, "_key", plan), "_key").drop("_key")
+    return df.join(split, list(MODES[mode]))

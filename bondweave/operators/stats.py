@@ -68,9 +68,18 @@ def class_profile(df: DataFrame, cls: str, mol: str) -> DataFrame:
     return g.select(cls, "n_rows", "n_mols", (100.0 * F.col("n_rows") / F.col("_rows")).alias("pct_rows"), (100.0 * F.col("n_mols") / F.col("_mols")).alias("pct_mols"))
 
 
-def summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, mean, population deviation, minimum, maximum, 95th and 99th percentile."""
-    p = F.percentile(column, F.array(F.lit(0.95), F.lit(0.99)))
+def count_by(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+
+
+def summary(df: DataFrame, column: str, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """n, mean, population deviation, minimum, maximum, 95th and 99th percentile.
+
+    Exact percentiles hold a group's distinct values in one task. For groups of very many give ``accuracy``: then they
+    come from sketches of bounded size, within 1 / accuracy of the rank.
+    """
+    shares = F.array(F.lit(0.95), F.lit(0.99))
+    p = F.percentile(column, shares) if accuracy is None else F.percentile_approx(column, shares, F.lit(accuracy))
     g = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), p.alias("_p"))
     return g.select("*", F.col("_p")[0].alias("p95"), F.col("_p")[1].alias("p99")).drop("_p")
 

@@ -441,7 +441,7 @@ def q_train_val_gap(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def q_count_by(spark, d):
-    return fx.events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return stats.count_by(fx.events(spark, d), "event_type")
 
 
 # Splits
@@ -760,6 +760,80 @@ def q_morgan_style_bits(spark, d):
     return graph.morgan_bits(b, fx.atoms(b), 2, 1024)
 
 
+# Tables side by side, blocks, masks, states
+
+
+@query("WITH c AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) AS rn FROM nation), k AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier) SELECT name, key FROM c JOIN k USING (rn) WHERE (SELECT count(*) FROM supplier) >= 0 AND rn <= 5")
+def q_positional_join(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"))
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
+    return order.zip_rows(order.limit_rows(n, 5, ["name"]), order.limit_rows(s, 5, ["key"]), ["name"], ["key"])
+
+
+@query(f"WITH {fx.RX}, o AS (SELECT *, row_number() OVER (ORDER BY {O}) AS rn FROM rx), p AS (SELECT row_number() OVER (ORDER BY {O}) AS rn, p1 FROM (SELECT *, target * 0.5 AS p1 FROM rx)) SELECT {BASE}, p1 FROM o JOIN p USING (rn)")
+def q_positional_blocks(spark, d):
+    r = fx.rx(spark, d)
+    other = r.select(*[F.col(c).alias(f"_{c}") for c in fx.ORDER], (F.col("target") * 0.5).alias("p1"))
+    return order.zip_rows(r, other, fx.ORDER, [f"_{c}" for c in fx.ORDER]).select(*COLS, "p1")
+
+
+@query(f"WITH {fx.RX} SELECT {BASE} FROM (SELECT *, row_number() OVER (ORDER BY {O}) - 1 AS rn FROM rx) WHERE rn NOT IN (1, 3, 5000)")
+def q_delete_rows(spark, d):
+    return order.delete_rows(fx.rx(spark, d), [1, 3, 5000], fx.ORDER).select(*COLS)
+
+
+@query(f"WITH {_RUNS} SELECT user_id, event_type, CAST((first - 1) // 4 AS BIGINT) AS block, list(CAST(first AS BIGINT) ORDER BY first) AS starts FROM runs GROUP BY ALL")
+def q_run_blocks(spark, d):
+    return order.run_blocks(fx.events(spark, d), ["event_type"], ["ts", "event_id"], ["user_id"], 4)
+
+
+@query(f"WITH {fx.MG}, {_BITS} SELECT CAST(bit AS INT) AS bit, CAST(mol // 100 AS BIGINT) AS block, list(mol ORDER BY mol) AS rows FROM bs GROUP BY ALL")
+def q_sparse_blocks(spark, d):
+    return bit_ops.blocks_of_rows(fx.bits(fx.mg(spark, d)), "mol", size=100)
+
+
+@query(f"WITH {fx.MG}, {_BITS} SELECT mol, list(CAST(bit AS INT) ORDER BY bit) FILTER (bit < 16 OR bit >= 48) AS bits FROM bs GROUP BY mol")
+def q_activate(spark, d):
+    return bit_ops.activate(fx.bits(fx.mg(spark, d)), [(0, 16), (16, 32), (32, 48), (48, 65)], [True, False, False, True])
+
+
+_STATE = "CASE WHEN a % 2 = 0 AND b % 3 = 0 THEN 'aro-ring' WHEN a % 2 = 0 THEN 'non-aro-ring' WHEN b % 5 <> 0 THEN 'non-ring' WHEN a % 7 = 0 THEN 'aro-ring-att' ELSE 'non-aro-ring-att' END"
+
+
+@query(f"WITH {fx.MG}, {_SYM} SELECT mol, bond, least(sa, sb) || '-' || greatest(sa, sb) || ', ' || {_STATE} || CASE WHEN a % 3 = 0 THEN ' (c)' ELSE '' END AS detail FROM sy")
+def q_detailed_type(spark, d):
+    b = _symbols(fx.mg(spark, d)).select("*", (F.col("a") % 2 == 0).alias("r"), (F.col("b") % 3 == 0).alias("ar"), (F.col("b") % 5 == 0).alias("nr"), (F.col("a") % 7 == 0).alias("na"), (F.col("a") % 3 == 0).alias("cj"))
+    return b.select("mol", "bond", scalar.detailed_bond_type(scalar.bond_type("sa", "sb"), scalar.bond_state("r", "ar", "nr", "na"), "cj").alias("detail"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - 100.0) / 4900.0, 9) AS scaled, round((o_totalprice - 100.0) / 4900.0 * 4900.0 + 100.0, 4) AS back FROM orders")
+def q_target_scale(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("s", scalar.target_scale("o_totalprice", 100.0, 5000.0))
+    return o.select("o_orderkey", F.round("s", 9).alias("scaled"), F.round(scalar.unscale("s", 100.0, 5000.0), 4).alias("back"))
+
+
+@query(f"WITH {fx.MG}, {_BITS}, b AS (SELECT mol, list(bit ORDER BY bit) AS bits FROM bs GROUP BY mol) SELECT x.mol, x.bits IS NOT DISTINCT FROM y.bits AS equal FROM b x LEFT JOIN b y ON y.mol = x.mol + 1")
+def q_array_equal(spark, d):
+    b = fx.bits(fx.mg(spark, d))
+    other = b.select((F.col("mol") - 1).alias("mol"), F.col("bits").alias("other"))
+    return b.join(other, "mol", "left").select("mol", scalar.arrays_equal("bits", "other").alias("equal"))
+
+
+@query(f"WITH {fx.RX} SELECT mol, rad_x, rad_y, bidx - 1 AS bidx, btype, target FROM rx ORDER BY mol, bidx, target, rad_x, rad_y, btype LIMIT 700")
+def q_ingest(spark, d):
+    return tables.ingest(fx.rx(spark, d).select(*COLS), ReactionSchema(targets=("target",)), ["mol", "bidx", "target", "rad_x", "rad_y", "btype"], 700, one_based=True)
+
+
+@query(f"WITH {fx.RX}, {_SLICE} SELECT {BASE}, split, CAST(row_number() OVER (PARTITION BY split ORDER BY target, {O}) - 1 AS BIGINT) AS place FROM s")
+def q_sort_splits(spark, d):
+    return splits.sort_splits(splits.slice_split(fx.rx(spark, d), fx.ORDER, (4000, 5000), (5000, 6000)), ["target", *fx.ORDER]).select(*COLS, "split", "place")
+
+
+@query(f"WITH {fx.RX}, k AS (SELECT mol, bidx, row_number() OVER (ORDER BY mol, bidx) AS key FROM (SELECT DISTINCT mol, bidx FROM rx)), r AS (SELECT *, row_number() OVER (ORDER BY (key * 1103515245 + 42 * 12345) % 2147483648, key) AS rn, count(*) OVER () AS n FROM k) SELECT {BASE}, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM rx JOIN r USING (mol, bidx)")
+def q_split_mode(spark, d):
+    return splits.split_mode(fx.rx(spark, d), "bond", splits.SplitPlan(0.2), fx.ORDER).select(*COLS, "split")
+
+
 # Scoring
 
 _WEIGHTS = models.PUBLISHED_WEIGHTS[42]
@@ -791,6 +865,27 @@ def q_render_nested(spark, d):
     return score.render(p, ["mol", "bidx"], ["p1", "p2"], "target")
 
 
+@query(f"WITH {fx.RX}, {fx.PREDS} SELECT mol, bidx, btype AS mode_type, round(p2, 4) AS mode_1, round(qty, 4) AS mode_3, round(tax, 4) AS mode_feature FROM preds")
+def q_reference_column(spark, d):
+    p = fx.preds(spark, d)
+    at = lambda mode, feature=None: score.reference_column(p, mode, ["p1", "p2", "p3"], ["qty"], ["disc", "tax"], feature=feature)
+    return p.select("mol", "bidx", at(-1).alias("mode_type"), F.round(at(1), 4).alias("mode_1"), F.round(at(3), 4).alias("mode_3"), F.round(at(9, "tax"), 4).alias("mode_feature"))
+
+
+@query(f"WITH {fx.RX}, {fx.PREDS} SELECT mol, bidx, btype, round(qty, 2) AS qty, floor(target) AS \"#0-BDE: Target\", floor(p3) AS \"#0-BDE: Predict\", floor(target) - floor(p3) AS \"#0-BDE: RelError\", abs(floor(target) - floor(p3)) AS \"#0-BDE: AbsError\", round(tax, 2) AS tax FROM preds")
+def q_result_table(spark, d):
+    p = fx.preds(spark, d)
+    exact = p.withColumn("p3", F.floor("p3").cast("double")).withColumn("target", F.floor("target").cast("double"))
+    return score.result_table(exact, ["mol", "bidx", "btype"], ["qty"], ["p3"], ["target"], ["tax"], digits=2)
+
+
+@query(f"WITH {fx.RX}, {fx.PREDS}, {_SLICE.replace('FROM rx)', 'FROM preds)')} SELECT split, model, mol, bidx, target, predict, target - predict AS error, abs(target - predict) AS abs_error FROM (SELECT split, m AS model, mol, bidx, floor(target) AS target, floor(CASE m WHEN 'p1' THEN p1 ELSE p2 END) AS predict FROM s, (VALUES ('p1'), ('p2')) v(m))")
+def q_split_tables(spark, d):
+    s = splits.slice_split(fx.preds(spark, d), fx.ORDER, (4000, 5000), (5000, 6000))
+    whole = s.select("split", "mol", "bidx", *[F.floor(c).cast("double").alias(c) for c in ("target", "p1", "p2")])
+    return score.split_tables(whole, ["mol", "bidx"], ["p1", "p2"], "target")
+
+
 _DEDUP = "dd AS (SELECT * FROM (SELECT * REPLACE (avg(target) OVER (PARTITION BY mol, least(rad_x, rad_y), greatest(rad_x, rad_y)) AS target), row_number() OVER (PARTITION BY mol, least(rad_x, rad_y), greatest(rad_x, rad_y) ORDER BY mol, bidx, pk, sk, target0, qty, ship) AS rn FROM (SELECT *, target AS target0 FROM rx)) WHERE rn = 1)"
 
 

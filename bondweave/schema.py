@@ -53,3 +53,19 @@ def require_columns(df: DataFrame, **types: str) -> DataFrame:
     if wrong:
         raise TypeError("; ".join(wrong))
     return df
+
+
+def require_range(df: DataFrame, **bounds: tuple[float, float]) -> DataFrame:
+    """``df`` with a check that fails the job at the first value outside [low, high] of a column; nulls pass."""
+    for column, (low, high) in bounds.items():
+        inside = F.col(column).isNull() | F.col(column).between(low, high)
+        df = df.where(F.coalesce(F.assert_true(inside, F.concat(F.lit(f"{column} outside [{low}, {high}]: "), F.col(column).cast("string"))).isNull(), F.lit(True)))
+    return df
+
+
+def require_homogeneous(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` if the columns have one type, else an error that lists them."""
+    types = dict(df.dtypes)
+    if len({types[c] for c in columns}) > 1:
+        raise TypeError(", ".join(f"{c}: {types[c]}" for c in columns))
+    return df

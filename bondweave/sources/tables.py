@@ -8,6 +8,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import limit_rows, with_ordinal
+from ..schema import ReactionSchema
+
 
 def with_extension(path: str, extension: str) -> str:
     """``path`` ending in ``extension``, once."""
@@ -32,11 +35,9 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None, columns:
         df = df.select(*names)
     if skip:
         names = df.columns
-        place = F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
-        first = [r["p"] for r in df.select(place.alias("p")).orderBy("p").limit(skip).collect()]
-        last = first[-1] if first else None
-        if last is not None:
-            df = df.withColumn("_p", place).where(F.col("_p") > F.struct(F.lit(last["f"]).alias("f"), F.lit(last["i"]).alias("i"))).select(*names)
+        # A file's rows lie in the order of their blocks; the first file is the one of the least name.
+        place = F.struct(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+        df = with_ordinal(df.select("*", place.alias("_p")).select("*", "_p._f", "_p._b", "_p._i").drop("_p"), ["_f", "_b", "_i"], "_rn").where(F.col("_rn") > skip).select(*names)
     return df if limit is None else df.limit(limit)
 
 
@@ -86,3 +87,14 @@ def explode_list(df: DataFrame, column: str, name: str = "item") -> DataFrame:
     """One row for each entry of a comma-separated text, trimmed; empty entries are left out."""
     items = F.filter(F.transform(F.split(column, ","), lambda s: F.trim(s)), lambda s: s != "")
     return df.withColumn(name, F.explode(items))
+
+
+def ingest(df: DataFrame, schema: ReactionSchema, order_by: list[str], limit: int | float | list[int] | tuple[int, int] | None = None, one_based: bool = False, with_target: bool = True) -> DataFrame:
+    """A reaction table by roles: bond numbers from 0, and by ``limit`` only some rows of its order (see ``limit_rows``).
+
+    ``order_by`` names canonical columns; it decides which rows a limit takes, and nothing else.
+    """
+    out = schema.project(df, with_target)
+    if one_based:
+        out = out.withColumn("bidx", F.col("bidx") - 1)
+    return out if limit is None else limit_rows(out, limit, order_by)

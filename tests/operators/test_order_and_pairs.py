@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bondweave.operators import order, pairs, splits
+from bondweave.operators import lookup, order, pairs, splits
 
 
 def frame(spark, n=200, seed=0):
@@ -130,3 +130,37 @@ def test_leaks(spark):
     df = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "val"), (None, "train"), (None, "test")], "k string, split string")
     assert sorted(map(str, splits.drop_repeats_from_held_out(df, ["k"]).collect())) == sorted(map(str, df.where("split = 'train' OR k = 'b'").collect()))
     assert splits.drop_repeats_from_held_out(df, ["k"], to_train=True).where("split = 'train'").count() == 4
+
+
+def test_repeated_rows_and_null_keys_stay(spark):
+    scope = spark.createDataFrame([(1,), (5,)], "k int")
+    df = spark.createDataFrame([(1, 9), (1, 9), (2, 5), (3, 4), (None, 5), (None, None)], "k int, alt int")
+    assert sorted(map(tuple, lookup.in_scope(df, scope, "k", "alt").collect()), key=str) == sorted([(1, 9), (1, 9), (2, 5), (None, 5)], key=str)
+    twice = pairs.compute_once(df, ["k"], lambda keys: keys.withColumn("double", keys.k * 2))
+    assert sorted(((str(r.k), r.double) for r in twice.collect()), key=str) == sorted([("1", 2), ("1", 2), ("2", 4), ("3", 6), ("None", None), ("None", None)], key=str)
+
+
+def test_runs_of_the_whole_table_across_ranges(spark):
+    """Against a plain loop, with long runs, null keys, and more ranges than rows."""
+    import random
+    from itertools import groupby
+
+    rnd = random.Random(3)
+    for n in (0, 1, 5, 700):
+        keys = [k for _ in range(n) for k in [rnd.choice(["a", "b", None])] * rnd.choice([1, 1, 60])][:n]
+        df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
+        want, at = [], 1
+        for k, run in groupby(keys):
+            size = len(list(run))
+            want.append((k, at, at + size - 1))
+            at += size
+        assert sorted(map(tuple, order.run_groups(df, ["k"], ["i"]).collect()), key=str) == sorted(want, key=str)
+
+
+def test_rows_side_by_side(spark):
+    import pytest
+
+    a, b = spark.range(50).selectExpr("id AS x"), spark.range(50).selectExpr("100 - id AS y")
+    assert {(r.x, r.y) for r in order.zip_rows(a, b, ["x"], ["y"]).collect()} == {(i, 51 + i) for i in range(50)}
+    with pytest.raises(ValueError):
+        order.zip_rows(a, b.limit(3), ["x"], ["y"])

@@ -89,3 +89,27 @@ def test_streams(spark, tmp_path):
     assert sorted((r.k, r.v) for r in run(requests.score(stream, ref, ["k"], -9999.0))) == [(1, 9.0), (1, 9.0), (2, -9999.0)]
     assert sorted(r.k for r in run(requests.recent_once(stream, ["k"]))) == [1, 2]
     assert [r.n for r in run(requests.counts_by_window(stream), "complete")] == [3]
+
+
+def test_octets_follow_their_definition(spark):
+    """Hydrogen and helium want exactly 2, others exactly 8, and transition metals are never stable."""
+    rows = [(1, 1, 0, True), (1, 0, 0, False), (2, 0, 0, True), (6, 4, 0, True), (6, 3, 0, False), (4, 0, 0, False), (26, 2, 0, False), (30, 0, 0, False), (8, 2, 0, True), (7, 4, 1, True), (17, 0, -1, True), (35, 1, 0, True), (57, 5, 0, False), (82, 4, 0, True), (None, 4, 0, False)]
+    df = spark.createDataFrame(rows, "z int, v int, q int, want boolean")
+    assert [(r.z, r.ok) for r in df.withColumn("ok", scalar.stable_atom("z", "v", "q")).collect()] == [(z, w) for z, _, _, w in rows]
+
+
+def test_integer_types():
+    assert [scalar.narrowest_integer(n) for n in (0, 127, 128, 32767, 32768, 2**31 - 1, 2**31)] == ["tinyint", "tinyint", "smallint", "smallint", "int", "int", "bigint"]
+
+
+def test_ranges_and_types_are_required(spark):
+    import pytest
+
+    from bondweave.schema import require_homogeneous, require_range
+
+    df = spark.createDataFrame([(1, 2.0), (5, None)], "a int, b double")
+    assert require_range(df, a=(1, 5), b=(0, 3)).count() == 2
+    with pytest.raises(Exception, match="a outside"):
+        require_range(df, a=(1, 4)).collect()
+    with pytest.raises(TypeError):
+        require_homogeneous(df, "a", "b")
