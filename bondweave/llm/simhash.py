@@ -139,8 +139,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_fp = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "fingerprints")
     fps = doc_fp.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
     comp = connected_components(links(fps.select("fp"), max_bits))
-    linked = fps.join(comp, fps.fp == comp.node).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = comp.join(linked, "root").select(F.col("node").alias("fp"), "component_id")
+    linked = fps.join(comp, fps.fp == comp.node).groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = materialize(linked, "class-ids")
+    large = materialize(hot_keys(linked, "root", "n", comp.count()), "large-classes")
+    of_linked = join_spread(comp, linked.drop("n"), "root", large).select(F.col("node").alias("fp"), "component_id")
     # Only fingerprints of several rows or with links need a class from elsewhere.
     shared = fps.where("rows > 1").join(of_linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     classes = materialize(of_linked.unionByName(shared), "classes")
