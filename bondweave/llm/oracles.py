@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {"op8_url_filter": _OP8}
 
 # How many control strings a text holds, each counted by itself; each is one character longer when formatted.
 _CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_MARKS = "(" + " + ".join(r"len(regexp_extract_all({0}, '" + re.escape(c[0]) + r"\\*" + re.escape(c[1:]) + "'))" for c in _CONTROL if c[0] + c[2:] not in _CONTROL) + ")"
+_MARKS = "(" + " + ".join(r"len(regexp_extract_all({0}, '" + re.escape(c[0]) + r"\\*" + re.escape(c[1:]) + "'))" for c in _CONTROL) + ")"
 
 _OP10 = f"""
 WITH t AS (
@@ -40,3 +40,40 @@ FROM g
 """
 
 ORACLES["op10_chat"] = _OP10
+
+# Words are runs of anything but the six ASCII white-space characters.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["digest_op2"] = """
+WITH t AS (SELECT count(*) AS n FROM documents), s AS (SELECT CAST(i AS INT) AS shard, CAST(n // 40 + CASE WHEN i < n % 40 THEN 1 ELSE 0 END AS BIGINT) AS rows FROM range(40) r(i), t)
+SELECT shard, rows, rows AS slots, CAST(0 AS BIGINT) AS first, rows - 1 AS last, (SELECT CAST(sum(strlen(coalesce(text, '')) + 16) AS BIGINT) FROM documents) AS bytes FROM s WHERE rows > 0
+"""
+
+ORACLES["digest_op5"] = r"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM documents
+"""
+
+ORACLES["digest_op9"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+x AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS k FROM d),
+y AS (SELECT r, k, a, lead(a) OVER v AS b, lead(a, 2) OVER v AS c FROM x WINDOW v AS (PARTITION BY r ORDER BY k)),
+win AS (SELECT r, k, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM y WHERE c IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT k + o) AS n FROM win, (VALUES (0), (1), (2)) v(o) WHERE times > 1 GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)
+"""
+
+ORACLES["digest_op7"] = rf"""
+WITH RECURSIVE s AS (SELECT source, CAST(sum(len({_WORDS})) AS BIGINT) AS source_size FROM documents GROUP BY source),
+t AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 3.0 * source_size AS cap FROM s),
+l(round, level) AS (SELECT 0, CAST(0 AS DOUBLE) UNION ALL SELECT round + 1, (SELECT CAST((sum(source_size) - coalesce(sum(cap) FILTER (cap / w < level), 0)) / sum(w) FILTER (cap / w >= level) AS DOUBLE) FROM t) FROM l WHERE round < 30)
+SELECT source, source_size, round(least(cap, w * (SELECT max(level) FROM l)), 3) AS target FROM t
+"""

@@ -58,8 +58,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows))))
 
 
+def digest_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2's deal: rows and gapless slots of each shard, and the bytes of all."""
+    d = op2_sharding(spark, sf_dir)
+    each = d.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.sum("size").alias("_b"))
+    total = each.agg(F.sum("_b").alias("bytes"))  # one row
+    return each.drop("_b").join(F.broadcast(total))
+
+
+def digest_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def digest_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = op7_mixing(spark, sf_dir)
+    return d.groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"))
+
+
+def digest_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality(spark, sf_dir).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extraction, op2_sharding, op3_decontamination, op4_language, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_extraction, op2_sharding, op3_decontamination, op4_language, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat, digest_op2, digest_op5, digest_op7, digest_op9)}
 
 
 def oracle_sql() -> dict[str, str]:
