@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extraction, language, mixing, quality, secrets, sharding, simhash, urls
+from . import chat, decontam, extraction, language, mixing, periodic_runs, quality, secrets, sharding, simhash, urls
 from ._common import table
 from .oracles import ORACLES
 
@@ -58,6 +58,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows))))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.runs_digest(periodic_runs.runs_of_texts(docs))
+
+
 def digest_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op2's deal: rows and gapless slots of each shard, and the bytes of all."""
     d = op2_sharding(spark, sf_dir)
@@ -80,7 +85,8 @@ def digest_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extraction, op2_sharding, op3_decontamination, op4_language, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat, digest_op2, digest_op5, digest_op7, digest_op9)}
+    numbered = (op1_extraction, op2_sharding, op3_decontamination, op4_language, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat, op13_periodic_runs)
+    return {f.__name__: f for f in (*numbered, digest_op2, digest_op5, digest_op7, digest_op9)}
 
 
 def oracle_sql() -> dict[str, str]:
