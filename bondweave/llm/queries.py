@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extraction, hard_negatives, language, mixing, periodic_runs, quality, secrets, sharding, simhash, urls
+from . import chat, decontam, extraction, hard_negatives, language, mixing, periodic_runs, quality, secrets, sharding, simhash, urls, warc
 from ._common import table
 from .oracles import ORACLES
 
@@ -58,6 +58,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows))))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(spark, warc.archived(table(spark, sf_dir, "pages")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -91,7 +95,7 @@ def digest_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_extraction, op2_sharding, op3_decontamination, op4_language, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat, op12_hard_negatives, op13_periodic_runs)
+    numbered = (op1_extraction, op2_sharding, op3_decontamination, op4_language, op5_secrets, op6_simhash, op7_mixing, op8_url_filter, op9_quality, op10_chat, op11_warc, op12_hard_negatives, op13_periodic_runs)
     return {f.__name__: f for f in (*numbered, digest_op2, digest_op5, digest_op7, digest_op9)}
 
 
