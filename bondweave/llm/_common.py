@@ -68,6 +68,34 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how
     return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
 
 
+def salts_of(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """(key, salts) of the hot keys: into so many parts their rows are cut that none holds more than a HOT-th of all."""
+    return counts.where(F.col(rows) * HOT > total).select(key, F.ceil(F.col(rows) * HOT / F.lit(max(total, 1))).cast("int").alias("salts"))
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, salts: DataFrame, by: list[str]) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, a hot key's rows of ``left`` cut into its ``salts`` by a hash of ``by``.
+
+    The rows of ``right`` are repeated for each salt of their key; all salts together are 2 * HOT at most.
+    """
+    n, hot = F.coalesce("_salts", F.lit(1)), F.broadcast(salts.withColumnRenamed("salts", "_salts"))
+    cut = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), n).cast("int")).drop("_salts")
+    many = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    return cut.join(many, [key, "_salt"]).drop("_salt")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until no column has it, so that none of a caller's columns is replaced."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once a row, also where ``use`` refers to it for every element of an array.
 
