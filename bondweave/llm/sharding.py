@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import utf8_size
+from ._common import materialize, utf8_size
 
 N_SHARDS = 40
 #: Rows that one logical partition, and one block of a shard, hold on average; with more than MAX_PARTS of
@@ -84,17 +84,24 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows:
     follow from the counts alone, so no second look at the data is needed to number the slots.
 
     Everything depends on the rows and ``seed`` only: lost executors, reruns and other partitionings
-    give the same rows. Repeated rows are told apart by their place among equals; nulls hash like values;
+    give the same rows. Repeated rows are told apart by their place among equals, and where one row is repeated more
+    often than a partition has rows, its copies are dealt to the partitions in turn; nulls hash like values;
     with fewer rows than shards some shards stay empty; an empty table gives no rows; columns that are
-    named ``shard`` or ``slot`` are replaced; texts may be of any length. Rows are dealt singly: a group of
-    equal texts can be larger than a shard, so whole groups and counts at most one apart exclude each other.
+    named ``shard`` or ``slot`` are replaced, others keep their values whatever their names; texts may be of any length.
+    Rows are dealt singly: a group of equal texts can be larger than a shard, so whole groups and counts at most one
+    apart exclude each other.
     """
     cols = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.select(id_col).count()
     parts = min(MAX_PARTS, max(1, -(-total // part_rows)))
 
     part_of = F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(parts)).cast("int")
-    per_part = {r["_part"]: r["count"] for r in docs.select(part_of.alias("_part")).groupBy("_part").count().collect()}
+    packed = docs.select(F.struct(*cols).alias("row"), part_of.alias("_part"), F.xxhash64(F.lit(seed + 2), *cols).alias("_h"), F.col(id_col).alias("_id"))
+    per_part = {r["_part"]: r["n"] for r in packed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    full = 2 * max(part_rows, total // parts)
+    over = [i for i, n in per_part.items() if n > full]
+    if over:
+        packed, per_part = _spread_equal_rows(packed, per_part, over, parts, full)
     counts = [per_part.get(i, 0) for i in range(parts)]
     matrix = communication_matrix(counts, n_shards, seed)
     spark = docs.sparkSession
@@ -110,11 +117,37 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 11, part_rows:
     in_block = places.select(shard_of.alias("shard"), block_of.alias("_block")).groupBy("shard", "_block").count()
     offsets = in_block.select("shard", "_block", (F.sum("count").over(Window.partitionBy("shard").orderBy("_block")) - F.col("count")).alias("_offset"))
 
-    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 2), *cols), id_col)
-    dealt = docs.select(*cols).withColumn("_part", part_of).withColumn("_rn", F.row_number().over(local))
+    # Numbered in the order of their hashes first, then permuted by these numbers, so equal rows do not stay side by side.
+    numbered = packed.withColumn("_no", F.row_number().over(Window.partitionBy("_part").orderBy("_h", "_id")))
+    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 4), "_part", "_no"), "_no")
+    dealt = numbered.withColumn("_rn", F.row_number().over(local))
     dealt = dealt.join(shares, "_part").withColumn("shard", shard_of).withColumn("_block", block_of)
     again = Window.partitionBy("shard", "_block").orderBy(F.xxhash64(F.lit(seed + 3), "_part", "_rn"), "_part", "_rn")
-    return dealt.withColumn("_at", F.row_number().over(again)).join(offsets, ["shard", "_block"]).select(*cols, "shard", (F.col("_offset") + F.col("_at") - 1).alias("slot"))
+    return dealt.withColumn("_at", F.row_number().over(again)).join(offsets, ["shard", "_block"]).select("row.*", "shard", (F.col("_offset") + F.col("_at") - 1).alias("slot"))
+
+
+def _spread_equal_rows(packed: DataFrame, per_part: dict[int, int], over: list[int], parts: int, full: int) -> tuple[DataFrame, dict[int, int]]:
+    """The rows with the copies of any row that ``full`` others equal dealt to the partitions in turn, and the counts that follow.
+
+    Copies are alike, so one stands for all: it is kept with their number, and they are made again where they are dealt.
+    There are no more such rows than partitions.
+    """
+    rows = packed.where(F.col("_part").isin(over)) if len(over) <= 1000 else packed
+    groups = rows.groupBy("_part", "_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > full)
+    groups = materialize(groups, "equal-rows")
+    counts = dict(per_part)
+    for r in groups.collect():
+        counts[r["_part"]] -= r["_n"]
+        for k in range(min(parts, r["_n"])):
+            at = (r["_part"] + k) % parts
+            counts[at] = counts.get(at, 0) + r["_n"] // parts + (k < r["_n"] % parts)
+    hot = F.broadcast(groups)
+    cold = packed.join(hot.select("_part", "_h"), ["_part", "_h"], "left_anti")
+    one = packed.join(hot.select("_part", "_h"), ["_part", "_h"], "left_semi").groupBy("_part", "_h").agg(F.first("row").alias("row"), F.first("_id").alias("_id"))
+    turns = one.join(hot, ["_part", "_h"]).withColumn("_k", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(parts)).cast("int") - 1)))
+    turns = turns.withColumn("_times", F.floor(F.col("_n") / parts) + (F.col("_k") < F.col("_n") % parts).cast("int"))
+    again = turns.select("row", F.pmod(F.col("_part") + F.col("_k"), F.lit(parts)).cast("int").alias("_part"), "_h", "_id", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_c")).drop("_c")
+    return cold.unionByName(again), counts
 
 
 def sharded_digest(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:

@@ -3,6 +3,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from bondweave.llm import sharding
 
 
@@ -91,3 +93,28 @@ def test_digest_and_few_rows(spark):
     assert got[1].text_crc32 == zlib.crc32("é".encode()) and got[2].text_crc32 == got[3].text_crc32 == 0
     assert {r.slot for r in got.values()} == {0} and got[1].law == "rows" and got[1].grown_shard is None
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_equal_rows_are_spread(spark):
+    """A third of the rows without an id and with one text; every row still gets a place of its own."""
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "if(id % 3 = 0, 'same', concat('t', id)) AS text")
+    out = sharding.shard(df, 40, part_rows=100)
+    got = out.collect()
+    assert sorted(str(r.text) for r in got) == sorted(["same"] * 2000 + [f"t{i}" for i in range(6000) if i % 3])
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(150)) for s in slots.values()) and len(slots) == 40
+    same = Counter(r.shard for r in got if r.text == "same")
+    assert 20 < min(same.values()) and max(same.values()) < 85
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shard(df.repartition(5), 40, part_rows=100).collect()))
+    every = spark.range(5000).selectExpr("1 AS doc_id", "'x' AS text")
+    assert Counter(r.shard for r in sharding.shard(every, 7, part_rows=50).collect()) == Counter({0: 715, 1: 715} | {i: 714 for i in range(2, 7)})
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["_part", "_rn", "_ends", "_h", "_id", "_at", "_block", "_offset", "row", "_n", "_k", "_times"]
+    df = spark.range(50).select(F.col("id").alias("doc_id"), *[(F.col("id") * 100 + i).alias(n) for i, n in enumerate(names)])
+    out = sharding.shard(df, 4, part_rows=10)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    assert all(r[n] == r.doc_id * 100 + i for r in out.collect() for i, n in enumerate(names))
