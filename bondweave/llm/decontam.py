@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_KEYS, broadcast_if_small, materialize
+from ._common import BROADCAST_KEYS, broadcast_if_small, fresh, join_salted, materialize, salts_of
 
 #: Token positions that each seed looks at; the others are ignored. Together the two hit every run of
 #: WINDOW aligned tokens in which at most three are substituted, wherever these are.
@@ -28,6 +28,8 @@ BROADCAST_SEEDS = 1_000_000
 BROADCAST_ITEMS = 20_000
 #: Parts into which the hits of an item are cut where items are joined by a shuffle.
 SALTS = 16
+#: One document in so many shows which seeds are hot, where seeds are too many to broadcast.
+HOT_SAMPLE = 16
 
 
 def tokens(text: Column) -> Column:
@@ -93,7 +95,11 @@ def _hits_by_shuffle(rows: DataFrame, seeds: DataFrame, masks: tuple[tuple[int,
     each = [F.struct(_seed(toks, p, k, m).alias("h"), F.when(p > 0, _seed(toks, p - 1, k, m)).alias("earlier")) for k, m in enumerate(masks)]
     each += [F.struct(_exact(toks, p, n).alias("h"), F.lit(None).cast("long").alias("earlier")) for n in exact]
     places = rows.select("id", "doc", "toks", F.explode(_places(toks, exact)).alias("p")).select("id", "doc", "p", F.explode(F.array(*each)).alias("s"))
-    hits = places.select("id", "doc", "p", "s.*").join(seeds, "h")
+    places = places.select("id", "doc", "p", "s.*")
+    # Which hashes are hot shows in a sample of the documents; it decides how the join is dealt, never what it finds.
+    some = materialize(places.where(F.pmod(F.xxhash64("doc", "id"), F.lit(HOT_SAMPLE)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("n")), "hot-seeds")
+    seen = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hits = join_salted(places, seeds, "h", materialize(salts_of(some, "h", "n", seen), "hot-seeds"), ["id", "doc", "p"])
     hits = hits.where((p == 0) | F.col("before").isNull() | (F.col("before") != F.col("earlier")))
     hits = materialize(hits.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "p", "item", "at", "len").distinct(), "seed-hits")
     few = broadcast_if_small(hits, hits.count(), BROADCAST_SEEDS)
@@ -162,6 +168,7 @@ def drop_contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Whether a row goes depends on its text alone, so rows are named by a hash of it: an id may be null,
     and rows that share one are judged each by its own text.
     """
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    bad = materialize(find_contaminated(named, benchmark, id_col="_text").select("_text").distinct(), "contaminated")
-    return named.join(broadcast_if_small(bad, bad.count(), BROADCAST_KEYS), "_text", "left_anti").select(*docs.columns)
+    (name,) = fresh(docs.columns, "_text")
+    named = docs.withColumn(name, F.xxhash64("text"))
+    bad = materialize(find_contaminated(named, benchmark, id_col=name).select(name).distinct(), "contaminated")
+    return named.join(broadcast_if_small(bad, bad.count(), BROADCAST_KEYS), name, "left_anti").select(*docs.columns)

@@ -95,8 +95,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     spread = F.lower(F.hex(F.xxhash64("id", "host", "path")))
     urls = urls.withColumn("place", F.concat("key", F.lit("\x00"), F.col("path"), F.lit("\x00"), spread))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The sample: the places with the least hashes, whatever the table's size.
-    sample = sorted(r[0] for r in urls.select("place").orderBy(F.xxhash64("place")).limit(CUT_SAMPLE * ranges).collect())
+    # The sample: places whose hash lies below a share of all hashes, so about as many whatever the table's size; a repeated one counts once.
+    share = CUT_SAMPLE * ranges / max(1, pages.count())
+    below = F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64("place"), 32) < int(share * 2**32)
+    sample = sorted(r[0] for r in urls.where(below).select("place").distinct().collect())
     cuts = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
 
     @F.pandas_udf("int")

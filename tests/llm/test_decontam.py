@@ -135,3 +135,21 @@ def test_shortest_items_are_found_unchanged(spark, monkeypatch, limit):
     assert found(min_tokens=1) == want
     assert found(min_tokens=3) == {(i, n) for i, n in want if n >= 3}
     assert found() == {(i, n) for i, n in want if n >= decontam.MIN_TOKENS}
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30)), 7 * i, "t", "e") for i in range(6)], "doc_id long, text string, _text long, toks string, item string")
+    bench = spark.createDataFrame([(1, " ".join(f"w3x{j}" for j in range(20)))], "item_id long, text string")
+    out = decontam.drop_contaminated_texts(docs, bench)
+    assert out.columns == docs.columns and sorted((r.doc_id, r._text, r.toks, r.item) for r in out.collect()) == [(i, 7 * i, "t", "e") for i in range(6) if i != 3]
+
+
+def test_hot_seed_by_shuffle(spark, monkeypatch):
+    """One line in every document, with seeds too many to broadcast: the pairs are the same."""
+    line = " ".join(f"licence{j}" for j in range(20))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {line} c{i}") for i in range(300)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, line), (2, "x " + line), (3, " ".join(f"q{j}" for j in range(30)))], "item_id long, text string")
+    want = sorted(map(str, decontam.find_contaminated(docs, bench).collect()))
+    assert len(want) == 600
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert sorted(map(str, decontam.find_contaminated(docs, bench).collect())) == want
