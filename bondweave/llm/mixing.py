@@ -53,14 +53,14 @@ def _bucket(h: Column, level: int) -> Column:
     return F.shiftrightunsigned(h, 64 - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
 
 
-def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
+def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """Per source the place in hash order up to which rows are taken, so that their sizes use up ``budget``.
 
-    ``rows``: (source, h, size); ``budgets``: (source, budget). Returns (source, cut, rest): rows whose
-    leading 60 bits of h lie below ``cut`` (unsigned) are taken, and leave ``rest`` of the budget. Each
+    ``rows``: (source, h, size); ``budgets``: (source, budget). Returns (source, cut, copies, take, rest): rows whose
+    leading 60 bits of h lie below ``cut`` (unsigned) are taken; of the ``copies`` rows at the cut, which are one row or equal
+    ones, ``take`` are, as many as come nearest to the budget, and ``rest`` of it is left (below 0: so much is too much). Each
     level sums sizes by source and hash bucket, finds the bucket in which the budget is used up, and only
-    the rows of that bucket go on to the next level, which splits it finer, until it holds one hash. What is left in the last
-    bucket (one hash) is left out, or with ``nearest`` taken if that comes nearer. Sources whose rows do
+    the rows of that bucket go on to the next level, which splits it finer, until it holds one hash. Sources whose rows do
     not use up the budget are not returned. A window never holds more than the 4096 buckets of one source.
     """
     state = budgets.select(F.col("source").alias("_of"), F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
@@ -69,20 +69,22 @@ def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
         inside = rows.join(state, F.col("source").eqNullSafe(F.col("_of")))
         if level:
             inside = inside.where(F.shiftrightunsigned("h", 64 - LEVEL_BITS * level) == F.col("prefix"))
-        sums = [F.sum("size").cast("double").alias("s"), F.first("left").alias("left"), F.first("prefix").alias("prefix"), F.min("h").alias("low"), F.max("h").alias("high")]
+        sums = [F.sum("size").cast("double").alias("s"), F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("prefix").alias("prefix"), F.min("h").alias("low"), F.max("h").alias("high")]
         hist = inside.groupBy("source", _bucket(F.col("h"), level).alias("b")).agg(*sums)
         hist = hist.withColumn("upto", F.sum("s").over(Window.partitionBy("source").orderBy("b")))
-        found = hist.where("upto >= left").groupBy("source").agg(F.min_by(F.struct("b", "s", "upto", "left", "prefix", "low", "high"), "b").alias("x"))
+        found = hist.where("upto >= left").groupBy("source").agg(F.min_by(F.struct("b", "s", "n", "upto", "left", "prefix", "low", "high"), "b").alias("x"))
         rest = F.col("x.left") - (F.col("x.upto") - F.col("x.s"))
         prefix = F.shiftleft("x.prefix", LEVEL_BITS) + F.col("x.b")
         one = (F.col("x.low") == F.col("x.high")) | F.lit(level == LEVELS - 1)  # of one hash: finer buckets settle nothing more
-        cut = _top("x.low") + F.when((rest * 2 >= F.col("x.s")) & F.lit(nearest), 1).otherwise(0)
-        found = materialize(found.select(F.col("source").alias("_of"), rest.alias("left"), prefix.alias("prefix"), F.when(one, cut).alias("cut")), "boundary")
-        settled.append(found.where("cut IS NOT NULL"))
-        state = found.where("cut IS NULL").drop("cut")
+        each = F.col("x.s") / F.col("x.n")
+        take = F.least(F.round(rest / each), F.col("x.n")).cast("long")
+        at = F.when(one, F.struct(_top("x.low").alias("cut"), F.col("x.n").alias("copies"), take.alias("take"), (rest - take * each).alias("rest"))).alias("at")
+        found = materialize(found.select(F.col("source").alias("_of"), rest.alias("left"), prefix.alias("prefix"), at), "boundary")
+        settled.append(found.where("at IS NOT NULL"))
+        state = found.where("at IS NULL").drop("at")
         if not state.limit(1).count():
             break
-    return reduce(DataFrame.unionByName, settled).select(F.col("_of").alias("source"), "cut", F.col("left").alias("rest"))
+    return reduce(DataFrame.unionByName, settled).select(F.col("_of").alias("source"), "at.*")
 
 
 def _hash(seed: int) -> Column:
@@ -96,31 +98,50 @@ def _top(h: str = "h") -> Column:
 def source_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, int]:
     """How each source meets its target, and the number of sources, from rows (source, h, size).
 
-    (_source, source_size, target, full, cut, rest, cut2): ``full`` whole passes, and one more over the
-    rows below ``cut`` (null: no partial pass). The row at the cut does not fit, so the ``rest`` of the
-    budget goes to rows after it that are no larger than the rest, up to ``cut2`` (null: all of them).
+    (_source, source_size, target, full, cut, copies, take, rest, cut2, copies2, take2): ``full`` whole passes, and one more
+    over the rows below ``cut`` and ``take`` of those at it (null: no partial pass). What that leaves of the budget,
+    ``rest``, goes to rows after it that are no larger, up to ``cut2`` in the same way (null: all of them).
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, cap)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(cap))).otherwise(0)
     targets = materialize(targets.withColumn("full", whole.cast("long")), "mix-targets")
     budgets = targets.where("source_size > 0").select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget")).where("budget > 0.5")
-    first = thresholds(rows.select("source", "h", "size"), budgets, nearest=False)
-    known = first.select(F.col("source").alias("_first"), "cut", "rest")
+    first = thresholds(rows.select("source", "h", "size"), budgets)
+    known = first.withColumnRenamed("source", "_first")
     after = rows.join(known, F.col("source").eqNullSafe(F.col("_first"))).where((_top() > F.col("cut")) & (F.col("size") <= F.col("rest")))
-    second = thresholds(after.select("source", "h", "size"), first.select("source", F.col("rest").alias("budget")).where("budget > 0.5"), nearest=True)
-    plan = targets.join(known, F.col("source").eqNullSafe(F.col("_first")), "left")
-    plan = plan.join(second.select(F.col("source").alias("_second"), F.col("cut").alias("cut2")), F.col("source").eqNullSafe(F.col("_second")), "left")
-    plan = materialize(plan.select(F.col("source").alias("_source"), "source_size", "target", "full", "cut", "rest", "cut2"), "mix-plan")
+    second = thresholds(after.select("source", "h", "size"), first.select("source", F.col("rest").alias("budget")).where("budget > 0.5"))
+    second = second.select(F.col("source").alias("_second"), F.col("cut").alias("cut2"), F.col("copies").alias("copies2"), F.col("take").alias("take2"))
+    plan = targets.join(known, F.col("source").eqNullSafe(F.col("_first")), "left").join(second, F.col("source").eqNullSafe(F.col("_second")), "left")
+    plan = materialize(plan.select(F.col("source").alias("_source"), "source_size", "target", "full", "cut", "copies", "take", "rest", "cut2", "copies2", "take2"), "mix-plan")
     return plan, plan.count()
 
 
-def _with_passes(rows: DataFrame, plan: DataFrame, n_sources: int, size: Column) -> DataFrame:
-    """Add ``passes``: how often the mix takes each row; needs columns source and h."""
+def _with_passes(rows: DataFrame, plan: DataFrame, n_sources: int, size: Column, spread: Column) -> DataFrame:
+    """Add ``passes``: how often the mix takes each row; needs columns source and h.
+
+    Only of equal rows at a cut some are taken and some not. These are numbered, in the order of ``spread`` and then as
+    they are stored, in ranges that split them however many they are; most sources have one row there, and no such step.
+    """
     joined = rows.join(broadcast_if_small(plan, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    after = (_top() > F.col("cut")) & (F.col("cut2").isNull() | (_top() < F.col("cut2"))) & (size <= F.col("rest"))
-    partial = F.coalesce((_top() < F.col("cut")) | after, F.lit(False))
-    return joined.withColumn("passes", F.col("full") + partial.cast("long"))
+    fits = size <= F.col("rest")
+    first, second = F.coalesce(_top() == F.col("cut"), F.lit(False)), F.coalesce((_top() == F.col("cut2")) & fits, F.lit(False))
+    after = (_top() > F.col("cut")) & (F.col("cut2").isNull() | (_top() < F.col("cut2"))) & fits
+    partial = F.when(first, F.col("take") > 0).when(second, F.col("take2") > 0).otherwise(F.coalesce((_top() < F.col("cut")) | after, F.lit(False)))
+    passes = F.col("full") + partial.cast("long")
+    some = lambda copies, take: (F.col(copies) > 1) & (F.col(take) > 0) & (F.col(take) < F.col(copies))
+    if not plan.where(some("copies", "take") | some("copies2", "take2")).limit(1).count():
+        return joined.withColumn("passes", passes)
+    split = (first & some("copies", "take")) | (second & F.coalesce(some("copies2", "take2"), F.lit(False)))
+    split = F.coalesce(split, F.lit(False))
+    kept = [c for c in joined.columns if c not in ("_spread", "_nth")]
+    shared = materialize(joined.where(split).select(*kept, first.alias("_at_first"), spread.alias("_spread")), "rows-at-cuts").withColumn("_nth", F.monotonically_increasing_id())
+    numbered = with_ordinal(shared.withColumn("_none", F.col("source").isNull()), ["_none", "source", "_at_first", "_spread", "_nth"], "_rn")
+    numbered = materialize(numbered, "numbered-rows")
+    starts = numbered.groupBy("source", "_at_first").agg((F.min("_rn") - 1).alias("_start")).select(F.col("source").alias("_of"), F.col("_at_first").alias("_which"), "_start")
+    ranked = numbered.join(broadcast_if_small(starts, 2 * n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_of")) & (F.col("_at_first") == F.col("_which")))
+    taken = F.col("_rn") - F.col("_start") <= F.when(F.col("_at_first"), F.col("take")).otherwise(F.col("take2"))
+    return joined.where(~split).withColumn("passes", passes).unionByName(ranked.select(*kept, (F.col("full") + taken.cast("long")).alias("passes")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
@@ -128,15 +149,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
     A source's target is met by whole passes over it, as many as fit (``cap`` at most), and by one
     partial pass: the documents whose hash of id, text and ``seed`` lies below the source's threshold,
-    and then such as still fit into what is left.
+    the document at the threshold if that comes nearer, and then such as still fit into what is left. So each source is
+    off by half of its largest document at most.
     ``taken`` is the number of words that the mix takes from a document, repeats counted. Reruns and
     other partitionings agree. Null and empty texts have size 0 and are in every pass that takes their
-    hash; repeated rows share a hash and go together; a null source is a source of its own, null ids are
+    hash; repeated rows share a hash, and of those at a threshold as many are taken as it asks for; a null source is a source of its own, null ids are
     hashed like any value; an empty table gives no rows.
     """
     narrow = materialize(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source", _hash(seed).alias("h")), "mix-sizes")
     plan, n = source_plan(narrow, weights, cap)
-    mixed = _with_passes(narrow, plan, n, F.col("size"))
+    mixed = _with_passes(narrow, plan, n, F.col("size"), F.xxhash64("doc_id"))
     return mixed.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
 
 
@@ -149,6 +171,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     kept = F.struct(*docs.columns).alias("row")  # whatever the columns' names, none clashes with the plan's
     rows = materialize(docs.select(word_count(F.col("text")).alias("size"), "source", _hash(seed).alias("h")), "mix-sizes")
     plan, n = source_plan(rows, weights, cap)
-    mixed = _with_passes(docs.select(kept, "source", _hash(seed).alias("h"), "text"), plan, n, word_count(F.col("text"))).where("passes > 0")
+    wide = docs.select(kept, "source", _hash(seed).alias("h"), "text")
+    mixed = _with_passes(wide, plan, n, word_count(F.col("text")), F.xxhash64(F.to_json("row"))).where("passes > 0")
     again = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     return again.select("row.*")

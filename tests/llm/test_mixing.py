@@ -62,3 +62,38 @@ def test_documents_as_often_as_taken(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).collect() == [] and mixing.mix_documents(df).collect() == []
+
+
+def half_of_largest(got):
+    """Each source's taken words beside its target: off by half of its largest document at most."""
+    by = {}
+    for r in got:
+        s = by.setdefault(r.source, [0, r.target, 0])
+        s[0] += r.taken
+        s[2] = max(s[2], r["size"])
+        assert r.taken in [k * r["size"] for k in range(4)]
+    for source, (taken, target, largest) in by.items():
+        assert abs(taken - target) <= largest / 2 + 0.5, (source, taken, target, largest)
+    return by
+
+
+def test_few_and_repeated_documents_meet_targets(spark):
+    """Sources of one, two and fifty equal documents beside a large one."""
+    for sizes in ({"a": [1000] * 50, "b": [2500, 2500], "c": [700]}, {"a": [900], "b": [40] * 30}, {"a": [5] * 3 + [60] * 2, "b": [1], "c": [0, 0]}):
+        for equal in (True, False):
+            rows = [(1 if equal else 100 * k + i, "w " * n, s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+            df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+            got = mixing.mix(df).collect()
+            assert len(got) == len(rows)
+            half_of_largest(got)
+            assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+
+
+def test_documents_of_repeated_rows(spark):
+    """Rows equal in id and text but not in other columns: as many come out as the digest takes, in every run."""
+    rows = [(1, "w " * 100, "a", i % 3) for i in range(50)] + [(i, "v " * 10, "b", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    taken = sum(r.taken for r in mixing.mix(df).collect() if r.source == "a")
+    one, two = mixing.mix_documents(df), mixing.mix_documents(df.repartition(4))
+    assert one.columns == df.columns and one.where("source = 'a'").count() * 100 == taken
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
