@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import let, running_sums
+from ._common import fresh, let, running_sums
 
 TURN = "struct<role:string,text:string>"
 
@@ -102,13 +102,26 @@ def nested_paths(record: Column) -> Column:
     return F.regexp_replace(schema, r",\s*(?=>)", "")
 
 
+def _path(name: str, kind: T.DataType) -> str | None:
+    """A field with what is nested in it; None for a scalar that no mapping knows."""
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return f"{name}: {paths_of_type(kind)}"
+    return name if name in FIELDS else None
+
+
+def paths_of_row(record: Column, kind: T.StructType) -> Column:
+    """The paths of the fields that hold something in a row of a column of structs, which may have the fields of many layouts."""
+    shown = sorted((f.name, _path(f.name, f.dataType)) for f in kind.fields if _path(f.name, f.dataType))
+    return F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *[F.when(record[n].isNotNull(), F.lit(p)) for n, p in shown]), F.lit(">"))
+
+
 def paths_of_type(kind: T.DataType) -> str:
-    """The same for the type of a column of structs, which all its rows share."""
+    """The paths of all fields of a type."""
     if isinstance(kind, T.ArrayType):
         return f"ARRAY<{paths_of_type(kind.elementType)}>"
-    inner = {f.name: paths_of_type(f.dataType) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else "" for f in kind.fields}
-    shown = sorted((n, p) for n, p in inner.items() if p or n in FIELDS)
-    return f"OBJECT<{', '.join(f'{n}: {p}' if p else n for n, p in shown)}>"
+    if not isinstance(kind, T.StructType):
+        return "SCALAR"
+    return f"OBJECT<{', '.join(sorted(p for f in kind.fields if (p := _path(f.name, f.dataType))))}>"
 
 
 def fingerprint(record: Column) -> Column:
@@ -132,29 +145,46 @@ def _turns(layout: Layout, got: Column, alias: Column) -> Column:
     return F.transform(named, lambda t: F.struct(F.coalesce(alias[F.lower(t["role"])], t["role"], F.lit("")).alias("role"), t["text"].alias("text")))
 
 
+def _readable(layout: Layout, kind: T.StructType) -> bool:
+    """Whether a column of structs has the fields that a mapping reads."""
+    of = {f.name: f.dataType for f in kind.fields}
+    if layout.turns:
+        array, role, text = layout.turns
+        element = getattr(of.get(array), "elementType", None)
+        return isinstance(element, T.StructType) and {role, text} <= set(element.names)
+    return all(f in of for _, fs in layout.parts for f in fs)
+
+
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Add ``layout`` and ``turns`` (array of role and text) to records, all in one pass.
 
     ``record_col`` holds JSON texts or structs. The nested field paths of each record are hashed, and the
-    hash picks the mapping. Records of unknown layout, broken JSON and nulls get layout ``unknown`` and null
+    hash picks the mapping. Of a struct the fields count that hold something in its row, so one column may have the fields
+    of many layouts; if these make up none, all fields of its type count, nulls as empty texts. Records of unknown layout, broken JSON and nulls get layout ``unknown`` and null
     turns, and stay; null texts become empty; fields that no mapping knows are ignored if they are scalars.
     Texts may be as long as a column can hold: paths come from a skeleton without long texts, and the texts
-    from a parser without a limit. Existing columns ``layout`` and ``turns`` are replaced.
+    from a parser without a limit. Existing columns ``layout`` and ``turns`` are replaced, all others stay.
     """
     kind = records.schema[record_col].dataType
     typed = isinstance(kind, T.StructType)
     record = F.col(record_col)
     got = record if typed else F.from_json(record, _RECORD, _JSON)
-    mark = F.when(record.isNotNull(), F.xxhash64(F.lit(paths_of_type(kind)))) if typed else fingerprint(record)
-    df = records.withColumns({"_got": got, "_fp": mark})
+    if typed:
+        mark = F.xxhash64(paths_of_row(record, kind))
+        known = mark.isin(*[F.xxhash64(F.lit(lay.paths)) for lay in layouts if _readable(lay, kind)]) if any(_readable(lay, kind) for lay in layouts) else F.lit(False)
+        mark = F.when(record.isNotNull(), F.when(known, mark).otherwise(F.xxhash64(F.lit(paths_of_type(kind)))))
+    else:
+        mark = fingerprint(record)
+    got_name, mark_name = fresh(records.columns, "_got", "_fp")
+    df = records.withColumns({got_name: got, mark_name: mark})
     alias = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     name, turns = F.lit("unknown"), F.lit(None).cast(f"array<{TURN}>")
     for lay in reversed(layouts):
-        if typed and lay.paths != paths_of_type(kind):
-            continue  # its fields are not there to be read
-        hit = F.col("_fp") == F.xxhash64(F.lit(lay.paths))
-        name, turns = F.when(hit, F.lit(lay.name)).otherwise(name), F.when(hit, _turns(lay, F.col("_got"), alias)).otherwise(turns)
-    return df.withColumn("layout", name).withColumn("turns", turns).drop("_fp", "_got")
+        if typed and not _readable(lay, kind):
+            continue
+        hit = F.col(mark_name) == F.xxhash64(F.lit(lay.paths))
+        name, turns = F.when(hit, F.lit(lay.name)).otherwise(name), F.when(hit, _turns(lay, F.col(got_name), alias)).otherwise(turns)
+    return df.withColumn("layout", name).withColumn("turns", turns).drop(mark_name, got_name)
 
 
 def escape(text: Column) -> Column:
@@ -172,16 +202,17 @@ def format_turns(df: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     and texts are escaped. A loss span is [start, end) in code points of ``formatted``: the escaped text
     of one turn of a loss role, without any mark. No turns give an empty string and no spans.
     """
+    (m_name,) = fresh(df.columns, "_m")
     marked = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("r"), escape(t["text"]).alias("t"), t["role"].isin(*loss_roles).alias("l")))
-    formatted = F.array_join(F.transform("_m", lambda m: F.concat(F.lit(OPEN), m["r"], F.lit(SEP), m["t"], F.lit(CLOSE + "\n"))), "")
+    formatted = F.array_join(F.transform(m_name, lambda m: F.concat(F.lit(OPEN), m["r"], F.lit(SEP), m["t"], F.lit(CLOSE + "\n"))), "")
     head, tail = len(OPEN) + len(SEP), len(CLOSE) + 1
-    sums = running_sums(F.transform("_m", lambda m: head + F.length(m["r"]) + F.length(m["t"]) + tail))
+    sums = running_sums(F.transform(m_name, lambda m: head + F.length(m["r"]) + F.length(m["t"]) + tail))
 
     def span(m: Column, end: Column) -> Column:
         return F.when(m["l"], F.struct((end - tail - F.length(m["t"])).alias("start"), (end - tail).alias("end")))
 
-    spans = F.filter(F.zip_with("_m", sums, span), lambda s: s.isNotNull())
-    return df.withColumn("_m", marked).withColumn("formatted", formatted).withColumn("loss_spans", spans).drop("_m")
+    spans = F.filter(F.zip_with(m_name, sums, span), lambda s: s.isNotNull())
+    return df.withColumn(m_name, marked).withColumn("formatted", formatted).withColumn("loss_spans", spans).drop(m_name)
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -220,6 +251,35 @@ def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     return grouped.select(id_col, F.struct(F.transform("ts", lambda t: t["m"]).alias("messages")).alias("record"))
 
 
+def in_many_layouts(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Records of ``records_of_rows`` told in several layouts, as tables from many sources are: one struct with the fields of all,
+    of which each row fills those of its layout.
+
+    A user's and an assistant's turn become a prompt and completion, a question and answer, or an instruction and output, in
+    turn by id; with a system turn (not empty) before them a question with a system text; all else one of three message lists.
+    """
+    t = lambda i, f: F.get(F.col("record.messages"), F.lit(i))[f]
+    roles = F.transform("record.messages", lambda m: m["role"])
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    triple = (roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))) & (t(0, "text") != "")
+    turn = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(3))
+    rest = ~pair & ~triple
+    renamed = lambda role, text: F.transform("record.messages", lambda m: F.struct(m["role"].alias(role), m["text"].alias(text)))
+    fields = {
+        "messages": F.when(rest & (turn == 0), F.col("record.messages")),
+        "turns": F.when(rest & (turn == 1), renamed("role", "content")),
+        "conversations": F.when(rest & (turn == 2), renamed("from", "value")),
+        "prompt": F.when(pair & (turn == 0), t(0, "text")),
+        "completion": F.when(pair & (turn == 0), t(1, "text")),
+        "system": F.when(triple, t(0, "text")),
+        "question": F.when(triple, t(1, "text")).when(pair & (turn == 1), t(0, "text")),
+        "answer": F.when(triple, t(2, "text")).when(pair & (turn == 1), t(1, "text")),
+        "instruction": F.when(pair & (turn == 2), t(0, "text")),
+        "output": F.when(pair & (turn == 2), t(1, "text")),
+    }
+    return records.select(id_col, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("record"))
+
+
 def chat_digest(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """The contract's digest of formatted conversations, read back from the formatted text and its loss spans."""
     back = read_back(formatted)

@@ -29,13 +29,16 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 g AS (
-  SELECT conv_id, count(*) AS n_turns,
+  SELECT conv_id, count(*) AS n_turns, list(role ORDER BY turn, role, text) AS roles, list(text ORDER BY turn, role, text)[1] AS first, (coalesce(conv_id, 0) % 3 + 3) % 3 AS nth,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
          sum(length(role) + {_MARKS.format('role')} + length(text) + {_MARKS.format('text')} + length('<|im_start|><|im_sep|><|im_end|>') + 1) AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, 'messages.role.text' AS layout
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+       CASE WHEN roles = ['user', 'assistant'] THEN ['completion+prompt', 'answer+question', 'instruction+output'][nth + 1]
+            WHEN roles = ['system', 'user', 'assistant'] AND first <> '' THEN 'answer+question+system'
+            ELSE ['messages.role.text', 'turns.role.content', 'conversations.from.value'][nth + 1] END AS layout
 FROM g
 """
 

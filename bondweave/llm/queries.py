@@ -55,7 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], rows.schema))
-    return chat.chat_digest(chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows))))
+    return chat.chat_digest(chat.format_turns(chat.canonical_turns(chat.in_many_layouts(chat.records_of_rows(rows)))))
 
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,25 @@ def test_structs_of_other_layouts(spark):
     assert got[2].layout == "unknown" and got[2].turns is None
     other = spark.createDataFrame([(1, ("x",))], "conv_id long, record struct<foo:string>")
     assert chat.canonical_turns(other).first().layout == "unknown"
+
+
+def test_each_row_is_fingerprinted(spark):
+    """Rows of one struct column in many layouts, and the hash in the plan."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", ""), (2, 0, "user", ""), (2, 1, "assistant", "b"), (3, 0, "user", "<s>"), (3, 1, "assistant", "d"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "v")]
+    rows += [(5, 0, "system", ""), (5, 1, "user", "u"), (5, 2, "assistant", "v"), (6, 0, "assistant", "x"), (7, 0, "user", "y"), (8, 0, "tool", None), (None, 0, "user", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.canonical_turns(chat.in_many_layouts(chat.records_of_rows(df)))
+    assert "xxhash64" in turns._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.conv_id: r for r in turns.collect()}
+    assert {i: r.layout for i, r in got.items()} == {
+        1: "answer+question", 2: "instruction+output", 3: "completion+prompt", 4: "answer+question+system", 5: "conversations.from.value", 6: "messages.role.text", 7: "turns.role.content", 8: "conversations.from.value", None: "messages.role.text",
+    }
+    for i, r in got.items():
+        assert [tuple(t) for t in r.turns] == [(role, text or "") for c, _, role, text in sorted(rows, key=str) if c == i]
+
+
+def test_nulls_of_structs_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, ("p", None), 5, 6, 7), (2, (None, None), 5, 6, 7), (3, None, 5, 6, 7)], "conv_id long, record struct<prompt:string,completion:string>, _got int, _fp int, _m int")
+    out = chat.format_turns(chat.canonical_turns(df)).collect()
+    assert [(r._got, r._fp, r._m) for r in out] == [(5, 6, 7)] * 3
+    assert [[tuple(t) for t in r.turns] if r.turns else None for r in out] == [[("user", "p"), ("assistant", "")], [("user", ""), ("assistant", "")], None]
