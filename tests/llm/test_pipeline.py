@@ -59,7 +59,7 @@ def test_stages_one_by_one(spark, corpus):
             assert np.mean([i in ids for i in known[~known.bad].doc_id]) > 0.97 and np.mean([i in ids for i in known[known.bad].doc_id]) < 0.2
             stats_ok = [quality.statistics(t)[0] >= quality.MIN_WORDS for t in rows.text]
             assert all(stats_ok)
-        elif name == "simhash_near_dedup":
+        elif name == "near_dedup":
             of, first = plain_classes(list(before.text)), {}
             for d, t in sorted(zip(before.doc_id, before.text)):
                 first.setdefault(of[t], d)
