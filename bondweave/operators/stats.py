@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 # The weight of recommended rows by the number of others (1, 2, 3, 4 and more), the tails
 # of a density profile, and the limits of the published error shares.
 RULE_WEIGHTS = (0.8, 0.7, 0.6, 0.5)
@@ -34,12 +36,18 @@ def rule_mean(df: DataFrame, keys: Sequence[str], values: dict[str, int], recomm
     return g.select(*keys, *out, (-F.col("_r")).cast("long").alias("recommend"))
 
 
+def _quantiles_of_all(df: DataFrame, column: str, shares: Sequence[float]) -> Column:
+    """The quantiles of the whole table, one row, as a constant."""
+    row = exact_quantiles(df, F.col(column), shares).first()
+    return F.array(*[F.lit(q).cast("double") for q in (row["quantiles"] if row else [None] * len(shares))])
+
+
 def density_profile(df: DataFrame, size: Column, tails: Sequence[float] = TAILS) -> DataFrame:
-    """One row: count, minimum, maximum, mean and population deviation of a row's size, and percentiles of both tails, cut to whole numbers."""
+    """One row: count, minimum, maximum, mean and population deviation of a row's size, and exact percentiles of both tails, cut to
+    whole numbers. No task holds the sizes of all rows (see ``quantiles``); an empty table has nulls."""
     shares = [(100 - t) / 100 for t in tails] + [t / 100 for t in tails]
-    p = df.select(size.cast("double").alias("d")).agg(
-        F.count("d").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.percentile("d", F.array(*[F.lit(s) for s in shares])).alias("p")
-    )
+    d = df.select(size.cast("double").alias("d"))
+    p = d.agg(F.count("d").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std")).withColumn("p", _quantiles_of_all(d, "d", shares))
     names = [f"l{str(t).replace('.', '_')}" for t in tails] + [f"r{str(t).replace('.', '_')}" for t in tails]
     return p.select("n", "min", "max", "mean", "std", *[F.col("p")[i].cast("long").alias(c) for i, c in enumerate(names)])
 
@@ -75,12 +83,19 @@ def count_by(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
 def summary(df: DataFrame, column: str, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """n, mean, population deviation, minimum, maximum, 95th and 99th percentile.
 
-    Exact percentiles hold a group's distinct values in one task. For groups of very many give ``accuracy``: then they
-    come from sketches of bounded size, within 1 / accuracy of the rank.
+    Percentiles are exact, by radix selection where a group has very many distinct values (see ``quantiles``). With
+    ``accuracy`` they come from sketches of bounded size in one pass, within 1 / accuracy of the rank.
     """
-    shares = F.array(F.lit(0.95), F.lit(0.99))
-    p = F.percentile(column, shares) if accuracy is None else F.percentile_approx(column, shares, F.lit(accuracy))
-    g = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), p.alias("_p"))
+    shares = (0.95, 0.99)
+    basic = [F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")]
+    if accuracy is not None:
+        g = df.groupBy(*by).agg(*basic, F.percentile_approx(column, F.array(*map(F.lit, shares)), F.lit(accuracy)).alias("_p"))
+    elif not by:
+        g = df.agg(*basic).withColumn("_p", _quantiles_of_all(df, column, shares))
+    else:
+        keyed = df.select(F.struct(F.lit(1), *by).alias("_g"), *by, column)
+        g = keyed.groupBy("_g", *by).agg(*basic)
+        g = g.join(exact_quantiles(keyed, F.col(column), shares, ["_g"]).withColumnRenamed("quantiles", "_p"), "_g", "left").drop("_g")
     return g.select("*", F.col("_p")[0].alias("p95"), F.col("_p")[1].alias("p99")).drop("_p")
 
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -14,26 +12,13 @@ from ..operators import filters, graph, local_counters, lookup, models, order, p
 from ..schema import ReactionSchema
 from ..sources import tables
 from . import fixtures as fx
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL, query
 
 O = ", ".join(fx.ORDER)  # noqa: E741
 BASE = "mol, rad_x, rad_y, bidx, btype, target"
 COLS = BASE.split(", ")
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -915,3 +900,6 @@ def q_importance(spark, d):
 def q_regression(spark, d):
     p = fx.preds(spark, d)
     return models.predict(p, models.fit(p, ["qty", "disc", "tax"], "target", "huber")).select("mol", "bidx", "target", "prediction")
+
+
+from . import fingerprint_queries  # noqa: E402, F401  these add themselves to the registry
