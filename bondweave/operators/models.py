@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Regressors by key. The Huber loss has the published width.
@@ -47,6 +48,102 @@ def principal_components(df: DataFrame, features: Sequence[str], k: int, keep: S
     return out.select(*keep, *[F.col("_a")[i].alias(f"pc_{i + 1}") for i in range(k)])
 
 
+def with_leaves(df: DataFrame, features: Sequence[str], target: str, kind: str = "forest", column: str = "leaves") -> tuple[DataFrame, list[int]]:
+    """``df`` with the leaf that each tree of a fitted forest or boosted model puts a row in, and the trees' numbers of leaves."""
+    model = REGRESSORS[kind]().setLabelCol(target).setLeafCol(column)
+    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
+    fitted = model.setFeaturesCol("_x").setPredictionCol("_p").fit(data)
+    out = fitted.transform(data).withColumn(column, vector_to_array(column).cast("array<int>")).drop("_x", "_p")
+    return out, [(t.numNodes + 1) // 2 for t in fitted.trees]
+
+
+def leaf_bits(leaves: str, sizes: Sequence[int]) -> Column:
+    """One bit for each row and tree: the leaves of all trees laid end to end, as inputs of a second model."""
+    starts = F.array(*[F.lit(sum(sizes[:i])) for i in range(len(sizes))])
+    return F.zip_with(leaves, starts, lambda leaf, start: (leaf + start).cast("int"))
+
+
+@dataclass
+class Boosted:
+    """Trees of AdaBoost.R2 with their weights; a prediction is the weighted median of the trees'."""
+
+    features: list[str]
+    trees: list[PipelineModel]
+    weights: list[float]
+
+    def predict(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
+        kept = df.columns
+        for i, tree in enumerate(self.trees):
+            df = tree.transform(df).withColumnRenamed("_p", f"_p{i}").drop("_x")
+        pairs = F.array_sort(F.array(*[F.struct(F.col(f"_p{i}").alias("p"), F.lit(float(w)).alias("w")) for i, w in enumerate(self.weights)]))
+        half, kind = sum(self.weights) / 2, "struct<s:double,p:double>"
+        walk = F.aggregate(pairs, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("p")).cast(kind), lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["p"].isNull() & (a["s"] + x["w"] >= half - 1e-12), x["p"]).otherwise(a["p"]).alias("p")).cast(kind))
+        return df.select(*kept, walk["p"].alias(prediction))
+
+    def importances(self) -> list[tuple[str, float]]:
+        total = sum(self.weights)
+        each = [[float(x) * w / total for x in t.stages[-1].featureImportances.toArray()] for t, w in zip(self.trees, self.weights)]
+        return [(f, sum(e[i] for e in each)) for i, f in enumerate(self.features)]
+
+
+def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 10, depth: int = 3, seed: int = 42) -> Boosted:
+    """AdaBoost.R2: each tree learns from rows weighted by how badly the trees before predicted them; linear loss.
+
+    Row weights are a column that each round rewrites and stores, so no row leaves the executors. It ends early once a tree's
+    weighted loss reaches one half, or a tree has no error.
+    """
+    from . import checkpoints
+
+    inputs = [F.col(f).cast("double").alias(f) for f in features]
+    rows = df.select(*inputs, F.col(target).cast("double").alias("_y")).na.drop().withColumn("_w", F.lit(1.0))
+    rows = checkpoints.stored(rows, "boost-rows")
+    trees, weights = [], []
+    for r in range(rounds):
+        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_p", maxDepth=depth, seed=seed + r)
+        model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), tree]).fit(rows)
+        errors = model.transform(rows).withColumn("_e", F.abs(F.col("_p") - F.col("_y")))
+        most = errors.agg(F.max("_e")).first()[0]
+        if not most:
+            return Boosted(list(features), [model], [1.0])
+        loss = errors.agg(F.sum(F.col("_w") * F.col("_e") / most) / F.sum("_w")).first()[0]
+        if loss >= 0.5 and trees:
+            break
+        beta = loss / max(1 - loss, 1e-12)
+        trees.append(model)
+        weights.append(max(float(-math.log(max(beta, 1e-300))), 1e-12))
+        if loss >= 0.5:
+            break
+        rows = errors.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_e") / most)).drop("_x", "_p", "_e")
+        top = rows.agg(F.avg("_w")).first()[0]
+        rows = checkpoints.stored(rows.withColumn("_w", F.col("_w") / top), "boost-rows")
+    return Boosted(list(features), trees, weights)
+
+
+def permutation_importances(df: DataFrame, features: Sequence[str], target: str, model: PipelineModel, repeats: int = 3, seed: int = 42, prediction: str = "prediction") -> DataFrame:
+    """(feature, mean, std): by how much the mean absolute error grows when a feature's values are dealt anew among the rows.
+
+    The rows are numbered once in an order by hash; for each feature and repeat a row takes the value of the row some places on, so
+    all features and repeats are one exploded table, joined once and predicted once.
+    """
+    from .order import with_ordinal
+
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y")).na.drop()
+    placed = with_ordinal(rows.withColumn("_h", F.xxhash64(F.lit(seed), *features, "_y")), ["_h"], "_rn").drop("_h")
+    n = placed.count()
+    if n < 2:
+        raise ValueError("two rows at least")
+    trials = [(i, r) for i in range(-1, len(features)) for r in range(repeats if i >= 0 else 1)]
+    shift = lambda i, r: 1 + (hash((seed, i, r)) % (n - 1))  # noqa: E731  integers hash alike in every run
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r"), F.lit(shift(i, r) if i >= 0 else 0).cast("long").alias("by")) for i, r in trials])
+    tried = placed.withColumn("_t", F.explode(every)).withColumn("_from", (F.col("_rn") - 1 + F.col("_t.by")) % n + 1)
+    donors = placed.select(F.col("_rn").alias("_from"), F.array(*features).alias("_v"))
+    dealt = tried.join(donors, "_from").select("_y", "_t", *[F.when(F.col("_t.i") == i, F.get("_v", F.lit(i))).otherwise(F.col(f)).alias(f) for i, f in enumerate(features)])
+    errors = predict(dealt, model).groupBy(F.col("_t.i").alias("i"), F.col("_t.r").alias("r")).agg(F.avg(F.abs(F.col(prediction) - F.col("_y"))).alias("e")).collect()
+    base = next(x["e"] for x in errors if x["i"] < 0)
+    found = [(features[x["i"]], float(x["e"] - base)) for x in errors if x["i"] >= 0]
+    return df.sparkSession.createDataFrame(found, "feature string, grows double").groupBy("feature").agg(F.avg("grows").alias("mean"), F.stddev_pop("grows").alias("std"))
+
+
 @dataclass
 class Registry:
     """Models by seed and run, with the weights and bias of their ensembles."""

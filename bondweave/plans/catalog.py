@@ -243,10 +243,10 @@ def q_topk_weakest(spark, d):
     return order.top_k(fx.rx(spark, d), ["mol"], 2, [F.col("target"), *map(F.col, fx.ORDER)]).select(*COLS, *_long("rank"))
 
 
-@query(f"WITH {fx.RX} SELECT {BASE} FROM rx ORDER BY btype, target DESC, CAST(mol AS VARCHAR), {O} LIMIT 1000")
+@query(f"WITH {fx.RX} SELECT {BASE}, row_number() OVER (ORDER BY btype, target DESC, CAST(mol AS VARCHAR), {O}) AS rn FROM rx")
 def q_sort_multi(spark, d):
-    keys = [("btype", None, False), ("target", None, True), ("mol", "string", False), *[(c, None, False) for c in fx.ORDER]]
-    return order.sort_by(fx.rx(spark, d), *keys).limit(1000).select(*COLS)
+    keys = [F.col("btype").asc(), F.col("target").desc(), F.col("mol").cast("string").asc(), *[F.col(c).asc() for c in fx.ORDER]]
+    return order.with_ordinal(fx.rx(spark, d), keys).select(*COLS, "rn")
 
 
 # Pairs
@@ -406,10 +406,10 @@ def q_block_offsets(spark, d):
 _FACTOR = "CASE WHEN e = 20 THEN 1 / 2.5 WHEN e = 30 THEN 1 / 2.5 WHEN e = 50 THEN 1 / 4.0 WHEN e <= 6 THEN 1.18 WHEN e < 13 THEN exp(-0.011) WHEN e < 35 THEN exp(-0.015) WHEN e < 50 THEN exp(-0.01 / 1.75) ELSE exp(-0.01 / 2.25) END"
 
 
-@query(f"WITH RECURSIVE r(e, lr) AS (SELECT 0, CAST(0.0015 AS DOUBLE) UNION ALL SELECT e, lr * ({_FACTOR}) FROM (SELECT e + 1 AS e, lr FROM r WHERE e < 51)) SELECT e AS epoch, round(lr, 12) AS rate FROM r")
+@query(f"WITH RECURSIVE r(e, lr) AS (SELECT 0, CAST(0.0015 AS DOUBLE) UNION ALL SELECT e, lr * ({_FACTOR}) FROM (SELECT e + 1 AS e, lr FROM r WHERE e < 51)), o AS (SELECT CAST(o_orderkey % 52 AS INT) AS epoch, count(*) AS orders FROM orders GROUP BY 1) SELECT epoch, orders, round(lr, 12) AS rate FROM o JOIN r ON r.e = o.epoch")
 def q_lr_schedule(spark, d):
-    rates = spark.range(1).select(F.posexplode(scalar.learning_rates(F.lit(52))).alias("epoch", "rate"))
-    return rates.select("epoch", F.round("rate", 12).alias("rate"))
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_orderkey") % 52).cast("int").alias("epoch")).agg(F.count(F.lit(1)).alias("orders"))
+    return o.select("epoch", "orders", F.round(F.element_at(scalar.learning_rates(F.col("epoch") + 1), -1), 12).alias("rate"))
 
 
 @query("SELECT o_orderkey, round(2.0 * (o_totalprice - lo) / (hi - lo) - 1.0, 9) AS scaled FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)")
@@ -748,11 +748,11 @@ def q_morgan_style_bits(spark, d):
 # Tables side by side, blocks, masks, states
 
 
-@query("WITH c AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) AS rn FROM nation), k AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier) SELECT name, key FROM c JOIN k USING (rn) WHERE (SELECT count(*) FROM supplier) >= 0 AND rn <= 5")
+@query("WITH c AS (SELECT c_name AS name, row_number() OVER (ORDER BY c_name) AS rn FROM customer), k AS (SELECT c_acctbal AS balance, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rn FROM customer) SELECT name, balance FROM c JOIN k USING (rn)")
 def q_positional_join(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"))
-    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
-    return order.zip_rows(order.limit_rows(n, 5, ["name"]), order.limit_rows(s, 5, ["key"]), ["name"], ["key"])
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    ranked = c.select(F.col("c_acctbal").alias("balance"), "c_custkey")
+    return order.zip_rows(c.select(F.col("c_name").alias("name")), ranked, ["name"], ["balance", "c_custkey"]).drop("c_custkey")
 
 
 @query(f"WITH {fx.RX}, o AS (SELECT *, row_number() OVER (ORDER BY {O}) AS rn FROM rx), p AS (SELECT row_number() OVER (ORDER BY {O}) AS rn, p1 FROM (SELECT *, target * 0.5 AS p1 FROM rx)) SELECT {BASE}, p1 FROM o JOIN p USING (rn)")
@@ -902,4 +902,4 @@ def q_regression(spark, d):
     return models.predict(p, models.fit(p, ["qty", "disc", "tax"], "target", "huber")).select("mol", "bidx", "target", "prediction")
 
 
-from . import fingerprint_queries  # noqa: E402, F401  these add themselves to the registry
+from . import fingerprint_queries, model_queries  # noqa: E402, F401  these add themselves to the registry
