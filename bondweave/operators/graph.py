@@ -155,6 +155,40 @@ def validate_reactions(reactions: DataFrame, fragments: DataFrame) -> DataFrame:
     return joined.withColumn("is_correct_bond", F.when(unknown, -999).when(F.col("_pair") == given, 1).otherwise(-99)).drop("_pair")
 
 
+def symbols_of(name: Column) -> Column:
+    """The symbols in a fragment's name, sorted."""
+    return F.array_sort(F.regexp_extract_all(name, F.lit("([A-Z][a-z]?)"), 1))
+
+
+def review_reactions(reactions: DataFrame, bonds: DataFrame, atoms: DataFrame, fragments: DataFrame) -> DataFrame:
+    """``reactions`` (mol, bidx, frag_x, frag_y, and others) with their bond type and what is wrong with them.
+
+    ``is_correct_bond``: 1 if the bond leaves the given fragments in either order, also if they differ in hydrogens alone, in which
+    case the fragments that it leaves take their place; -99 if it leaves others; -999 if it leaves no two fragments or
+    one is not given; 0 if the molecule has no such bond. ``is_same_mol``: 1 if the given fragments are made of the same atoms as
+    those that the bond leaves, else 0. ``btype``: the symbols of the bond's atoms in order, ``ERROR`` where the fragments are not
+    its own, null where there is no bond.
+    """
+    ends = atoms.select("mol", "atom", "symbol")
+    typed = bonds.join(ends.toDF("mol", "a", "_sa"), ["mol", "a"]).join(ends.toDF("mol", "b", "_sb"), ["mol", "b"])
+    typed = typed.select("mol", F.col("bond").alias("bidx"), F.concat_ws("-", F.least("_sa", "_sb"), F.greatest("_sa", "_sb")).alias("_type"))
+    left = fragments.select("mol", F.col("core").alias("bidx"), F.col("frag_x").alias("_x"), F.col("frag_y").alias("_y"))
+    joined = reactions.join(typed, ["mol", "bidx"], "left").join(left, ["mol", "bidx"], "left")
+    heavy = lambda name: F.array_join(F.filter(symbols_of(F.col(name)), lambda s: s != "H"), "")
+    pair = lambda x, y: F.array_sort(F.array(x, y))
+    given, found = pair(F.col("frag_x"), F.col("frag_y")), pair(F.col("_x"), F.col("_y"))
+    alike = pair(heavy("frag_x"), heavy("frag_y")) == pair(heavy("_x"), heavy("_y"))
+    unknown = F.col("_x").isNull() | F.col("frag_x").isNull() | F.col("frag_y").isNull()
+    code = F.when(F.col("_type").isNull(), 0).when(unknown, -999).when((given == found) | alike, 1).otherwise(-99)
+    atoms_of = lambda x, y: F.array_sort(F.concat(symbols_of(F.col(x)), symbols_of(F.col(y))))
+    same = F.coalesce(atoms_of("frag_x", "frag_y") == atoms_of("_x", "_y"), F.lit(False)).cast("int")
+    replace = (code == 1) & (given != found)
+    out = joined.withColumns({"_code": code, "_same": same, "_replace": replace})
+    out = out.withColumns({"frag_x": F.when(F.col("_replace"), F.col("_x")).otherwise(F.col("frag_x")), "frag_y": F.when(F.col("_replace"), F.col("_y")).otherwise(F.col("frag_y"))})
+    btype = F.when(F.col("_code") == 1, F.col("_type")).when(F.col("_code") != 0, "ERROR")
+    return out.select(*reactions.columns, btype.alias("btype"), F.col("_same").alias("is_same_mol"), F.col("_code").alias("is_correct_bond"))
+
+
 def morgan_bits(bonds: DataFrame, atoms: DataFrame, radius: int, n_bits: int) -> DataFrame:
     """(mol, bits): Morgan-style features by iterated hashing of neighbourhoods.
 

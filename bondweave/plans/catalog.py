@@ -667,6 +667,31 @@ def q_validate_reactions(spark, d):
     return graph.validate_reactions(rx, f)
 
 
+_PARTS = "list_sort(regexp_extract_all({0}, '[A-Z][a-z]?'))"
+_HEAVY = "array_to_string(list_filter(" + _PARTS + ", lambda s: s <> 'H'), '')"
+_SAME = "list_sort(list_concat(" + _PARTS.format("coalesce({0}, '')") + ", " + _PARTS.format("coalesce({1}, '')") + "))"
+
+
+@query(
+    f"""WITH RECURSIVE {_FRAGS}, given AS (SELECT mg.mol, mg.bond + CASE WHEN mg.bond % 5 = 4 THEN 100 ELSE 0 END AS bidx, CASE mg.bond % 5 WHEN 1 THEN replace(coalesce(frag_x, 'C'), 'H', '') WHEN 2 THEN 'X' WHEN 3 THEN NULL ELSE coalesce(frag_y, 'C') END AS gx,
+  CASE WHEN mg.bond % 5 = 1 THEN coalesce(frag_y, 'C') ELSE coalesce(frag_x, 'C') END AS gy FROM mg LEFT JOIN frags ON mg.mol = frags.mol AND mg.bond = frags.core),
+joined AS (SELECT given.*, least({_EL}[CAST(mg.a % 8 + 1 AS INT)], {_EL}[CAST(mg.b % 8 + 1 AS INT)]) || '-' || greatest({_EL}[CAST(mg.a % 8 + 1 AS INT)], {_EL}[CAST(mg.b % 8 + 1 AS INT)]) AS kind, frag_x AS tx, frag_y AS ty
+  FROM given LEFT JOIN mg ON mg.mol = given.mol AND mg.bond = given.bidx LEFT JOIN frags ON frags.mol = given.mol AND frags.core = given.bidx),
+coded AS (SELECT *, CAST(CASE WHEN kind IS NULL THEN 0 WHEN tx IS NULL OR gx IS NULL THEN -999 WHEN least(gx, gy) = tx AND greatest(gx, gy) = ty THEN 1
+  WHEN list_sort([{_HEAVY.format('gx')}, {_HEAVY.format('gy')}]) = list_sort([{_HEAVY.format('tx')}, {_HEAVY.format('ty')}]) THEN 1 ELSE -99 END AS INT) AS code,
+  CAST(gx IS NOT NULL AND tx IS NOT NULL AND {_SAME.format('gx', 'gy')} = {_SAME.format('tx', 'ty')} AS INT) AS same FROM joined)
+SELECT mol, bidx, CASE WHEN code = 1 AND list_sort([gx, gy]) <> [tx, ty] THEN tx ELSE gx END AS frag_x, CASE WHEN code = 1 AND list_sort([gx, gy]) <> [tx, ty] THEN ty ELSE gy END AS frag_y,
+  CASE WHEN code = 1 THEN kind WHEN code <> 0 THEN 'ERROR' END AS btype, same AS is_same_mol, code AS is_correct_bond FROM coded"""
+)
+def q_review_reactions(spark, d):
+    f, b = _fragments(spark, d), fx.mg(spark, d)
+    m = F.col("bidx") % 5
+    known = b.select("mol", F.col("bond").alias("bidx")).join(f.withColumnRenamed("core", "bidx"), ["mol", "bidx"], "left")
+    x, y = F.coalesce("frag_x", F.lit("C")), F.coalesce("frag_y", F.lit("C"))
+    rx = known.select("mol", F.when(m == 4, F.col("bidx") + 100).otherwise(F.col("bidx")).alias("bidx"), F.when(m == 1, F.replace(x, F.lit("H"), F.lit(""))).when(m == 2, "X").when(m == 3, None).otherwise(y).alias("frag_x"), F.when(m == 1, y).otherwise(x).alias("frag_y"))
+    return graph.review_reactions(rx, b, fx.atoms(b), f)
+
+
 def _typed_bonds(b):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("SINGLE", "DOUBLE", "TRIPLE", "AROMATIC", "DATIVE")]), (F.col("b") % 5 + 1).cast("int"))
     return b.select("*", kind.alias("kind"), (F.col("b") % 2 == 0).alias("b_ring"), (F.col("b") % 4 == 0).alias("b_ring6"), (F.col("a") % 3 == 0).alias("conjugated"), F.when(F.col("a") % 7 == 0, "Z").when(F.col("a") % 7 == 1, "E").alias("stereo"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checkpoints, column_store, models, reactions, reduction, training
 from ..operators.model_store import ModelStore
+from ..sources import molecules
 from . import fixtures as fx
 from .registry import SQL, query
 
@@ -92,3 +93,21 @@ def q_column_store(spark, d):
 def q_reactions_udtf(spark, d):
     bonds = fx.mg(spark, d)
     return reactions.reactions_of(bonds, fx.atoms(bonds))
+
+
+@query(
+    f"""WITH {fx.MG}, m AS (SELECT mol, count(*) AS bonds FROM mg GROUP BY mol)
+SELECT CAST(mol % 8 AS INT) AS part, CAST(coalesce(count(*) FILTER (mol % 25 <> 7), 0) AS BIGINT) AS molecules, CAST(coalesce(sum(bonds) FILTER (mol % 25 <> 7), 0) AS BIGINT) AS bonds, CAST(coalesce(count(*) FILTER (mol % 25 = 7), 0) AS BIGINT) AS rejected FROM m GROUP BY 1"""
+)
+def q_molecule_files(spark, d):
+    """All molecules written as text, some of them spoilt, read as a list, and counted by folder."""
+    bonds = fx.mg(spark, d)
+    links = bonds.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("bonds"))
+    atoms = fx.atoms(bonds).groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom", "symbol"))).alias("atoms"))
+    line = molecules.as_line(F.col("atoms"), F.col("bonds"))
+    lines = links.join(atoms, "mol").select(F.when(F.col("mol") % 25 == 7, F.regexp_replace(line, "-", "=")).otherwise(line).alias("value"), (F.col("mol") % 8).cast("int").alias("part"))
+    path = f"{checkpoints.shared_dir(spark)}/molecule-lists-{uuid.uuid4().hex}"
+    lines.write.partitionBy("part").text(path)
+    valid, rejected = molecules.read_molecules(spark, path)
+    counts = molecules.counts_by_file(valid, rejected, F.regexp_extract("file", r"part=(\d+)/", 1).cast("int"))
+    return counts.withColumnRenamed("file", "part")
