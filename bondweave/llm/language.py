@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
-from pyspark import SparkFiles
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,16 +90,17 @@ def spread(g: np.ndarray | Column) -> np.ndarray | Column:
 
 
 class Arrays:
-    """The model's sorted hash arrays: row groups of Parquet files that Spark has brought to this machine.
+    """The model's sorted hash arrays: row groups of Parquet files in the shared folder.
 
-    Each is known by the range of its keys and read when one of its keys is asked for; HELD_PIECES of them
-    stay in memory, so a worker's memory does not grow with the model.
+    Each is known by the range of its keys and read from there when one of its keys is asked for; HELD_PIECES of them
+    stay in memory. So neither a worker's memory nor its disk grows with the model.
     """
 
     def __init__(self, files: tuple[str, ...]):
         self.pieces: list[tuple[int, int, pq.ParquetFile, int]] = []
         for name in files:
-            file = pq.ParquetFile(SparkFiles.get(name))
+            store, path = fs.FileSystem.from_uri(name)
+            file = pq.ParquetFile(store.open_input_file(path))
             for i in range(file.num_row_groups):
                 keys = file.metadata.row_group(i).column(0).statistics
                 self.pieces.append((keys.min, keys.max, file, i))
@@ -280,18 +281,12 @@ def _log2_sum(seen: Column, power: Column) -> Column:
 
 
 def _store(tables: list[DataFrame], spark) -> tuple[str, ...]:
-    """Write all entries as one sorted table of (key, values), and have Spark bring its files to the executors.
-
-    Files in a shared store are fetched from there by each executor, also by those that start later.
-    """
+    """Write all entries as one sorted table of (key, values) to the shared folder, where every executor reads what it needs."""
     both = reduce(DataFrame.unionByName, tables)
     sorted_ = both.select("key", F.col("values").cast("array<float>").alias("values")).repartitionByRange("key").sortWithinPartitions("key")
     path = f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
     sorted_.write.option("parquet.block.size", PIECE_BYTES).option("parquet.enable.dictionary", "false").parquet(path)
-    files = spark.read.parquet(path).inputFiles()
-    for f in files:
-        spark.sparkContext.addFile(f)
-    return tuple(sorted(f.rsplit("/", 1)[-1] for f in files))
+    return tuple(sorted(spark.read.parquet(path).inputFiles()))
 
 
 def fit(docs: DataFrame, max_calibration: int = MAX_CALIBRATION, seed: int = 3) -> Model:
