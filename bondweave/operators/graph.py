@@ -90,6 +90,14 @@ def bond_environment(bonds: DataFrame, cores: DataFrame, radius: int, keep: Colu
     return found.select("mol", "core", F.col("e.bond").alias("bond"), F.col("d").alias("dist"))
 
 
+def radius_list(radii: int | Sequence[int], most: int = 3) -> list[int]:
+    """A radius or several as a list without repeats, the largest first; ``most`` of them at most, none negative."""
+    found = sorted({radii} if isinstance(radii, int) else set(radii), reverse=True)
+    if not found or len(found) > most or any(isinstance(r, bool) or not isinstance(r, int) or r < 0 for r in found):
+        raise ValueError(f"one to {most} whole radii, none negative: {radii}")
+    return found
+
+
 def environments(bonds: DataFrame, cores: DataFrame, radii: Sequence[int], keep: Column | None = None) -> DataFrame:
     """(mol, core, radius, bond, dist) for several radii from one search, the largest first by convention."""
     radii = sorted(set(radii), reverse=True)

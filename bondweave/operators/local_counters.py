@@ -44,6 +44,14 @@ _ATOM_FIELDS = ("atom", "symbol", "hybrid", "aromatic", "in_ring", "in_ring6", "
 _LINK_FIELDS = ("bond", "a", "b", "kind", "b_ring", "b_ring6", "conjugated")
 
 
+def label_table(counters: DataFrame, keys: tuple[str, ...] = ("mol", "bond")) -> DataFrame:
+    """(position, label, total): the counters' labels in their order from 0, as few rows as there are labels, and what each comes to in the table."""
+    labels = [c for c in counters.columns if c not in keys]
+    sums = counters.agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).cast("long").alias(f"t{i}") for i, c in enumerate(labels)])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("label"), F.col(f"t{i}").alias("total")) for i, c in enumerate(labels)])
+    return sums.select(F.inline(rows))
+
+
 def local_counters(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """54 counters for every bond of atoms(mol, atom, symbol, hybrid, aromatic, in_ring, in_ring6, charge) and
     bonds(mol, bond, a, b, kind, b_ring, b_ring6, conjugated).

@@ -33,6 +33,20 @@ def dedup_pairs(df: DataFrame, group: Sequence[str], pair: tuple[str, str], orde
     return out.where((F.col("_rn") == 1) | F.coalesce(keep_if, F.lit(False))).drop("_pair", "_rn")
 
 
+def cleanup(df: DataFrame, group: Sequence[str], pair: tuple[str, str], order_by: Sequence[str], mean_of: Sequence[str] = (), name: str = "rn") -> DataFrame:
+    """A source table without repeated pairs, numbered from 1 in the order of ``order_by`` over the whole table, and checked.
+
+    The check is a pass of its own over what was written: a group that holds one pair twice is an error, not a result.
+    """
+    from .order import with_ordinal
+
+    out = with_ordinal(dedup_pairs(df, group, pair, order_by, mean_of), order_by, name)
+    twice = out.groupBy(*group, *pair_key(*pair)).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"a pair is there twice: {twice[0]}")
+    return out
+
+
 def dedup_column(df: DataFrame, group: Sequence[str], column: str, order_by: Sequence[str], mean_of: Sequence[str] = ()) -> DataFrame:
     """As ``dedup_pairs`` for one column, compared by its whole value."""
     return dedup_pairs(df, group, (column, column), order_by, mean_of, ordered=True)

@@ -108,6 +108,18 @@ def slice_split(df: DataFrame, order_by: Sequence[str], dev: tuple[int, int], te
     return with_ordinal(df, order_by, "_rn").withColumn("split", split).drop("_rn")
 
 
+def masks(df: DataFrame, splits: Sequence[str], split: str = "split") -> tuple[DataFrame, DataFrame]:
+    """Rows of any of ``splits``, and all others; a row without a split is among the others. Both keep repeated rows."""
+    inside = F.coalesce(F.col(split).isin(list(splits)), F.lit(False)) if splits else F.lit(False)
+    return df.where(inside), df.where(~inside)
+
+
+def share_rows(df: DataFrame, rows: Column, to: str, split: str = "split") -> DataFrame:
+    """All rows, and a copy of those that hold ``rows`` in the split ``to``; rows that are there already are not copied."""
+    moved = df.where(F.coalesce(rows, F.lit(False)) & ~F.col(split).eqNullSafe(F.lit(to)))
+    return df.unionByName(moved.withColumn(split, F.lit(to)))
+
+
 def split_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("split").count()
 

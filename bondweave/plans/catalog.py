@@ -259,6 +259,11 @@ def q_dedup_pair(spark, d):
     return pairs.dedup_pairs(fx.rx(spark, d), ["mol"], ("rad_x", "rad_y"), fx.ORDER).select(*COLS)
 
 
+@query(f"WITH {fx.RX} SELECT {BASE}, row_number() OVER (ORDER BY {O}) AS rn FROM (SELECT *, row_number() OVER {_W} AS nth FROM rx) WHERE nth = 1")
+def q_cleanup(spark, d):
+    return pairs.cleanup(fx.rx(spark, d), ["mol"], ("rad_x", "rad_y"), fx.ORDER).select(*COLS, "rn")
+
+
 @query(f"WITH {fx.RX} SELECT {BASE} FROM (SELECT *, row_number() OVER (PARTITION BY mol, rad_x, rad_y ORDER BY {O}) AS rn FROM rx) WHERE rn = 1")
 def q_dedup_pair_ordered(spark, d):
     return pairs.dedup_pairs(fx.rx(spark, d), ["mol"], ("rad_x", "rad_y"), fx.ORDER, ordered=True).select(*COLS)
@@ -737,6 +742,17 @@ def q_local_counters(spark, d):
     return out.select(*[F.col(f"`{c}`").alias(_plain(c)) for c in out.columns])
 
 
+_COUNTER_NAMES = [c.rsplit(" AS ", 1)[1] for level in (0, 1) for part in _counter_sql(level) for c in part]
+
+
+@query(
+    f"WITH {_COUNTERS}, w AS (SELECT * FROM a0 JOIN b0 USING (mol, bond) LEFT JOIN a1 USING (mol, bond) LEFT JOIN b1 USING (mol, bond)) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS label, CAST(coalesce(sum({n}), 0) AS BIGINT) AS total FROM w" for n in _COUNTER_NAMES)
+)
+def q_counter_totals(spark, d):
+    return local_counters.label_table(q_local_counters(spark, d)).select("label", "total")
+
+
 _CIS = [f"count(*) FILTER (stereo = '{s}'{test}) AS {n}_{x}" for s, n in (("Z", "cis"), ("E", "trans")) for x, test in (("bond", ""), ("atom_c", " AND symbol = 'C'"), ("atom_n", " AND symbol = 'N'"))]
 _CIS_NAMES = [c.rsplit(" AS ", 1)[1] for c in _CIS]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from pathlib import PurePosixPath
 
@@ -41,6 +42,22 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None, columns:
     return df if limit is None else df.limit(limit)
 
 
+def scan_sorted(spark: SparkSession, path: str, schema: str, by: list[str], ascending: bool = True, columns: list[int | str] | None = None) -> DataFrame:
+    """A CSV file's rows in the order of ``by``."""
+    df = scan_csv(spark, path, schema, columns)
+    return df.orderBy(*[F.col(c).asc() if ascending else F.col(c).desc() for c in by])
+
+
+def transform_file(spark: SparkSession, source: str, target: str, work: Callable[[DataFrame], DataFrame], schema: str | None = None) -> None:
+    """Read a CSV or Parquet file, by its ending, apply ``work``, and write the result in the kind that ``target`` ends in."""
+    df = scan_parquet(spark, source) if source.endswith(".parquet") else scan_csv(spark, source, schema)
+    out = work(df)
+    if target.endswith(".parquet"):
+        out.write.mode("overwrite").parquet(target)
+    else:
+        write_csv(out, target)
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file; reads its first line only."""
     return spark.read.option("header", True).csv(path).columns
