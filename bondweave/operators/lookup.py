@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: what an output shows where no reference is known.
 MISSING = -9999.0
+#: Templates that are filled in one call, at most.
+MAX_TEMPLATES = 10_000
 
 
 def build_reference(df: DataFrame, keys: Sequence[str], values: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -60,6 +62,13 @@ def status(n_outside: str) -> list[Column]:
 
 
 def fill_templates(templates: DataFrame, fillers: DataFrame, template: str, filler: str, name: str = "filled") -> DataFrame:
-    """Every template with every filler in place of its first placeholder ({} or {n}); both tables are small lists by nature."""
-    both = templates.crossJoin(fillers)
+    """Every template with every filler in place of its first placeholder ({} or {n}).
+
+    Templates are a list written by hand: more than MAX_TEMPLATES of them are an error, so they can be broadcast to the fillers, of
+    which there may be any number.
+    """
+    n = templates.limit(MAX_TEMPLATES + 1).count()
+    if n > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    both = fillers.crossJoin(F.broadcast(templates)).select(*templates.columns, *fillers.columns)
     return both.withColumn(name, F.expr(f"concat(split({template}, '[{{][0-9]*[}}]', 2)[0], cast({filler} as string), coalesce(split({template}, '[{{][0-9]*[}}]', 2)[1], ''))"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,8 @@ def pair_key(x: str, y: str) -> list[Column]:
 def dedup_pairs(df: DataFrame, group: Sequence[str], pair: tuple[str, str], order_by: Sequence[str], mean_of: Sequence[str] = (), ordered: bool = False, keep_if: Column | None = None) -> DataFrame:
     """The first row (by ``order_by``) of each pair within a group; ``mean_of`` columns become the pair's means.
 
-    ``ordered`` tells (x, y) from (y, x). Rows that hold ``keep_if`` always stay, which takes a window by
-    group and pair; else one aggregate that Spark combines before the shuffle, so no pair is ever hot.
+    ``ordered`` tells (x, y) from (y, x). Rows that hold ``keep_if`` always stay. One aggregate that Spark combines before the
+    shuffle finds the first rows, so no pair is ever hot; rows that stay anyway are not shuffled, unless they need their pair's means.
     """
     key = [F.struct(*pair).alias("_pair")] if ordered else pair_key(*pair)
     with_key = df.select("*", *key)
@@ -26,11 +26,18 @@ def dedup_pairs(df: DataFrame, group: Sequence[str], pair: tuple[str, str], orde
         first = F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_first")
         once = with_key.groupBy(*group, "_pair").agg(first, *[F.avg(c).alias(f"_mean_{c}") for c in mean_of])
         return once.select(*[F.col(f"_mean_{c}").alias(c) if c in mean_of else F.col("_first")[c].alias(c) for c in df.columns])
-    w = Window.partitionBy(*group, "_pair")
-    out = with_key.withColumn("_rn", F.row_number().over(w.orderBy(*order_by)))
-    for c in mean_of:
-        out = out.withColumn(c, F.avg(c).over(w))
-    return out.where((F.col("_rn") == 1) | F.coalesce(keep_if, F.lit(False))).drop("_pair", "_rn")
+    keyed = with_key.withColumn("_stays", F.coalesce(keep_if, F.lit(False)))
+    first = F.min_by(F.struct(*df.columns, "_stays"), F.struct(*order_by)).alias("_first")
+    once = keyed.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_pair").alias("_of")).agg(first, *[F.avg(c).alias(f"_mean_{c}") for c in mean_of])
+    mean = lambda c, other: F.col(f"_mean_{c}").alias(c) if c in mean_of else other.alias(c)
+    out = once.where(~F.col("_first._stays")).select(*[mean(c, F.col("_first")[c]) for c in df.columns])
+    stay = keyed.where("_stays")
+    if mean_of:
+        same = F.col("_pair").eqNullSafe(F.col("_of"))
+        for i, g in enumerate(group):
+            same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        stay = stay.join(once.drop("_first"), same)
+    return out.unionByName(stay.select(*[mean(c, F.col(c)) for c in df.columns]))
 
 
 def cleanup(df: DataFrame, group: Sequence[str], pair: tuple[str, str], order_by: Sequence[str], mean_of: Sequence[str] = (), name: str = "rn") -> DataFrame:

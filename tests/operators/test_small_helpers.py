@@ -42,3 +42,23 @@ def test_sorted_scan_and_file_to_file(spark, tmp_path):
 def test_label_table(spark):
     df = spark.createDataFrame([(1, 0, 2, None), (1, 1, 3, 5)], "mol long, bond long, `L0 - C` int, `L0 - H` int")
     assert [tuple(r) for r in local_counters.label_table(df).collect()] == [(0, "L0 - C", 5), (1, "L0 - H", 5)]
+
+
+def test_rows_that_always_stay(spark):
+    rows = [(1, "a", "b", 1.0, 0), (1, "b", "a", 3.0, 1), (1, "a", "b", 5.0, 2), (1, None, "b", 7.0, 3), (1, "b", None, 9.0, 4), (None, "a", "b", 2.0, 5), (None, "a", "b", 4.0, 6)]
+    df = spark.createDataFrame(rows, "mol long, x string, y string, t double, n int")
+    keep = F.col("x").isNull() | F.col("y").isNull() | (F.col("n") == 2)
+    got = pairs.dedup_pairs(df, ["mol"], ("x", "y"), ["n"], ["t"], keep_if=keep).collect()
+    assert sorted((r.n, r.t) for r in got) == [(0, 3.0), (2, 3.0), (3, 8.0), (4, 8.0), (5, 3.0)]
+    assert sorted(r.n for r in pairs.dedup_pairs(df, ["mol"], ("x", "y"), ["n"], keep_if=F.lit(True)).collect()) == list(range(7))
+    assert sorted(r.n for r in pairs.dedup_pairs(df, ["mol"], ("x", "y"), ["n"], keep_if=F.lit(None).cast("boolean")).collect()) == [0, 3, 5]
+
+
+def test_too_many_templates(spark, monkeypatch):
+    from bondweave.operators import lookup
+
+    t, f = spark.createDataFrame([("a{}",), ("b{0}c",)], "t string"), spark.createDataFrame([(1,), (2,)], "f int")
+    assert sorted(r.filled for r in lookup.fill_templates(t, f, "t", "f").collect()) == ["a1", "a2", "b1c", "b2c"]
+    monkeypatch.setattr(lookup, "MAX_TEMPLATES", 1)
+    with pytest.raises(ValueError):
+        lookup.fill_templates(t, f, "t", "f")
