@@ -87,10 +87,10 @@ STEREO = ("Stereo Chemistry", "Count Z-Bonds", "Count E-Bonds", "Cis Bond", "Cis
 
 def stereo_counters(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     """The nine stereo counters of every bond, given a column ``stereo`` ('Z', 'E' or null) of bonds: whether the
-    molecule has stereo bonds, how many of each, and cis or trans bonds and carbon or nitrogen atoms beside the bond."""
+    molecule has stereo bonds, how many of each, cis or trans bonds beside the bond, and carbon or nitrogen atoms at their far ends."""
     of_mol = bonds.groupBy("mol").agg(F.count_if(F.col("stereo") == "Z").alias("_z"), F.count_if(F.col("stereo") == "E").alias("_e"))
     inc = incidence(bonds)
-    marked = inc.join(bonds.where("stereo IS NOT NULL").select("mol", "bond", "stereo"), ["mol", "bond"]).join(atoms.select("mol", "atom", "symbol"), ["mol", "atom"])
+    marked = inc.join(bonds.where("stereo IS NOT NULL").select("mol", "bond", "stereo"), ["mol", "bond"]).join(atoms.select("mol", F.col("atom").alias("other"), "symbol"), ["mol", "other"])
     beside = inc.select("mol", F.col("bond").alias("core"), "atom").join(marked, ["mol", "atom"]).where("core <> bond")
     c = []
     for s, name in (("Z", "Cis"), ("E", "Trans")):

@@ -758,9 +758,9 @@ _CIS_NAMES = [c.rsplit(" AS ", 1)[1] for c in _CIS]
 
 
 @query(
-    f"""WITH {fx.MG}, i AS (SELECT mol, bond, a AS atom FROM mg UNION ALL SELECT mol, bond, b FROM mg), s AS (SELECT *, CASE a % 7 WHEN 0 THEN 'Z' WHEN 1 THEN 'E' END AS stereo FROM mg),
+    f"""WITH {fx.MG}, i AS (SELECT mol, bond, a AS atom, b AS other FROM mg UNION ALL SELECT mol, bond, b, a FROM mg), s AS (SELECT *, CASE a % 7 WHEN 0 THEN 'Z' WHEN 1 THEN 'E' END AS stereo FROM mg),
 t AS (SELECT mol, count(*) FILTER (stereo = 'Z') AS z, count(*) FILTER (stereo = 'E') AS e FROM s GROUP BY mol),
-m AS (SELECT i.mol, i.bond, s.stereo, {_EL}[CAST(j.atom % 8 + 1 AS INT)] AS symbol FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond JOIN s ON s.mol = j.mol AND s.bond = j.bond WHERE s.stereo IS NOT NULL),
+m AS (SELECT i.mol, i.bond, s.stereo, {_EL}[CAST(j.other % 8 + 1 AS INT)] AS symbol FROM i JOIN i j ON i.mol = j.mol AND i.atom = j.atom AND i.bond <> j.bond JOIN s ON s.mol = j.mol AND s.bond = j.bond WHERE s.stereo IS NOT NULL),
 n AS (SELECT mol, bond, {", ".join(_CIS)} FROM m GROUP BY 1, 2)
 SELECT mg.mol, mg.bond, CAST(z + e > 0 AS INT) AS stereo_chemistry, CAST(z AS INT) AS count_z_bonds, CAST(e AS INT) AS count_e_bonds, {", ".join(f"CAST(coalesce({c}, 0) AS INT) AS {c}" for c in _CIS_NAMES)} FROM mg JOIN t USING (mol) LEFT JOIN n USING (mol, bond)"""
 )

@@ -62,3 +62,12 @@ def test_too_many_templates(spark, monkeypatch):
     monkeypatch.setattr(lookup, "MAX_TEMPLATES", 1)
     with pytest.raises(ValueError):
         lookup.fill_templates(t, f, "t", "f")
+
+
+def test_stereo_counts_far_atoms(spark):
+    """Beside bond 0 (C-O) lies a cis bond from O to N, and none from C."""
+    bonds = spark.createDataFrame([(1, 0, 0, 1, None), (1, 1, 1, 2, "Z"), (1, 2, 2, 3, None)], "mol long, bond long, a long, b long, stereo string")
+    atoms = spark.createDataFrame([(1, 0, "C"), (1, 1, "O"), (1, 2, "N"), (1, 3, "C")], "mol long, atom long, symbol string")
+    got = {r.bond: r.asDict() for r in local_counters.stereo_counters(bonds, atoms).collect()}
+    pick = lambda b: tuple(got[b][n] for n in ("Cis Bond", "Cis Atom (C)", "Cis Atom (N)"))
+    assert pick(0) == (1, 0, 1) and pick(1) == (0, 0, 0) and pick(2) == (1, 0, 0)
