@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, so that no array is longer.
@@ -26,19 +26,19 @@ def to_columns(df: DataFrame, row: str, values: Column, block: int = BLOCK, dens
     joined = blocks.join(full, "column")
     first = F.when(F.col("sparse"), F.col("cells")[0]["row"]).otherwise(F.col("block") * block)
     gaps = F.transform(F.sequence(F.lit(1), F.size("cells") - 1), lambda i: F.get("cells", i)["row"] - F.get("cells", i - 1)["row"])
-    of = F.map_from_entries(F.transform("cells", lambda c: F.struct((c["row"] - F.col("block") * block).alias("k"), c["value"].alias("v"))))
-    last = F.element_at("cells", -1)["row"] - F.col("block") * block
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.coalesce(F.col("of")[i], F.lit(0.0)))
+    # Zeros up to each value, then the value: linear in the block.
+    before = lambda i: F.coalesce(F.get("cells", i - 2)["row"], F.col("block") * block - 1)
+    padded = lambda i: F.concat(F.array_repeat(F.lit(0.0), (F.get("cells", i - 1)["row"] - before(i) - 1).cast("int")), F.array(F.get("cells", i - 1)["value"]))
+    dense = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cells")), padded))
     none = F.array().cast("array<bigint>")
-    joined = joined.withColumn("of", F.when(~F.col("sparse"), of))
     return joined.select("column", "block", "sparse", first.alias("first"), F.when(F.col("sparse") & (F.size("cells") > 1), gaps).otherwise(none).alias("gaps"), F.when(F.col("sparse"), F.transform("cells", lambda c: c["value"])).otherwise(dense).alias("values"))
 
 
 def from_columns(store: DataFrame) -> DataFrame:
     """(row, column, value): what the store keeps, without zeros."""
-    start = F.struct(F.col("first").alias("at"), F.array("first").alias("rows"))
-    kind = "struct<at:bigint,rows:array<bigint>>"
-    rows = F.aggregate("gaps", start.cast(kind), lambda acc, g: F.struct((acc["at"] + g).alias("at"), F.array_append(acc["rows"], acc["at"] + g).alias("rows")).cast(kind))["rows"]
-    sparse = store.where("sparse").select("column", F.explode(F.arrays_zip(rows.alias("row"), F.col("values").alias("value"))).alias("c")).select("c.row", "column", "c.value")
+    each = store.where("sparse").select("column", "block", "first", "values", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "gaps")).alias("k", "gap"))
+    each = each.select("column", "block", "first", F.get("values", F.col("k")).alias("value"), "k", "gap")
+    steps = F.sum("gap").over(Window.partitionBy("column", "block").orderBy("k"))  # a block's rows, no more
+    sparse = each.select((F.col("first") + steps).alias("row"), "column", "value")
     dense = store.where("NOT sparse").select("column", "first", F.posexplode("values").alias("k", "value")).select((F.col("first") + F.col("k")).alias("row"), "column", "value")
     return sparse.unionByName(dense.where("value <> 0"))
