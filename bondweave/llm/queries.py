@@ -26,7 +26,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language.identify(docs, language.fit(docs))
+    return language.identify(docs, language.fit(docs, bits=language.WHOLE))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,36 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language.identify(df, language.fit(df)).collect()] == ["und"]
     assert language.identify(df.limit(0), language.fit(df.limit(0))).collect() == []
+
+
+def test_whole_letters_stay_apart():
+    """Of WHOLE bits, grams give the text's symbols back, whatever its script."""
+    text = "дом 日本語 𠀀𪚥 ขค aß"
+    got = "".join(chr(int(g) & 0xFFFF) for g in language.grams(text, language.WHOLE))
+    assert got.encode("utf-16-le", "surrogatepass").decode("utf-16-le") == text.replace(" ", "\x01")
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha() and c == c.lower()]
+    last = {tuple(language.grams(c, language.WHOLE).tolist()) for c in letters}
+    assert len(last) == len(letters) > 100_000
+
+
+def test_whole_spread_is_one_to_one_and_the_same_in_spark(spark):
+    g = np.unique(np.random.default_rng(0).integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    h = language.spread(g, language.WHOLE).view(np.int64)
+    assert len(np.unique(h)) == len(g)
+    df = spark.createDataFrame([(int(x),) for x in g[:200].view(np.int64)], "g long")
+    assert [r[0] for r in df.select(language.spread(F.col("g"), language.WHOLE)).collect()] == h[:200].tolist()
+
+
+def test_whole_models_tell_scripts_of_many_letters(spark):
+    """Two languages of ideographs that the folded symbols mix, since their letters agree modulo 448; probabilities sum to one."""
+    rnd = random.Random(5)
+    first = [chr(0x4E00 + 448 * i) for i in range(20)]
+    rows = [(i, "".join(rnd.choices(first if i % 2 else [chr(ord(c) + 448 * 20) for c in first], k=40)), "ab"[i % 2]) for i in range(200)]
+    rows += [(1000 + i, "".join(rnd.choices(["𠀀", "𠀁", "𪚥", "日"], k=30)), "c") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, bits=language.WHOLE)
+    got = language.identify(df, model).toPandas().merge(df.toPandas(), on="doc_id")
+    assert (got.lang_pred == got.lang).all()
+    context = language.grams(rows[1][1], language.WHOLE)[10] & np.uint64(~0xFFFF & (1 << 64) - 1)
+    everything = model.log_probs(context | np.arange(1 << 16, dtype=np.uint64))
+    assert np.allclose(np.exp2(everything.astype(float)).sum(axis=0), 1, atol=1e-3)
