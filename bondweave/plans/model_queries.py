@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import checkpoints, column_store, models, reactions, reduction, training
+from ..operators import checkpoints, column_store, factors, models, reactions, reduction, training
 from ..operators.model_store import ModelStore
 from ..sources import molecules
 from . import fixtures as fx
 from .registry import SQL, query
 
 #: Queries whose plans hold Python or MLlib on purpose.
-WITH_PYTHON = ("q_reactions_udtf", "q_leaf_counts", "q_topics", "q_importance_kinds", "q_stored_model", "q_svd", "q_svd_two", "q_training_curve")
+WITH_PYTHON = ("q_reactions_udtf", "q_leaf_counts", "q_topics", "q_importance_kinds", "q_stored_model", "q_svd", "q_svd_two", "q_training_curve", "q_factor_scores", "q_non_negative_codes", "q_sparse_components", "q_dictionary_use")
 FEATURES = ["qty", "disc", "tax"]
 
 
@@ -64,6 +64,51 @@ def q_svd_two(spark, d):
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(m.values)], "i int, value double").select("i", F.round("value", 4).alias("value"))
 
 
+def _three(spark, d):
+    rows, t = fx.rx(spark, d), F.col("target") / 1000
+    return rows.select("mol", "bidx", (t * (1 - F.col("disc"))).alias("x1"), (t * (1 - F.col("tax"))).alias("x2"), (t * (1 - F.col("pk") % 7 / 50)).alias("x3"))
+
+
+# One factor behind three features leaves no freedom: their three covariances are the products of its loadings.
+@query(
+    f"""WITH {fx.RX}, x AS (SELECT mol, bidx, target / 1000 * (1 - disc) AS x1, target / 1000 * (1 - tax) AS x2, target / 1000 * (1 - pk % 7 / 50) AS x3 FROM rx),
+s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, var_pop(x1) AS v1, var_pop(x2) AS v2, var_pop(x3) AS v3, covar_pop(x1, x2) AS a, covar_pop(x1, x3) AS b, covar_pop(x2, x3) AS c FROM x),
+w AS (SELECT *, sqrt(a * b / c) AS w1, sqrt(a * c / b) AS w2, sqrt(b * c / a) AS w3 FROM s),
+u AS (SELECT *, w1 / (v1 - w1 * w1) AS u1, w2 / (v2 - w2 * w2) AS u2, w3 / (v3 - w3 * w3) AS u3 FROM w)
+SELECT mol, bidx, round((u1 * (x1 - m1) + u2 * (x2 - m2) + u3 * (x3 - m3)) / (1 + u1 * w1 + u2 * w2 + u3 * w3), 4) AS score FROM x, u"""
+)
+def q_factor_scores(spark, d):
+    """Every row's value of the one factor that is most likely behind three features."""
+    rows = _three(spark, d)
+    return factors.factor_analysis(rows, ["x1", "x2", "x3"], 1).project(rows, ["mol", "bidx"]).select("mol", "bidx", F.round("c_1", 4).alias("score"))
+
+
+# One atom is the leading direction of the sums of squares, which has no negative entry.
+@query(
+    f"""WITH {fx.RX}, s AS (SELECT sum(qty * qty) AS a, sum(qty * tax * 100) AS b, sum(tax * 100 * tax * 100) AS c FROM rx), e AS (SELECT a, b, power({_TWO.format("+")}, 2) AS top FROM s)
+SELECT mol, bidx, round((qty * b + tax * 100 * (top - a)) / sqrt(b * b + (top - a) * (top - a)), 4) AS code FROM rx, e"""
+)
+def q_non_negative_codes(spark, d):
+    rows = fx.rx(spark, d).withColumn("t", F.col("tax") * 100)
+    one = factors.non_negative_factors(rows, ["qty", "t"], 1, passes=10, steps=2, tolerance=-1.0)
+    return one.project(rows, ["mol", "bidx"]).select("mol", "bidx", F.round(F.col("codes")[0], 4).alias("code"))
+
+
+@query(None)
+def q_sparse_components(spark, d):
+    rows = _three(spark, d).join(fx.rx(spark, d).groupBy("mol").agg(F.avg("qty").alias("x4"), F.avg(F.col("tax") * 100).alias("x5")), "mol")
+    scores = factors.sparse_components(rows, ["x1", "x2", "x3", "x4", "x5"], 2, 0.01).project(rows, ["mol", "bidx"])
+    return scores.select("mol", "bidx", F.round("c_1", 4).alias("c_1"), F.round("c_2", 4).alias("c_2"))
+
+
+@query(None)
+def q_dictionary_use(spark, d):
+    """How many rows use each atom of a dictionary of four for three features."""
+    rows = _three(spark, d)
+    coded = factors.dictionary(rows, ["x1", "x2", "x3"], 4, 0.5, passes=4, steps=60).project(rows, ["mol"])
+    return coded.select(F.posexplode("codes").alias("atom", "code")).groupBy("atom").agg(F.count_if(F.col("code") != 0).alias("rows"))
+
+
 @query(None)
 def q_topics(spark, d):
     t = reduction.topics(fx.bits(fx.mg(spark, d)), 66, 4, ["mol"], passes=3)
