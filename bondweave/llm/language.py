@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, shared_dir
+from ._common import least_by_hash, materialize, shared_dir
 
 ORDER = 4
 #: Bits of a symbol: BITS fold the letters of late scripts, WHOLE keep every letter of Unicode apart.
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, max_calibration: int = MAX_CALIBRATION, seed: int = 3,
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    picked = train.where(aside).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_calibration).collect()
+    picked = least_by_hash(materialize(train.where(aside).select("doc_id").distinct(), "set-aside"), ["doc_id"], max_calibration, seed).collect()
     small = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], T.StructType([T.StructField("doc_id", id_type)])))  # max_calibration ids at most
     counted = train.join(small, "doc_id", "left_anti").select("lang", "text").mapInPandas(lambda batches: _count(batches, bits), "lang string, g long, n long")
     levels = {ORDER: materialize(counted.groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")}
@@ -362,8 +362,7 @@ def fit(docs: DataFrame, max_calibration: int = MAX_CALIBRATION, seed: int = 3,
 
     # Texts are scored where they are; of an id with many rows no more numbers come back than of others.
     scored = train.select("doc_id", "lang", "text").join(small, "doc_id").select("lang", "text").mapInPandas(entropies, "lang string, h array<double>, n long")
-    rows = scored.orderBy(F.xxhash64(F.lit(seed), "lang", "h", "n"), "lang", "h", "n").limit(max_calibration)
-    return _calibrate(model, rows.toPandas())
+    return _calibrate(model, least_by_hash(materialize(scored, "calibration"), ["lang", "h", "n"], max_calibration, seed).toPandas())
 
 
 def _sums(levels: dict[int, DataFrame]) -> tuple[list[str], dict[int, np.ndarray], np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bondweave.llm import language
+from bondweave.llm._common import least_by_hash
 
 ALPHABETS = {"aa": "the of and ing er on at in re".split(), "bb": "lo que de la ción es ar ña".split(), "cc": "sch der und ung ich ßt ei zu".split()}
 
@@ -165,3 +166,14 @@ def test_whole_models_tell_scripts_of_many_letters(spark):
     context = language.grams(rows[1][1], language.WHOLE)[10] & np.uint64(~0xFFFF & (1 << 64) - 1)
     everything = model.log_probs(context | np.arange(1 << 16, dtype=np.uint64))
     assert np.allclose(np.exp2(everything.astype(float)).sum(axis=0), 1, atol=1e-3)
+
+
+def test_least_by_hash_is_the_start_of_the_order(spark):
+    df = spark.range(5000).selectExpr("id % 4000 AS id", "id AS other")
+    for limit in (0, 7, 300, 6000):
+        plain = df.orderBy(F.xxhash64(F.lit(3), "id", "other"), "id", "other").limit(limit)
+        got = least_by_hash(df, ["id", "other"], limit, 3)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in plain.collect()]
+    assert least_by_hash(df.limit(0), ["id"], 5, 3).count() == 0
+    equal = spark.range(1000).selectExpr("1 AS id")
+    assert least_by_hash(equal, ["id"], 5, 3).count() == 5
