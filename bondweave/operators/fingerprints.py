@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import incidence
+from .graph import incidence, once
 
 #: Fixed value: the largest prime below 2^32, for the hash functions of MinHash.
 PRIME = 4_294_967_291
@@ -24,12 +24,6 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _once(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
-    """``keep`` and new columns that are computed once a row: Catalyst would put a projection's expressions into lambdas that use
-    them, and evaluate them for each element; it does not look through a generator."""
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def text_hash(text: Column) -> Column:
     """The first 32 bits of a text's MD5, as a long."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
@@ -48,7 +42,7 @@ def molecules(bonds: DataFrame, atoms: DataFrame, label: Column) -> DataFrame:
     rows = listed.join(edges, "mol", "left").select("mol", F.transform("xs", lambda x: x["atom"]).alias("atoms"), F.transform("xs", lambda x: x["label"]).alias("label"), F.coalesce("edges", F.array().cast("array<struct<atom:bigint,other:bigint>>")).alias("edges"))
     place = lambda atom: F.array_position("atoms", atom).cast("int")
     near = F.transform("atoms", lambda a: F.array_sort(F.transform(F.filter("edges", lambda e: e["atom"] == a), lambda e: place(e["other"]))))
-    return _once(_once(rows, ["mol"], atoms=F.col("atoms"), label=F.col("label"), edges=F.col("edges")), ["mol", "atoms", "label"], near=near)
+    return once(once(rows, ["mol"], atoms=F.col("atoms"), label=F.col("label"), edges=F.col("edges")), ["mol", "atoms", "label"], near=near)
 
 
 def _grown(near: str, longest: int) -> Column:
@@ -156,7 +150,7 @@ def circular(bonds: DataFrame, atoms: DataFrame, radius: int, label: Column, red
 
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(radius)), zero.cast(kind), step) if radius > 0 else zero.cast(kind)
     inside = lambda ball: F.array_sort(F.array_distinct(F.flatten(F.transform(ball, lambda x: F.transform(F.element_at("near", x), lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")))))))
-    rows = _once(molecules(bonds, atoms, label), ["mol", "atoms", "near"], g=grown)
+    rows = once(molecules(bonds, atoms, label), ["mol", "atoms", "near"], g=grown)
     fields = lambda r, i: [F.element_at("atoms", i).alias("atom"), r.alias("radius"), F.element_at(F.element_at("g.names", r + 1), i).alias("identifier")]
     bonds_of = lambda r, i: [] if redundant else [F.when(r > 0, inside(F.element_at(F.element_at("g.balls", F.greatest(r, F.lit(1))), i))).alias("inside")]
     each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda r: F.transform(places, lambda i: F.struct(*fields(r, i), *bonds_of(r, i)))))

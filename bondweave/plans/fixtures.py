@@ -11,6 +11,8 @@ ORDER = ["mol", "bidx", "pk", "sk", "target", "qty", "ship"]
 ELEMENTS = ("C", "H", "O", "N", "F", "Cl", "Br", "S")
 #: Orders that make up a molecule, and atoms on each side; molecules grow in number with the tables, never in size.
 ORDERS, ATOMS = 5, 16
+#: Bonds that one task works on.
+ROWS = 250_000
 
 # The same tables as common table expressions, for the SQL of the catalogue.
 RX = """rx AS (SELECT CAST(l_orderkey AS BIGINT) AS mol, CAST(l_partkey % 5 AS BIGINT) AS rad_x, CAST(l_suppkey % 5 AS BIGINT) AS rad_y,
@@ -44,15 +46,17 @@ def rx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bonds(mol, bond, a, b); bonds are numbered from 0 by their atoms."""
+    """bonds(mol, bond, a, b); bonds are numbered from 0 by their atoms. Rows are dealt by molecule once, ROWS to a task, and what works by molecule
+    needs no other shuffle; the number of tasks grows with the table, and what one of them holds does not."""
     from pyspark.sql import Window
 
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-t.count() // ROWS))
     e = t.select(
         F.expr(f"l_orderkey div {ORDERS}").cast("long").alias("mol"),
         (F.col("l_partkey") % ATOMS).cast("long").alias("a"),
         (ATOMS + F.col("l_suppkey") % ATOMS).cast("long").alias("b"),
-    ).distinct()
+    ).repartition(tasks, "mol").distinct()
     return e.select("mol", (F.row_number().over(Window.partitionBy("mol").orderBy("a", "b")) - 1).cast("long").alias("bond"), "a", "b")
 
 
