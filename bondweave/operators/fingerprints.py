@@ -7,23 +7,20 @@ them; the families follow the ideas of the published fingerprints, not the bits
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import incidence, once
+from .graph import WORD, ball, balls, has, once, steps
 
 #: Fixed value: the largest prime below 2^32, for the hash functions of MinHash.
 PRIME = 4_294_967_291
 LAYERS = ("length", "symbols", "ring")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def text_hash(text: Column) -> Column:
     """The first 32 bits of a text's MD5, as a long."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
@@ -34,43 +31,53 @@ def molecules(bonds: DataFrame, atoms: DataFrame, label: Column) -> DataFrame:
 
     ``label`` is an expression of the columns of ``atoms`` (mol, atom, ...) and ``degree``. Repeated bonds count once.
     """
-    links = incidence(bonds).select("mol", "atom", "other").distinct()
-    edges = links.groupBy("mol").agg(F.collect_list(F.struct("atom", "other")).alias("edges"))
-    degree = links.groupBy("mol", "atom").agg(F.count(F.lit(1)).alias("degree"))
-    named = atoms.join(degree, ["mol", "atom"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    listed = named.select("mol", F.struct("atom", label.cast("string").alias("label")).alias("x")).groupBy("mol").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    rows = listed.join(edges, "mol", "left").select("mol", F.transform("xs", lambda x: x["atom"]).alias("atoms"), F.transform("xs", lambda x: x["label"]).alias("label"), F.coalesce("edges", F.array().cast("array<struct<atom:bigint,other:bigint>>")).alias("edges"))
+    edges = bonds.groupBy("mol").agg(F.array_distinct(F.flatten(F.collect_list(F.array(F.struct(F.col("a").alias("atom"), F.col("b").alias("other")), F.struct(F.col("b").alias("atom"), F.col("a").alias("other")))))).alias("edges"))
+    fields = [c for c in atoms.columns if c not in ("mol", "degree")]
+    rows = atoms.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom", *[c for c in fields if c != "atom"]))).alias("xs")).join(edges, "mol", "left")
+    others = lambda x: F.transform(F.filter("edges", lambda e: e["atom"] == x["atom"]), lambda e: e["other"])
+    each = rows.select("mol", F.inline(F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in fields], F.coalesce(others(x), F.array().cast("array<bigint>")).alias("_others")))))
+    named = each.withColumn("degree", F.size("_others")).select("mol", F.struct("atom", label.cast("string").alias("label"), "_others").alias("x"))
+    listed = once(named.groupBy("mol").agg(F.array_sort(F.collect_list("x")).alias("xs")), ["mol", "xs"], atoms=F.transform("xs", lambda x: x["atom"]))
     place = lambda atom: F.array_position("atoms", atom).cast("int")
-    near = F.transform("atoms", lambda a: F.array_sort(F.transform(F.filter("edges", lambda e: e["atom"] == a), lambda e: place(e["other"]))))
-    return once(once(rows, ["mol"], atoms=F.col("atoms"), label=F.col("label"), edges=F.col("edges")), ["mol", "atoms", "label"], near=near)
+    return once(listed, ["mol", "atoms"], label=F.transform("xs", lambda x: x["label"]), near=F.transform("xs", lambda x: F.array_sort(F.transform(x["_others"], place))))
 
 
-def _grown(near: str, longest: int) -> Column:
-    """All simple paths of 1 to ``longest`` bonds as arrays of places, from their end with the lesser place to the other."""
-    start = F.transform(F.sequence(F.lit(1), F.size(near)), lambda i: F.array(i))
-    zero = F.struct(start.alias("front"), F.array().cast("array<array<int>>").alias("all"))
-    kind = "struct<front:array<array<int>>,all:array<array<int>>>"
+def _walks(rows: DataFrame, longest: int) -> DataFrame:
+    """``rows`` of ``molecules`` for every simple path of 1 to ``longest`` bonds, from its end with the lesser place to the other: its places
+    p0 to p<longest>, 0 after its end. A path goes on to each neighbour that it has not met, or ends (0)."""
+    keep = [c for c in rows.columns]
+    walks = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("p0")) if longest else rows
+    for k in range(1, longest + 1):
+        met = [F.col(f"p{i}") for i in range(k)]
+        ahead = F.element_at("near", F.greatest(met[-1], F.lit(1)))
+        ends = F.array(F.lit(0))
+        onward = F.when(met[-1] == 0, ends).otherwise(F.concat(ends, ahead)) if k > 1 else ahead
+        walks = walks.select("*", F.explode(onward).alias(f"p{k}")).where((F.col(f"p{k}") == 0) | ~F.col(f"p{k}").isin(*met))
+    last = F.coalesce(*[F.when(F.col(f"p{k}") > 0, F.col(f"p{k}")) for k in range(longest, 0, -1)])
+    return walks.where(F.col("p0") < last).select(*keep, *[f"p{k}" for k in range(longest + 1)])
+
+
+def _bonds_of(longest: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.when(F.col(f"p{k}") > 0, 1).otherwise(0) for k in range(1, longest + 1)])
 
-    def step(acc: Column, _: Column) -> Column:
-        ahead = lambda p: F.filter(F.element_at(near, F.element_at(p, -1)), lambda n: ~F.array_contains(p, n))
-        new = F.flatten(F.transform(acc["front"], lambda p: F.transform(ahead(p), lambda n: F.concat(p, F.array(n)))))
-        kept = lambda ps: F.filter(ps, lambda p: F.element_at(p, 1) < F.element_at(p, -1))
-        return _let(new, lambda ps: F.struct(ps.alias("front"), F.concat(acc["all"], kept(ps)).alias("all"))).cast(kind)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(longest)), zero.cast(kind), step)["all"]
+def _read(names: str, longest: int) -> Column:
+    """The path's names joined by ``-`` from the end that reads less."""
+    told = [F.when(F.col(f"p{k}") > 0, F.element_at(names, F.greatest(f"p{k}", F.lit(1)))) for k in range(longest + 1)]
+    return F.least(F.concat_ws("-", *told), F.concat_ws("-", *told[::-1]))
 
 
 def simple_paths(bonds: DataFrame, atoms: DataFrame, longest: int, label: Column) -> DataFrame:
     """(mol, length, path, label): every simple path of 1 to ``longest`` bonds, once, as atoms in order.
 
-    ``label`` joins the atoms' labels by ``-`` from the end that reads less. A molecule's paths are made in its row, so
+    ``label`` joins the atoms' labels by ``-`` from the end that reads less. A molecule's paths grow as rows from its row, so
     ``longest`` bounds the work as the molecule's branching to that power; molecules are small, and 7 bonds the custom.
     """
     if longest < 1:
         raise ValueError("a path has a bond")
-    rows = molecules(bonds, atoms, label).withColumn("p", F.explode(_grown("near", longest)))
-    read = lambda places: F.array_join(F.transform(places, lambda i: F.element_at("label", i)), "-")
-    return rows.select("mol", (F.size("p") - 1).alias("length"), F.transform("p", lambda i: F.element_at("atoms", i)).alias("path"), F.least(read(F.col("p")), read(F.reverse("p"))).alias("label"))
+    walks = _walks(molecules(bonds, atoms, label), longest)
+    places = F.array(*[F.element_at("atoms", F.greatest(f"p{k}", F.lit(1))) for k in range(longest + 1)])
+    return walks.select("mol", _bonds_of(longest).alias("length"), F.slice(places, F.lit(1), _bonds_of(longest) + 1).alias("path"), _read("label", longest).alias("label"))
 
 
 def path_counts(paths: DataFrame) -> DataFrame:
@@ -96,32 +103,26 @@ def layered_bits(bonds: DataFrame, atoms: DataFrame, longest: int, n_bits: int,
     if unknown:
         raise ValueError(f"no layer {sorted(unknown)[0]}")
     every = F.concat_ws("|", *[of[name] for name in layers])
-    paths = simple_paths(bonds, atoms, longest, every)
-    # The label of a layer reads its own part of each atom's label, from the end that reads less in that layer.
-    part = lambda k: F.transform(F.split("label", "-"), lambda a: F.get(F.split(a, "\\|"), F.lit(k)))
-    parts = [part(k) for k in range(len(layers))]
-    told = [F.concat(F.lit(name + ":"), F.least(F.array_join(p, "-"), F.array_join(F.reverse(p), "-"))) for name, p in zip(layers, parts)]
-    return bits_of(paths.select("mol", F.explode(F.array(*told)).alias("feature")), "feature", n_bits)
+    # A layer reads its own part of each atom's label, from the end that reads less in that layer.
+    part = lambda k: F.transform("label", lambda x: F.get(F.split(x, "\\|"), F.lit(k)))
+    names = {f"layer{k}": part(k) for k in range(len(layers))}
+    walks = _walks(once(molecules(bonds, atoms, every), ["mol", "near"], **names), longest)
+    each = F.array(*[F.struct(F.lit(name + ":").alias("layer"), F.col(f"layer{k}").alias("names")) for k, name in enumerate(layers)])
+    told = walks.select("mol", *[f"p{k}" for k in range(longest + 1)], F.inline(each)).select("mol", F.concat("layer", _read("names", longest)).alias("feature"))
+    return bits_of(told.distinct(), "feature", n_bits)
 
 
 def atom_distances_all(bonds: DataFrame, atoms: DataFrame, label: Column, farthest: int = 30) -> DataFrame:
     """(mol, a, b, label_a, label_b, distance): the bonds between all atoms a < b of a molecule that are connected within ``farthest`` bonds."""
-    kind = "struct<front:array<int>,seen:array<int>,found:array<struct<i:int,d:int>>>"
-
-    def around(i: Column) -> Column:
-        zero = F.struct(F.array(i).alias("front"), F.array(i).alias("seen"), F.array().cast("array<struct<i:int,d:int>>").alias("found")).cast(kind)
-
-        def step(acc: Column, d: Column) -> Column:
-            new = F.array_except(F.array_distinct(F.flatten(F.transform(acc["front"], lambda f: F.element_at("near", f)))), acc["seen"])
-            grown = lambda ns: F.struct(ns.alias("front"), F.concat(acc["seen"], ns).alias("seen"), F.concat(acc["found"], F.transform(ns, lambda n: F.struct(n.alias("i"), d.alias("d")))).alias("found")).cast(kind)
-            return F.when(F.size(acc["front"]) > 0, _let(new, grown)).otherwise(acc)
-
-        return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(farthest), F.size("near"))), zero, step)["found"]
-
-    each = F.flatten(F.transform(F.sequence(F.lit(1), F.size("near")), lambda i: F.transform(F.filter(around(i), lambda f: f["i"] > i), lambda f: F.struct(i.alias("i"), f["i"].alias("j"), f["d"].alias("d")))))
-    rows = molecules(bonds, atoms, label).select("mol", "atoms", "label", F.explode(each).alias("x"))
-    at = lambda array, place: F.element_at(array, F.col(place))
-    return rows.select("mol", at("atoms", "x.i").alias("a"), at("atoms", "x.j").alias("b"), at("label", "x.i").alias("label_a"), at("label", "x.j").alias("label_b"), F.col("x.d").alias("distance"))
+    rows = molecules(bonds, atoms, label)
+    rows = once(rows, ["mol", "atoms", "label"], balls=balls("near", F.least(F.lit(farthest), F.size("near"))))
+    of_atom = lambda a, i: F.struct(a.alias("a"), i.alias("place"), F.transform("balls", lambda w: F.transform(w, lambda level: F.get(level, i))).alias("lists"))
+    each = rows.select("mol", "atoms", "label", F.inline(F.transform("atoms", of_atom)))
+    each = each.select("mol", "atoms", "label", "a", "place", F.posexplode("lists").alias("word", "levels"))
+    each = each.select("mol", "label", "a", "place", "levels", "word", F.posexplode(F.slice("atoms", F.col("word") * WORD + 1, WORD)).alias("at", "b"))
+    each = each.withColumn("at", F.col("at") + F.col("word") * WORD).where(F.col("at") > F.col("place")).where(has(ball(F.col("levels"), farthest), F.col("at")))
+    name = lambda place: F.element_at("label", F.col(place) + 1)
+    return each.select("mol", "a", "b", name("place").alias("label_a"), name("at").alias("label_b"), steps(farthest).alias("distance"))
 
 
 def atom_pairs(bonds: DataFrame, atoms: DataFrame, label: Column, farthest: int = 30) -> DataFrame:
@@ -146,7 +147,7 @@ def circular(bonds: DataFrame, atoms: DataFrame, radius: int, label: Column, red
         last, ball = F.element_at(acc["names"], -1), F.element_at(acc["balls"], -1)
         name = lambda i: F.md5(F.concat(F.element_at(last, i), F.lit("("), F.array_join(F.array_sort(F.transform(F.element_at("near", i), lambda n: F.element_at(last, n))), ","), F.lit(")")).cast("binary"))
         wider = lambda i: F.array_union(F.element_at(ball, i), F.flatten(F.transform(F.element_at(ball, i), lambda x: F.element_at("near", x))))
-        return F.struct(F.concat(acc["names"], F.array(F.transform(places, name))).alias("names"), F.concat(acc["balls"], F.array(F.transform(places, wider))).alias("balls")).cast(kind)
+        return F.struct(F.concat(acc["names"], F.array(F.transform(places, name))).alias("names"), (acc["balls"] if redundant else F.concat(acc["balls"], F.array(F.transform(places, wider)))).alias("balls")).cast(kind)
 
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(radius)), zero.cast(kind), step) if radius > 0 else zero.cast(kind)
     inside = lambda ball: F.array_sort(F.array_distinct(F.flatten(F.transform(ball, lambda x: F.transform(F.element_at("near", x), lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")))))))
@@ -167,14 +168,14 @@ def shingle_sets(environments: DataFrame, least_radius: int = 1) -> DataFrame:
     return hashes.groupBy("mol").agg(F.array_sort(F.collect_set("x")).alias("shingles"))
 
 
-def _factor(i: Column, first: int) -> Column:
-    return F.conv(F.substring(F.md5(i.cast("string").cast("binary")), first, 7), 16, 10).cast("long") + 1
+def _factor(i: int, first: int) -> int:
+    return int(hashlib.md5(str(i).encode()).hexdigest()[first - 1 : first + 6], 16) + 1
 
 
 def min_hashes(sets: DataFrame, k: int = 64) -> DataFrame:
     """Add ``minima``: for each of ``k`` functions (a * x + b) mod PRIME the least value over the shingles; a and b come from the MD5 of its number."""
-    least = lambda i: _let(F.struct(_factor(i, 1).alias("a"), _factor(i, 8).alias("b")), lambda f: F.array_min(F.transform("shingles", lambda x: (f["a"] * x + f["b"]) % PRIME)))
-    return sets.withColumn("minima", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), least))
+    factors = F.array(*[F.struct(F.lit(_factor(i, 1)).cast("long").alias("a"), F.lit(_factor(i, 8)).cast("long").alias("b")) for i in range(k)])
+    return sets.withColumn("minima", F.transform(factors, lambda f: F.array_min(F.transform("shingles", lambda x: (f["a"] * x + f["b"]) % PRIME))))
 
 
 def similarities(pairs: DataFrame, hashed: DataFrame) -> DataFrame:

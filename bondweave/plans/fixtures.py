@@ -12,7 +12,7 @@ ELEMENTS = ("C", "H", "O", "N", "F", "Cl", "Br", "S")
 #: Orders that make up a molecule, and atoms on each side; molecules grow in number with the tables, never in size.
 ORDERS, ATOMS = 5, 16
 #: Bonds that one task works on.
-ROWS = 250_000
+ROWS = 100_000
 
 # The same tables as common table expressions, for the SQL of the catalogue.
 RX = """rx AS (SELECT CAST(l_orderkey AS BIGINT) AS mol, CAST(l_partkey % 5 AS BIGINT) AS rad_x, CAST(l_suppkey % 5 AS BIGINT) AS rad_y,
