@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of five-word shingles: MinHash bands find candidates, exact sets decide."""
+"""Near copies by Jaccard similarity of five-word shingles: SimHash fingerprints and MinHash bands find candidates, exact sets decide."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import BROADCAST_KEYS, broadcast_if_small, fresh, hot_keys, join_salted, join_spread, materialize, salts_of
 from .components import connected_components
 
@@ -103,10 +104,24 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(sizes).where(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def fingerprint_pairs(by_text: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of (node, text) that op6's SimHash index links: texts of one fingerprint with the least of them, and the
+    least texts of fingerprints at three or fewer differing bits."""
+    fps = materialize(by_text.select("node", simhash.fingerprint_column(F.col("text")).alias("fp")).distinct(), "fingerprints")
+    least = materialize(fps.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-least")
+    hot = materialize(hot_keys(least, "fp", "n", fps.count()), "hot-fingerprints")
+    same = join_spread(fps, least.where("n > 1").select("fp", "least"), "fp", hot).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(least.select("fp"))
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in "ab")
+    near = near.join(x, "a").join(y, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return materialize(same.unionByName(near).where("a <> b").distinct(), "fingerprint-pairs")
+
+
 def links(docs: DataFrame, node: Column, text_col: str = "text") -> DataFrame:
     """Links (a, b) between nodes (texts, by hash) that connect all candidates of SIMILARITY or more.
 
-    First every node of a bucket is compared with the bucket's least, in rows linear in its length. Nodes
+    Candidates come from SimHash fingerprints, by op6's index, and from the bands of MinHash, which also find what differs in more bits.
+    First the pairs by fingerprint are compared, and every node of a bucket with the bucket's least, in rows linear in its length. Nodes
     that these links connect need no further comparison. Of the others in a bucket a pair's sets are brought
     together only if their sketches allow SIMILARITY. So no pair's evidence is lost, and neither a bucket of many
     copies of one text costs much, nor one of many texts that are somewhat alike.
@@ -118,11 +133,12 @@ def links(docs: DataFrame, node: Column, text_col: str = "text") -> DataFrame:
     least = materialize(least, "least")
     hot = materialize(hot_keys(least, "key", "n", entries.count()), "hot-buckets")
     entries = materialize(join_spread(entries, least.select("key", "a"), "key", hot), "buckets")
-    nodes = materialize(entries.select("node").distinct(), "candidates")
+    alike = fingerprint_pairs(by_text)
+    nodes = materialize(entries.select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "candidates")
     sets = by_text.join(broadcast_if_small(nodes, nodes.count(), BROADCAST_KEYS), "node", "left_semi")
     sets = materialize(_hashes(sets, shingles, "set", sketch=True).groupBy("node").agg(F.first("set").alias("set"), F.first("sketch").alias("sketch")), "shingles")
 
-    stars = entries.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = entries.where("node <> a").select("a", F.col("node").alias("b")).unionByName(alike).distinct()
     near = materialize(_similar(stars, sets), "stars")
     of = connected_components(near)
     placed = entries.select("key", "node").join(of, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))

@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import xxhash
+
 from bondweave.llm import near_copies
 
 
@@ -98,3 +101,12 @@ def test_hot_centres_and_buckets_are_cut_into_parts(spark, monkeypatch):
     assert len(want) < 40
     monkeypatch.setattr(_common, "HOT", 10**6)
     assert sorted(map(str, near_copies.keep_one(df).collect())) == want
+
+
+def test_simhash_finds_candidates_without_bands(spark, monkeypatch):
+    """Texts that share no band's bucket still meet by their fingerprints."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), "something else that nobody wrote before"]
+    monkeypatch.setattr(near_copies, "band_keys", lambda text: np.array([xxhash.xxh64_intdigest((text or "").encode(), 1)], np.uint64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [0, 2]
