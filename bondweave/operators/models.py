@@ -89,7 +89,8 @@ class Boosted:
 def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 10, depth: int = 3, seed: int = 42) -> Boosted:
     """AdaBoost.R2: each tree learns from rows weighted by how badly the trees before predicted them; linear loss.
 
-    Row weights are a column that each round rewrites and stores, so no row leaves the executors. It ends early once a tree's
+    Row weights are a column that each round but the last rewrites and stores, so no row leaves the executors; a round predicts each
+    row once for its errors and once for its new weight. It ends early once a tree's
     weighted loss reaches one half, or a tree has no error.
     """
     from . import checkpoints
@@ -102,20 +103,20 @@ def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 10,
         tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_p", maxDepth=depth, seed=seed + r)
         model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), tree]).fit(rows)
         errors = model.transform(rows).withColumn("_e", F.abs(F.col("_p") - F.col("_y")))
-        most = errors.agg(F.max("_e")).first()[0]
+        most, weighted, whole = errors.agg(F.max("_e"), F.sum(F.col("_w") * F.col("_e")), F.sum("_w")).first()
         if not most:
             return Boosted(list(features), [model], [1.0])
-        loss = errors.agg(F.sum(F.col("_w") * F.col("_e") / most) / F.sum("_w")).first()[0]
+        loss = weighted / most / whole
         if loss >= 0.5 and trees:
             break
         beta = loss / max(1 - loss, 1e-12)
         trees.append(model)
         weights.append(max(float(-math.log(max(beta, 1e-300))), 1e-12))
-        if loss >= 0.5:
+        if loss >= 0.5 or r == rounds - 1:
             break
         rows = errors.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_e") / most)).drop("_x", "_p", "_e")
-        top = rows.agg(F.avg("_w")).first()[0]
-        rows = checkpoints.stored(rows.withColumn("_w", F.col("_w") / top), "boost-rows")
+        rows = checkpoints.stored(rows, "boost-rows")
+        rows = rows.withColumn("_w", F.col("_w") / rows.agg(F.avg("_w")).first()[0])
     return Boosted(list(features), trees, weights)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bondweave.operators import column_store, graph, models, reactions, reduction, training
+from bondweave.operators import checkpoints, column_store, graph, models, reactions, reduction, training
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,6 +108,13 @@ def test_boosting_beats_one_tree_and_ranks_features(spark, data):
     assert set(many.predict(data).columns) == {*data.columns, "prediction"}
 
 
+def test_boosting_stores_no_more_than_its_rounds_read(monkeypatch, data):
+    """The rows once, and once for each round that another one follows."""
+    written, stored = [], checkpoints.stored
+    monkeypatch.setattr(checkpoints, "stored", lambda df, label: written.append(label) or stored(df, label))
+    assert len(models.boost(data, ["x", "z", "u"], "y", rounds=2).trees) == len(written) == 2
+
+
 def test_permutation_importances(spark, data):
     rows = data.withColumn("noise", F.rand(3))
     model = models.fit(rows, ["x", "z", "u", "noise"], "y")
