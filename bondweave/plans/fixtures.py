@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A total order of the reaction table.
@@ -71,16 +71,26 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rx(spark, sf_dir).select("*", (t * (1 - F.col("disc"))).alias("p1"), (t * (1 - F.col("tax"))).alias("p2"), (t * 0.95).alias("p3"))
 
 
-def element(atom: str):
-    return F.element_at(F.array(*[F.lit(e) for e in ELEMENTS]), (F.col(atom) % len(ELEMENTS) + 1).cast("int"))
+def element(atom: str | Column):
+    at = F.col(atom) if isinstance(atom, str) else atom
+    return F.element_at(F.array(*[F.lit(e) for e in ELEMENTS]), (at % len(ELEMENTS) + 1).cast("int"))
+
+
+def _properties(at: Column) -> list[Column]:
+    """Invented properties that follow from an atom's number."""
+    hybrid = F.element_at(F.array(*[F.lit(h) for h in ("S", "SP", "SP2", "SP3", "SP3D")]), (at % 5 + 1).cast("int"))
+    return [at.alias("atom"), element(at).alias("symbol"), hybrid.alias("hybrid"), (at % 3 == 0).alias("aromatic"), (at % 2 == 0).alias("in_ring"), (at % 4 == 0).alias("in_ring6"), (at % 3 - 1).cast("int").alias("charge")]
 
 
 def atoms(bonds: DataFrame) -> DataFrame:
     """Atoms of the graphs with invented properties that follow from their numbers."""
     a = bonds.select("mol", F.explode(F.array("a", "b")).alias("atom")).distinct()
-    at = F.col("atom")
-    hybrid = F.element_at(F.array(*[F.lit(h) for h in ("S", "SP", "SP2", "SP3", "SP3D")]), (at % 5 + 1).cast("int"))
-    return a.select("mol", "atom", element("atom").alias("symbol"), hybrid.alias("hybrid"), (at % 3 == 0).alias("aromatic"), (at % 2 == 0).alias("in_ring"), (at % 4 == 0).alias("in_ring6"), (at % 3 - 1).cast("int").alias("charge"))
+    return a.select("mol", *_properties(F.col("atom")))
+
+
+def with_ends(bonds: DataFrame) -> DataFrame:
+    """Bonds that carry the records of ``atoms`` of their ends, so that no table of atoms is needed beside them."""
+    return bonds.withColumns({f"end_{n}": F.struct(*_properties(F.col(n))) for n in ("a", "b")})
 
 
 def bits(bonds: DataFrame) -> DataFrame:
