@@ -13,6 +13,8 @@ ELEMENTS = ("C", "H", "O", "N", "F", "Cl", "Br", "S")
 ORDERS, ATOMS = 5, 16
 #: Bonds that one task works on.
 ROWS = 100_000
+#: Up to so many tasks a shuffle writes each one's rows to a file as they come; beyond, Spark holds and sorts all rows of the task that deals them.
+FILES = 200
 
 # The same tables as common table expressions, for the SQL of the catalogue.
 RX = """rx AS (SELECT CAST(l_orderkey AS BIGINT) AS mol, CAST(l_partkey % 5 AS BIGINT) AS rad_x, CAST(l_suppkey % 5 AS BIGINT) AS rad_y,
@@ -47,13 +49,17 @@ def rx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bonds(mol, bond, a, b); bonds are numbered from 0 by their atoms. Rows are dealt by molecule once, ROWS to a task, and what works by molecule
-    needs no other shuffle; the number of tasks grows with the table, and what one of them holds does not."""
+    needs no other shuffle; the number of tasks grows with the table, and what one of them holds does not. A scan's task may read any number of
+    rows, so those for more than FILES tasks are first dealt to FILES: what the dealing holds is then a FILES-th of the table."""
     from pyspark.sql import Window
 
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     tasks = max(spark.sparkContext.defaultParallelism, -(-t.count() // ROWS))
+    mol = F.expr(f"l_orderkey div {ORDERS}").cast("long")
+    if tasks > FILES:
+        t = t.select("l_orderkey", "l_partkey", "l_suppkey").repartition(FILES, mol)
     e = t.select(
-        F.expr(f"l_orderkey div {ORDERS}").cast("long").alias("mol"),
+        mol.alias("mol"),
         (F.col("l_partkey") % ATOMS).cast("long").alias("a"),
         (ATOMS + F.col("l_suppkey") % ATOMS).cast("long").alias("b"),
     ).repartition(tasks, "mol").distinct()
