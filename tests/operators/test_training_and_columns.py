@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -122,6 +123,75 @@ def test_permutation_importances(spark, data):
     assert got["x"] > got["z"] > got["u"] > 0.5 and abs(got["noise"]) < 1e-3
 
 
+@pytest.fixture(scope="module")
+def counted(spark):
+    """3,000 rows in one partition, in order of a feature, of 60 distinct vectors."""
+    rows = spark.range(3000).selectExpr("id div 600 * 1.0D AS x", "id % 4 * 1.0D AS z", "id % 3 * 2.0D AS u", "sin(id) AS e")
+    return rows.withColumn("y", 2 * F.col("x") - F.col("z") * F.col("u") + F.col("e")).repartition(1).sortWithinPartitions("x", "e").cache()
+
+
+def test_few_vectors_grow_the_trees_of_their_rows(spark, counted, monkeypatch):
+    names, read = ["x", "z", "u"], []
+    run = lambda: (models.importances(counted, names, "y", "boosted", seeds=(1,)), models.boost(counted, names, "y", rounds=4))
+    stored = checkpoints.stored
+    monkeypatch.setattr(checkpoints, "stored", lambda df, label: read.append(label) or stored(df, label))
+    assert models.few_vectors(counted, names)
+    trees, boosted = run()
+    assert read.count("boost-rows") == 1  # rows are not written anew with their weights
+    monkeypatch.setattr(models, "few_vectors", lambda *_: False)
+    trees_of_rows, boosted_of_rows = run()
+    assert np.allclose(*([r.mean for r in t.orderBy("feature").collect()] for t in (trees, trees_of_rows)), atol=1e-9)
+    assert np.allclose(boosted.weights, boosted_of_rows.weights) and len(boosted.trees) == 4
+    off = boosted.predict(counted, "p").join(boosted_of_rows.predict(counted, "q"), [*names, "e"]).select(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+    assert off < 1e-9
+
+
+def test_trees_of_a_forest_have_samples_of_the_rows(spark, counted, monkeypatch):
+    names = ["x", "z", "u"]
+    drawn = counted.select("*", F.rand(1).alias("_u0"), F.rand(2).alias("_u1"))
+    sample = models._vectors(drawn, names, "y", [models._poisson(F.col(c)) for c in ("_u0", "_u1")]).agg(F.count(F.lit(1)), F.sum("_w0"), F.sum("_w1"), F.sum(F.col("_w0") * F.col("_y0"))).first()
+    assert sample[0] == 60 and all(abs(n - 3000) < 5 * 3000**0.5 for n in sample[1:3]) and sample[1] != sample[2]
+    assert abs(sample[3] - drawn.agg(F.sum(models._poisson(F.col("_u0")) * F.col("y"))).first()[0]) < 1e-6
+    shares = spark.range(100_000).select(F.rand(3).alias("u")).select(models._poisson(F.col("u")).alias("k")).groupBy("k").count().collect()
+    assert all(abs(r["count"] / 1e5 - np.exp(-1) / math.factorial(int(r.k))) < 0.01 for r in shares) and len(shares) > 5
+    forest = models.fit(counted, names, "y", "forest")
+    assert len([s for s in forest.stages if hasattr(s, "trees")]) == 20
+    told = models.predict(counted, forest)
+    assert set(told.columns) == {*counted.columns, "prediction"}
+    monkeypatch.setattr(models, "few_vectors", lambda *_: False)
+    of_rows = models.predict(counted, models.fit(counted, names, "y", "forest"))
+    off = lambda t: t.select(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    assert abs(off(told) - off(of_rows)) < 0.15 * off(of_rows)
+
+
+def test_a_target_that_is_missing_is_not_skipped(spark, counted):
+    spoilt = counted.withColumn("y", F.when(F.col("e") < 0.99, F.col("y")))
+    for kind in ("forest", "boosted"):
+        with pytest.raises(Exception):
+            models.fit(spoilt, ["x", "z", "u"], "y", kind)
+
+
+def test_permuted_rows_are_dealt_without_a_join(spark, counted, monkeypatch):
+    """Every trial holds all rows, a feature's values in another order whatever order they came in; few vectors are predicted once each."""
+    names, seen, predict = ["x", "z", "u"], [], models.predict
+    model = models.fit(counted, names, "y", "forest")
+    monkeypatch.setattr(models, "predict", lambda df, m: seen.append(df) or predict(df, m))
+    monkeypatch.setattr(models, "BLOCK", 500)
+    got = {r.feature: r.mean for r in models.permutation_importances(counted, names, "y", model).collect()}
+    assert seen.pop().count() == 60
+    monkeypatch.setattr(models, "few_vectors", lambda *_: False)
+    plain = {r.feature: r.mean for r in models.permutation_importances(counted, names, "y", model).collect()}
+    dealt = seen.pop()
+    assert not any(w in dealt._jdf.queryExecution().optimizedPlan().toString() for w in ("Join", "Repartition", "Window"))
+    want = counted.groupBy("x").count().collect()
+    for r in range(3):
+        trial = dealt.where((F.col("_t.i") == 0) & (F.col("_t.r") == r))
+        assert sorted(trial.groupBy("x").count().collect()) == sorted(want)
+    # The values of x fall on all rows alike: dealt at random they tell nothing of y any more.
+    assert abs(dealt.where("_t.i = 0").select(F.corr("x", "_y")).first()[0]) < 0.05 < dealt.where("_t.i < 0").select(F.corr("x", "_y")).first()[0]
+    assert all(abs(got[f] - plain[f]) < 0.1 * plain["x"] for f in names) and plain["x"] > plain["z"] > 0.2
+
+
 # Columns
 
 
