@@ -11,7 +11,7 @@ import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import WORD, ball, balls, has, once, steps
@@ -26,20 +26,39 @@ def text_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def molecules(bonds: DataFrame, atoms: DataFrame, label: Column) -> DataFrame:
+def molecules(bonds: DataFrame, atoms: DataFrame | None, label: Column) -> DataFrame:
     """One row for each molecule: ``atoms`` in order, and by their places ``label`` and ``near``, the places of the atoms bonded to each.
 
-    ``label`` is an expression of the columns of ``atoms`` (mol, atom, ...) and ``degree``. Repeated bonds count once.
+    ``label`` is an expression of the columns of ``atoms`` (mol, atom, ...) and ``degree``. Repeated bonds count once. Without ``atoms`` the
+    bonds carry the records (atom, ...) of their ends, ``end_a`` and ``end_b``, and nothing is joined.
     """
-    edges = bonds.groupBy("mol").agg(F.array_distinct(F.flatten(F.collect_list(F.array(F.struct(F.col("a").alias("atom"), F.col("b").alias("other")), F.struct(F.col("b").alias("atom"), F.col("a").alias("other")))))).alias("edges"))
-    fields = [c for c in atoms.columns if c not in ("mol", "degree")]
-    rows = atoms.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom", *[c for c in fields if c != "atom"]))).alias("xs")).join(edges, "mol", "left")
-    others = lambda x: F.transform(F.filter("edges", lambda e: e["atom"] == x["atom"]), lambda e: e["other"])
-    each = rows.select("mol", F.inline(F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in fields], F.coalesce(others(x), F.array().cast("array<bigint>")).alias("_others")))))
-    named = each.withColumn("degree", F.size("_others")).select("mol", F.struct("atom", label.cast("string").alias("label"), "_others").alias("x"))
-    listed = once(named.groupBy("mol").agg(F.array_sort(F.collect_list("x")).alias("xs")), ["mol", "xs"], atoms=F.transform("xs", lambda x: x["atom"]))
-    place = lambda atom: F.array_position("atoms", atom).cast("int")
-    return once(listed, ["mol", "atoms"], label=F.transform("xs", lambda x: x["label"]), near=F.transform("xs", lambda x: F.array_sort(F.transform(x["_others"], place))))
+    if atoms is None:
+        fields = [c for c in bonds.schema["end_a"].dataType.names if c not in ("mol", "degree")]
+        links = bonds.groupBy("mol").agg(F.collect_list(F.struct("a", "b", "end_a", "end_b")).alias("_l"))
+        rows = once(links, ["mol"], _a=F.col("_l.a"), _b=F.col("_l.b"), _records=F.concat("_l.end_a", "_l.end_b"))
+        ids = F.concat("_a", "_b")
+    else:
+        fields = [c for c in atoms.columns if c not in ("mol", "degree")]
+        links = bonds.groupBy("mol").agg(F.collect_list(F.struct("a", "b")).alias("_l"))
+        rows = atoms.groupBy("mol").agg(F.collect_list(F.struct(*fields)).alias("_records")).join(links, "mol", "left")
+        rows = once(rows, ["mol", "_records"], _a=F.coalesce("_l.a", F.array().cast("array<bigint>")), _b=F.coalesce("_l.b", F.array().cast("array<bigint>")))
+        ids = F.col("_records.atom")
+    place = lambda atom: F.array_position("_atoms", atom)
+    rows = once(rows, ["mol", "_a", "_b", "_records"], _ids=ids, _atoms=F.sort_array(F.array_distinct(ids)))
+    rows = once(rows, ["mol", "_ids", "_records", "_atoms"], _a=F.transform("_a", place), _b=F.transform("_b", place), _n=F.size("_atoms") + 1)
+    # A bond seen from an end is one number, so that telling apart and sorting look at numbers only: the end's place, then the other's.
+    seen = lambda x, y: F.zip_with(x, y, lambda p, q: p * F.col("_n") + q)
+    rows = once(rows, ["mol", "_ids", "_records", "_atoms", "_n"], _ends=F.sort_array(F.array_distinct(F.concat(seen("_a", "_b"), seen("_b", "_a")))))
+    parts = {"_from": F.transform("_ends", lambda e: F.floor(e / F.col("_n")).cast("int")), "_to": F.transform("_ends", lambda e: (e % F.col("_n")).cast("int"))}
+    each = once(rows, ["mol", "_ids", "_records", "_atoms"], **parts).select("*", F.posexplode("_atoms").alias("_at", "_atom"))
+    at = F.col("_at") + 1
+    first, last = F.array_position("_from", at), F.size("_from") - F.array_position(F.reverse("_from"), at) + 1
+    each = each.withColumn("_first", first.cast("int")).withColumn("degree", F.when(F.col("_first") > 0, last - F.col("_first") + 1).otherwise(0).cast("int"))
+    each = each.withColumn("_near", F.slice("_to", F.greatest("_first", F.lit(1)), F.col("degree"))).withColumn("_record", F.element_at("_records", F.array_position("_ids", F.col("_atom")).cast("int")))
+    each = each.select("mol", "_at", "degree", "_near", *[F.col("_record")[c].alias(c) for c in fields])
+    named = each.select("mol", F.struct("_at", "atom", label.cast("string").alias("label"), F.col("_near").alias("near")).alias("_x"))
+    listed = named.groupBy("mol").agg(F.sort_array(F.collect_list("_x")).alias("_x"))
+    return once(listed, ["mol"], atoms=F.col("_x.atom"), label=F.col("_x.label"), near=F.col("_x.near"))
 
 
 def _walks(rows: DataFrame, longest: int) -> DataFrame:
@@ -145,45 +164,67 @@ def circular(bonds: DataFrame, atoms: DataFrame, radius: int, label: Column, red
 
     def step(acc: Column, _: Column) -> Column:
         last, ball = F.element_at(acc["names"], -1), F.element_at(acc["balls"], -1)
-        name = lambda i: F.md5(F.concat(F.element_at(last, i), F.lit("("), F.array_join(F.array_sort(F.transform(F.element_at("near", i), lambda n: F.element_at(last, n))), ","), F.lit(")")).cast("binary"))
+        name = lambda i: F.md5(F.concat(F.element_at(last, i), F.lit("("), F.array_join(F.sort_array(F.transform(F.element_at("near", i), lambda n: F.element_at(last, n))), ","), F.lit(")")).cast("binary"))
         wider = lambda i: F.array_union(F.element_at(ball, i), F.flatten(F.transform(F.element_at(ball, i), lambda x: F.element_at("near", x))))
         return F.struct(F.concat(acc["names"], F.array(F.transform(places, name))).alias("names"), (acc["balls"] if redundant else F.concat(acc["balls"], F.array(F.transform(places, wider)))).alias("balls")).cast(kind)
 
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(radius)), zero.cast(kind), step) if radius > 0 else zero.cast(kind)
     inside = lambda ball: F.array_sort(F.array_distinct(F.flatten(F.transform(ball, lambda x: F.transform(F.element_at("near", x), lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")))))))
     rows = once(molecules(bonds, atoms, label), ["mol", "atoms", "near"], g=grown)
+    if redundant:
+        levels = rows.select("mol", F.col("atoms").alias("atom"), F.posexplode("g.names").alias("radius", "identifier"))
+        return levels.select("mol", "radius", F.inline(F.arrays_zip("atom", "identifier"))).select("mol", "atom", "radius", "identifier")
     fields = lambda r, i: [F.element_at("atoms", i).alias("atom"), r.alias("radius"), F.element_at(F.element_at("g.names", r + 1), i).alias("identifier")]
-    bonds_of = lambda r, i: [] if redundant else [F.when(r > 0, inside(F.element_at(F.element_at("g.balls", F.greatest(r, F.lit(1))), i))).alias("inside")]
-    each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda r: F.transform(places, lambda i: F.struct(*fields(r, i), *bonds_of(r, i)))))
+    bonds_of = lambda r, i: F.when(r > 0, inside(F.element_at(F.element_at("g.balls", F.greatest(r, F.lit(1))), i))).alias("inside")
+    each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda r: F.transform(places, lambda i: F.struct(*fields(r, i), bonds_of(r, i)))))
     found = rows.select("mol", F.inline(each))
-    if redundant:
-        return found
     some = found.where("radius > 0").groupBy("mol", "inside").agg(F.min(F.struct("radius", "identifier", "atom")).alias("x"))
     return found.where("radius = 0").drop("inside").unionByName(some.select("mol", "x.atom", "x.radius", "x.identifier"))
 
 
 def shingle_sets(environments: DataFrame, least_radius: int = 1) -> DataFrame:
     """(mol, shingles): the distinct hashes of a molecule's environments of ``least_radius`` or more; a molecule without any is left out."""
-    hashes = environments.where(F.col("radius") >= least_radius).select("mol", text_hash(F.col("identifier")).alias("x"))
-    return hashes.groupBy("mol").agg(F.array_sort(F.collect_set("x")).alias("shingles"))
+    return _hashes(environments, least_radius).groupBy("mol").agg(F.sort_array(F.collect_set("x")).alias("shingles"))
+
+
+def _hashes(environments: DataFrame, least_radius: int) -> DataFrame:
+    return environments.where(F.col("radius") >= least_radius).select("mol", text_hash(F.col("identifier")).alias("x"))
 
 
 def _factor(i: int, first: int) -> int:
     return int(hashlib.md5(str(i).encode()).hexdigest()[first - 1 : first + 6], 16) + 1
 
 
+def _hash(i: int, x: Column) -> Column:
+    return (F.lit(_factor(i, 1)).cast("long") * x + F.lit(_factor(i, 8)).cast("long")) % PRIME
+
+
 def min_hashes(sets: DataFrame, k: int = 64) -> DataFrame:
     """Add ``minima``: for each of ``k`` functions (a * x + b) mod PRIME the least value over the shingles; a and b come from the MD5 of its number."""
     factors = F.array(*[F.struct(F.lit(_factor(i, 1)).cast("long").alias("a"), F.lit(_factor(i, 8)).cast("long").alias("b")) for i in range(k)])
     return sets.withColumn("minima", F.transform(factors, lambda f: F.array_min(F.transform("shingles", lambda x: (f["a"] * x + f["b"]) % PRIME))))
 
 
+def hashed_sets(environments: DataFrame, k: int = 64, least_radius: int = 1) -> DataFrame:
+    """(mol, shingles, minima): what ``min_hashes`` adds to ``shingle_sets``, by one aggregate over the environments, without lambdas."""
+    minima = F.array(*[F.min(_hash(i, F.col("x"))) for i in range(k)])
+    return _hashes(environments, least_radius).groupBy("mol").agg(F.sort_array(F.collect_set("x")).alias("shingles"), minima.alias("minima"))
+
+
 def similarities(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(a, b, estimate, exact): the share of equal minima of two molecules, and the Jaccard similarity of their shingles."""
-    one, two = (hashed.select(F.col("mol").alias(c), F.col("shingles").alias(f"s_{c}"), F.col("minima").alias(f"m_{c}")) for c in "ab")
-    equal = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", (equal / F.size("m_a")).alias("estimate"), (F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))).alias("exact"))
+    """(a, b, estimate, exact): the share of equal minima of two molecules, and the Jaccard similarity of their shingles.
+
+    ``hashed`` has a row a molecule and is worked out once: each pair asks for both its molecules by one join, and their sets meet by one shuffle.
+    """
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    asked = counted.select("a", "b", "n", F.inline(F.array(*[F.struct(F.col(c).alias("mol"), F.lit(i).alias("side")) for i, c in enumerate("ab")])))
+    # Spark guesses the size of arrays and would broadcast sets that are far larger.
+    told = asked.join(hashed.select("mol", F.struct("shingles", "minima").alias("one")).hint("merge"), "mol")
+    met = told.withColumn("two", F.lead("one").over(Window.partitionBy("a", "b").orderBy("side"))).where("side = 0 AND two IS NOT NULL")
+    equal = F.aggregate(F.zip_with("one.minima", "two.minima", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    exact = F.size(F.array_intersect("one.shingles", "two.shingles")) / F.size(F.array_union("one.shingles", "two.shingles"))
+    each = met.select("a", "b", "n", (equal / F.size("one.minima")).alias("estimate"), exact.alias("exact"))
+    return each.select("a", "b", "estimate", "exact", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("n")).drop("n")
 
 
 def folded(sets: DataFrame, n_bits: int) -> DataFrame:

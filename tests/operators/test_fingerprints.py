@@ -83,6 +83,37 @@ def test_min_hashes_estimate_jaccard(spark):
     assert sum(r.estimate - r.exact for r in got) / 20 < 0.03
 
 
+def test_bonds_that_carry_their_ends_need_no_atoms(spark, random_bonds):
+    """A ring, a repeated bond, one from both ends and a self-loop."""
+    odd = [(2, i, a, b) for i, (a, b) in enumerate([(7, 3), (3, 7), (7, 3), (5, 5), (5, 3), (40, 100), (100, 9)])]
+    bonds, atoms = frames(spark, random_bonds + odd)
+    record = lambda c: F.struct(F.col(c).alias("atom"), F.element_at(F.array(*map(F.lit, "CHON")), (F.col(c) % 4 + 1).cast("int")).alias("symbol"))
+    carried = bonds.withColumns({"end_a": record("a"), "end_b": record("b")})
+    label = F.concat("symbol", F.col("degree").cast("string"))
+    got = {r.mol: r for r in fp.molecules(carried, None, label).collect()}
+    assert got == {r.mol: r for r in fp.molecules(bonds, atoms, label).collect()}
+    near = {m: {} for m in got}
+    for m, _, a, b in random_bonds + odd:
+        near[m].setdefault(a, set()).add(b)
+        near[m].setdefault(b, set()).add(a)
+    for m, r in got.items():
+        assert r.atoms == sorted(near[m]) and r.near == [sorted(r.atoms.index(o) + 1 for o in near[m][a]) for a in r.atoms]
+        assert r.label == [f"{'CHON'[a % 4]}{len(near[m][a])}" for a in r.atoms]
+
+
+def test_sets_are_hashed_once_for_all_pairs(spark, random_bonds):
+    bonds, atoms = frames(spark, [(m, i, a, b + m) for m in range(1, 5) for _, i, a, b in random_bonds] + [(9, 0, 1, 2)])
+    environments = fp.circular(bonds, atoms, 2, F.col("symbol"))
+    hashed = fp.hashed_sets(environments, 32)
+    assert sorted(hashed.collect()) == sorted(fp.min_hashes(fp.shingle_sets(environments), 32).collect())
+    asked = [(1, 2), (1, 2), (3, 3), (2, 1), (4, 9), (9, 77), (77, 1)]
+    found = fp.similarities(spark.createDataFrame(asked, "a long, b long"), hashed)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 1
+    sets = {r.mol: r for r in hashed.collect()}
+    want = [(a, b, sum(x == y for x, y in zip(sets[a].minima, sets[b].minima)) / 32, len({*sets[a].shingles} & {*sets[b].shingles}) / len({*sets[a].shingles} | {*sets[b].shingles})) for a, b in asked if 77 not in (a, b)]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 5
+
+
 def test_layers_are_named(spark):
     bonds, atoms = frames(spark, [(1, 0, 0, 1)])
     assert len(fp.layered_bits(bonds, atoms, 2, 4096).first().bits) == 3
