@@ -43,10 +43,11 @@ def few_vectors(df: DataFrame, features: Sequence[str]) -> bool:
 def _vectors(rows: DataFrame, features: Sequence[str], target: str, weights: Sequence[Column]) -> DataFrame:
     """Each distinct vector once: for each weight the sum over its rows (_w0, ...) and their weighted mean of the target (_y0, ...); stored.
 
-    A tree of least squares needs no more: how far targets vary within a vector is the same for every split.
+    A tree of least squares needs no more: how far targets vary within a vector is the same for every split. Where all of a vector's rows
+    weigh nothing, as a bootstrap sample may have none of them, its target is their plain mean.
     """
     y = F.col(target)
-    sums = [c for i, w in enumerate(weights) for c in (F.sum(w).alias(f"_w{i}"), (F.sum(w * y) / F.sum(w)).alias(f"_y{i}"))]
+    sums = [c for i, w in enumerate(weights) for c in (F.sum(w).alias(f"_w{i}"), F.coalesce(F.try_divide(F.sum(w * y), F.sum(w)), F.avg(y)).alias(f"_y{i}"))]
     return checkpoints.stored(rows.groupBy(*features).agg(*sums), "vectors")
 
 

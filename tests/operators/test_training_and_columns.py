@@ -164,6 +164,11 @@ def test_trees_of_a_forest_have_samples_of_the_rows(spark, counted, monkeypatch)
     assert abs(off(told) - off(of_rows)) < 0.15 * off(of_rows)
 
 
+def test_vectors_whose_rows_weigh_nothing(counted):
+    got = models._vectors(counted, ["x", "z", "u"], "y", [F.when(F.col("x") == 0, 0.0).otherwise(2.0)]).groupBy((F.col("x") == 0).alias("none")).agg(F.count("_y0").alias("n"), F.sum("_w0").alias("w"))
+    assert sorted(map(tuple, got.collect())) == [(False, 48, 4800.0), (True, 12, 0.0)]
+
+
 def test_a_target_that_is_missing_is_not_skipped(spark, counted):
     spoilt = counted.withColumn("y", F.when(F.col("e") < 0.99, F.col("y")))
     for kind in ("forest", "boosted"):
